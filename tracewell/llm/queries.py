@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, quality_qda, quality_rules
+from . import common, packing, quality_qda, quality_rules, token_files, tokens
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", common.held_out(F.col("doc_id"), 3))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op10_quality_classifier)}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    folder = common.shared_folder(spark)
+    files = token_files.write(docs, tokens.vocabulary("word_bpe_49k.json"), folder, end_id=2)
+    return token_files.read_back(spark, files)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_token_files, op8_packing, op10_quality_classifier)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
