@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality_qda, quality_rules, simhash, token_files, tokens
+from . import common, decontamination, packing, quality_qda, quality_rules, simhash, token_files, tokens
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model, ["doc_id"])
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")
+    return decontamination.contamination(docs, items).drop("row")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     model = quality_qda.fit(docs, common.read(spark, sf_dir, "labels"))
@@ -36,7 +41,36 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_token_files, op8_packing, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_token_files, op8_packing, op9_decontamination, op10_quality_classifier)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontamination": r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS m FROM items WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS gram
+  FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
+lengths AS (SELECT DISTINCT m FROM windows),
+grams AS (
+  SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS gram
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM lowered, lengths WHERE len(w) >= m)),
+hits AS (SELECT r, m, i, item_id FROM grams JOIN windows USING (m, gram)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT r, i, m FROM hits)) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined
+        FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
+""",
+}
