@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, packing, quality_qda, quality_rules, simhash, token_files, tokens
+from . import (
+    common,
+    decontamination,
+    lattice,
+    packing,
+    quality_qda,
+    quality_rules,
+    simhash,
+    token_counts,
+    token_files,
+    tokens,
+)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +41,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", common.held_out(F.col("doc_id"), 3))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(common.read(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     folder = common.shared_folder(spark)
@@ -37,11 +52,30 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_back(spark, files)
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", common.held_out(F.col("doc_id"), 5).alias("held_out"), "text")
+    learns = common.learnable(F.col("doc_id"), 5)
+    return lattice.score(docs, tokens.vocabulary("piece_bpe_32k.model"), learns)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_token_files, op8_packing, op9_decontamination, op10_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_quality_rules,
+        op3_token_counts,
+        op4_token_files,
+        op5_lattice,
+        op8_packing,
+        op9_decontamination,
+        op10_quality_classifier,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
