@@ -16,6 +16,8 @@ from . import (
     token_counts,
     token_files,
     tokens,
+    url_filters,
+    warc,
 )
 
 
@@ -59,6 +61,15 @@ def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(docs, tokens.vocabulary("piece_bpe_32k.model"), learns)
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(common.read(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(common.read(spark, sf_dir, "pages"), common.shared_folder(spark))
+    return warc.read(spark, files)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
@@ -71,6 +82,8 @@ QUERIES = {
         op3_token_counts,
         op4_token_files,
         op5_lattice,
+        op6_url_filters,
+        op7_warc,
         op8_packing,
         op9_decontamination,
         op10_quality_classifier,
@@ -79,6 +92,54 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op6_url_filters": r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url, html,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(r_host, r_path, r_verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+raw AS (
+  SELECT url, host, unnest([
+           concat(regexp_extract(link, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1),
+                  regexp_extract(link, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2),
+                  regexp_extract(link, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)),
+           regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*[''"]?([^''">\s]+)', 1)]) AS t
+  FROM (SELECT *, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS link FROM parts WHERE url IS NOT NULL AND html IS NOT NULL)),
+targets AS (
+  SELECT url AS a, CASE WHEN contains(t, '://') THEN t
+                        WHEN starts_with(t, '//') THEN concat(regexp_extract(url, '(?s)^(.*?)://', 1), ':', t)
+                        WHEN starts_with(t, '/') THEN concat(regexp_extract(url, '(?s)^(.*?)://', 1), '://', host, t) END AS b
+  FROM raw WHERE t <> ''),
+addresses AS (
+  SELECT u, concat(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   CASE WHEN regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) END) AS adr
+  FROM (SELECT a AS u FROM targets UNION SELECT b FROM targets UNION SELECT url FROM pages) WHERE contains(u, '://')),
+edges AS (
+  SELECT DISTINCT x.adr AS a, y.adr AS b FROM targets t JOIN addresses x ON t.a = x.u JOIN addresses y ON t.b = y.u WHERE x.adr <> y.adr),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (
+  SELECT a AS node, a AS other FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+ruled AS (
+  SELECT adr, arg_max(r_verdict, length(r_host) * 10000 + length(r_path)) AS v
+  FROM addresses, rules
+  WHERE (regexp_extract(adr, '^[^/?]*') = r_host OR ends_with(regexp_extract(adr, '^[^/?]*'), concat('.', r_host)))
+    AND starts_with(regexp_extract(adr, '^[^/?]*([^?]*)', 1), r_path)
+  GROUP BY adr),
+spread AS (
+  SELECT node FROM reach LEFT JOIN ruled ON reach.other = ruled.adr GROUP BY node
+  HAVING bool_or(coalesce(v, '') = 'block') AND NOT bool_or(coalesce(v, '') = 'allow')),
+fits AS (
+  SELECT DISTINCT p.host, p.path, arg_max(concat(r_host, r_path), length(r_host) * 10000 + length(r_path)) AS rule,
+         arg_max(r_verdict, length(r_host) * 10000 + length(r_path)) AS v
+  FROM (SELECT DISTINCT host, path FROM parts) p, rules
+  WHERE (p.host = r_host OR ends_with(p.host, concat('.', r_host))) AND starts_with(p.path, r_path)
+  GROUP BY p.host, p.path)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN adr IN (SELECT node FROM spread) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits USING (host, path) LEFT JOIN addresses ON parts.url = addresses.u
+""",
     "op9_decontamination": r"""
 WITH lowered AS (
   SELECT row_number() OVER () AS r, doc_id,
