@@ -11,6 +11,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Characters of text that one step of a Python operator holds at a time (one text at least).
 STEP_CHARS = 4_000_000
 
@@ -33,6 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut by a reliable checkpoint in the shared folder."""
+    ship(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -83,4 +86,5 @@ def learnable(doc_id, modulus: int):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
