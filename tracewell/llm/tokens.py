@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries that one cache of a Python worker holds at most, in two generations.
-CACHE_ENTRIES = 700_000
+#: Entries that a Python worker's cache holds at most, in two generations.
+CACHE_ENTRIES = 1_000_000
 #: Longer pieces are encoded each time.
 CACHED_BYTES = 48
 
@@ -19,7 +19,7 @@ CACHED_BYTES = 48
 #: White space is Python's, which holds all that the tokenizer's does.
 _SPACED = re.compile(r" ?\S+(?= \S|\n\S|\Z)|\n(?=\S)|(?s:.)+?(?:(?<=\S)(?= \S|\n\S)|\Z)")
 #: A text without these has only single spaces and line breaks, each between two words.
-_IRREGULAR = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+_IRREGULAR = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x00", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 _FOREIGN_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 
 
@@ -32,19 +32,16 @@ def vocabulary(name: str) -> str:
 
 #: Marks that never join a letter before them in a piece of any of the tokenizers.
 _MARKS = '!"#$%&()*+,-./:;=?@[]^_`{|}~'
+#: Letters below it are lower-cased one by one and are in normal form, but for this one.
+_PLAIN_LETTERS, _DOTTED_I = "\u0250", "\u0130"
 
 
-class _Cache(dict):
-    """Ids of prefix + key, by key. The older generation goes when the younger is full."""
-
-    def __init__(self, prefix: str = ""):
-        super().__init__()
-        self.prefix, self.old = prefix, {}
-
-    def turn(self) -> None:
-        if len(self) > CACHE_ENTRIES // 2:
-            self.old = dict(self)
-            self.clear()
+def _byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: printable ones stand for
+    themselves, the others follow from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
 class Encoder:
@@ -55,84 +52,113 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.drops_space = "Split" in str(self.tokenizer.pre_tokenizer)
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
-        self.bare, self.spaced = _Cache(), _Cache(" ")
-
-    def count_pieces(self, pieces: list[str]) -> list[int]:
-        return list(map(len, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)))
-
-    def pieces(self, text: bytes) -> list[tuple[_Cache, list[bytes]]]:
-        """The text as runs of keys of a cache."""
+        self.letters = _byte_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        """Keys of the pieces whose ids put together are the text's. Where white space counts, a
+        key stands for itself after a zero byte or if it begins with a line break, else for
+        itself after a space."""
         if self.drops_space:
-            return [(self.bare, text.split())]
+            return text.split()
         if not text:
             return []
         edges = text[:1] + text[-1:]
         if any(map(text.__contains__, _IRREGULAR)) or edges.strip() != edges or not text.isascii() and _FOREIGN_SPACE.search(text):
-            return [(self.bare, [x.encode() for x in _SPACED.findall(text.decode())])]
-        runs = []
-        for line in text.split(b"\n"):
-            first, *others = line.split(b" ")
-            runs += [(self.bare, [b"\n", first] if runs else [first]), (self.spaced, others)]
-        return runs
-
-    def halves(self, cache: _Cache, key: bytes) -> tuple[str, str]:
+            return [b"\x00" + x.encode() for x in _SPACED.findall(text.decode())]
+        return (b"\x00" + text.replace(b"\n", b" \n")).split(b" ")
+
+    def _piece(self, key: bytes) -> str:
+        if self.drops_space or key[:1] == b"\n":
+            return key.decode()
+        return key[1:].decode() if key[:1] == b"\x00" else " " + key.decode()
+
+    def _key(self, piece: str) -> bytes:
+        if self.drops_space or piece[0] == "\n":
+            return piece.encode()
+        return piece[1:].encode() if piece[0] == " " and piece[1:2] not in ("", "\x00", "\n") else b"\x00" + piece.encode()
+
+    def _halves(self, piece: str) -> tuple[str, str]:
         """A piece as a part often met and the marks after it, the same for the tokenizer."""
-        word = cache.prefix + key.decode()
-        if self.lowers and word.isascii() and "<" not in word:
-            word = word.lower()
-        body = word.rstrip(_MARKS)
-        return (body, word[len(body) :]) if body and body[-1].isalpha() else (word, "")
-
-    def learn(self, unknown: set[tuple[_Cache, bytes]] | dict) -> dict[int, dict[bytes, bytes]]:
-        """Encode pieces of either cache; what is too long for it is returned beside it."""
-        longer: dict[int, dict[bytes, bytes]] = {id(self.bare): {}, id(self.spaced): {}}
-        halves = {(c, k): self.halves(cache, k) for c, keys in unknown.items() for cache in (self.by_id(c),) for k in keys}
-        fresh = {}
+        if self.lowers and "<" not in piece and (piece.isascii() or max(piece) < _PLAIN_LETTERS and _DOTTED_I not in piece):
+            piece = piece.lower()
+        body = piece.rstrip(_MARKS)
+        return (body, piece[len(body) :]) if body and body[-1].isalpha() else (piece, "")
+
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part. A part of letters only is one word to the tokenizer, and goes
+        straight to its merges."""
+        out: list[list[int] | None] = []
+        others = []
+        tokenize, letters = self.model.tokenize, self.letters
+        for i, x in enumerate(parts):
+            word = x[1:] if x[0] == " " else x
+            if word.isalpha() and (not self.lowers or max(word) < _PLAIN_LETTERS and _DOTTED_I not in word and word == word.lower()):
+                written = x if x.isascii() and x[0] != " " else "".join([letters[b] for b in x.encode()])
+                out.append([t.id for t in tokenize(written)])
+            else:
+                out.append(None)
+                others.append(i)
+        found = self.tokenizer.encode_batch_fast([parts[i] for i in others], add_special_tokens=False)
+        for i, encoding in zip(others, found, strict=True):
+            out[i] = encoding.ids
+        return out
+
+    def count_pieces(self, pieces: list[str]) -> list[int]:
+        halves = [self._halves(x) for x in pieces]
+        parts = list({x for pair in halves for x in pair if x})
+        counts = dict(zip(parts, map(len, self._ids(parts))))
+        return [counts.get(body, 0) + counts.get(tail, 0) for body, tail in halves]
+
+    def _learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that the younger cache has not; those short enough enter it."""
+        young, old = self.young, self.old
+        out = {k: old[k] for k in unknown & old.keys()}
+        halves = {k: self._halves(self._piece(k)) for k in unknown - out.keys()}
+        parts: dict[str, bytes] = {}
+        new = []
         for x in {y for pair in halves.values() for y in pair if y}:
-            cache, key = (self.spaced, x[1:]) if x[:1] == " " else (self.bare, x)
-            key = key.encode()
-            fresh[x] = cache.get(key) or cache.old.get(key)
-        new = [x for x, ids in fresh.items() if ids is None]
-        for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            fresh[x] = np.array(found.ids, "<u4").tobytes()
-        for x, ids in fresh.items():
-            cache, key = (self.spaced, x[1:]) if x[:1] == " " else (self.bare, x)
-            if len(key) <= CACHED_BYTES:
-                cache[key.encode()] = ids
-        for (c, key), (body, tail) in halves.items():
-            (self.by_id(c) if len(key) <= CACHED_BYTES else longer[c])[key] = fresh[body] + (fresh[tail] if tail else b"")
-        return longer
-
-    def by_id(self, c: int) -> _Cache:
-        return self.bare if c == id(self.bare) else self.spaced
+            key = self._key(x)
+            ids = young.get(key) or old.get(key)
+            parts[x] = ids
+            if ids is None:
+                new.append(x)
+        for x, ids in zip(new, self._ids(new), strict=True):
+            parts[x] = struct.pack(f"<{len(ids)}I", *ids)
+        for k, (body, tail) in halves.items():
+            out[k] = parts.get(body, b"") + parts[tail] if tail else parts.get(body, b"")
+            if tail and len(body) <= CACHED_BYTES // 4:
+                young[self._key(body)] = parts[body]
+        young.update((k, ids) for k, ids in out.items() if len(k) <= CACHED_BYTES)
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        self.bare.turn()
-        self.spaced.turn()
+        if len(self.young) > CACHE_ENTRIES // 2:
+            self.young, self.old = {}, self.young
+        get = self.young.get
         out: list[bytes | None] = []
-        wait, unknown = [], {id(self.bare): set(), id(self.spaced): set()}
+        wait, unknown = [], set()
         for i, text in enumerate(texts):
-            runs = self.pieces(text)
-            found = [ids for cache, keys in runs for ids in map(cache.get, keys)]
+            pieces = self.pieces(text)
+            found = list(map(get, pieces))
             if None in found:
-                for cache, keys in runs:
-                    unknown[id(cache)].update(k for k, ids in zip(keys, map(cache.get, keys)) if ids is None)
-                wait.append((i, runs))
+                unknown.update([k for k, ids in zip(pieces, found) if ids is None])
+                wait.append((i, pieces, found))
                 out.append(None)
             else:
                 out.append(b"".join(found))
-        longer = self.learn(unknown)
-        for i, runs in wait:
-            out[i] = b"".join(
-                ids if ids is not None else longer[id(cache)][key] for cache, keys in runs for key, ids in zip(keys, map(cache.get, keys))
-            )
+        learned = self._learn(unknown)
+        for i, pieces, found in wait:
+            out[i] = b"".join([learned[k] if ids is None else ids for k, ids in zip(pieces, found)])
         return out
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder; it keeps its caches from task to task."""
+    """The worker's own encoder; it keeps its cache from task to task."""
     return Encoder(path)
