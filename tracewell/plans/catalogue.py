@@ -53,7 +53,8 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = shipped
         if sql is not None:
-            ORACLES[name] = _TXN + sql
+            # As in rounded(): sums differ in their last bits, so ties are moved off the half.
+            ORACLES[name] = _TXN + sql.replace(", 6)", " + 1e-9, 6)")
         return f
 
     return keep
@@ -78,7 +79,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         kind = f.dataType.simpleString()
         column = F.col(f"`{f.name}`")
         if kind in ("double", "float") or kind.startswith("decimal"):
-            column = F.round(column.cast("double"), digits)
+            column = F.round(column.cast("double") + F.lit(1e-9), digits)
         elif kind in ("int", "bigint", "smallint", "tinyint"):
             column = column.cast("bigint")
         out.append(column.alias(f.name))
