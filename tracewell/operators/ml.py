@@ -110,3 +110,54 @@ def leaderboard(models: dict[str, DataFrame]) -> DataFrame:
         row = average_precision(ids).crossJoin(roc_auc(ids)).select(F.lit(name).alias("model"), "average_precision", "roc_auc")
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc("average_precision"), "model")
+
+
+def one_class_scores(features: DataFrame, nu: float = 0.05, waves: int = 256, steps: int = 4000, sample: int = FOREST_SAMPLE, seed: int = 7) -> DataFrame:
+    """``account_id``, ``raw``: how far outside a one-class boundary an account lies.
+
+    The radial kernel is approached by random cosine features; the boundary is fitted by
+    stochastic gradients on a bounded sample (those least by a hash of the id), and all accounts are
+    scored."""
+    few = features.orderBy(F.xxhash64("account_id"), "account_id").limit(sample).select(*NAMES).toPandas().to_numpy(float)
+    rng = np.random.default_rng(seed)
+    centre, scale = (few.mean(0), few.std(0)) if len(few) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    lean = rng.normal(0, 1 / np.sqrt(len(NAMES)), (len(NAMES), waves))
+    phase = rng.uniform(0, 2 * np.pi, waves)
+
+    def lift(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2 / waves) * np.cos((x - centre) / scale @ lean + phase)
+
+    w, rho = np.zeros(waves), 0.0
+    if len(few):
+        z = lift(few)
+        w = z.mean(0)
+        for t in range(1, steps + 1):
+            x = z[rng.integers(len(z), size=64)]
+            inside = (x @ w < rho)[:, None]
+            rate = 1.0 / (t + 10)
+            w -= rate * (w - (x * inside).mean(0) / nu)
+            rho -= rate * (inside.mean() / nu - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[list(NAMES)].to_numpy(float)
+            yield pd.DataFrame({"account_id": batch["account_id"], "raw": rho - lift(x) @ w})
+
+    return features.select("account_id", *NAMES).mapInPandas(run, "account_id string, raw double")
+
+
+def adjacency(edges: DataFrame, split: DataFrame) -> DataFrame:
+    """``account``, ``other``, ``weight``: distinct undirected neighbours with both ends in one side of a
+    split (account, test), each account's weights summing to one."""
+    both = edges.select(F.col("src").alias("account"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
+    side = split.select("account", "test")
+    inside = both.join(side, "account").join(side.select(F.col("account").alias("other"), F.col("test").alias("test2")), "other").filter("test = test2")
+    return inside.select("account", "other", (1.0 / F.count("*").over(Window.partitionBy("account"))).alias("weight"))
+
+
+def with_neighbours(features: DataFrame, weights: DataFrame, names=NAMES) -> DataFrame:
+    """features (account, names) with each name's weighted mean over neighbours as ``near_<name>``; 0 without."""
+    other = features.select(F.col("account").alias("other"), *names)
+    near = weights.join(other, "other").groupBy("account").agg(*(F.sum(F.col("weight") * F.col(n)).alias(f"near_{n}") for n in names))
+    return features.join(near, "account", "left").fillna(0.0, [f"near_{n}" for n in names])

@@ -101,3 +101,28 @@ def layer_comparison(signals: DataFrame, truth: DataFrame, budget: int = 25) ->
     bad = truth.select(F.col("id").alias("account_id")).distinct().withColumn("bad", F.lit(1))
     out = top.join(bad, "account_id", "left").groupBy("source").agg(F.count("*").alias("reviewed"), F.count("bad").alias("hits"))
     return out.withColumn("precision", _rate(F.col("hits"), F.col("reviewed")))
+
+
+def entity_score(hits: DataFrame, entities: DataFrame) -> DataFrame:
+    """``match_kind``, ``planted``, ``found``, ``recall`` over customers planted by kind."""
+    ids = hits.select("customer_id").distinct().withColumn("met", F.lit(1))
+    met = entities.select("customer_id", "match_kind").distinct().join(ids, "customer_id", "left")
+    return met.groupBy("match_kind").agg(F.count("*").alias("planted"), F.count("met").alias("found")).withColumn("recall", _rate(F.col("found"), F.col("planted")))
+
+
+def media_score(hits: DataFrame, links: DataFrame) -> DataFrame:
+    """One row ``flagged``, ``hits``, ``planted``, ``precision``, ``recall`` over distinct (article, customer) pairs."""
+    found = hits.select("article_id", "customer_id").distinct()
+    good = links.select("article_id", "customer_id").filter("customer_id is not null").distinct().withColumn("good", F.lit(1))
+    a = found.join(good, ["article_id", "customer_id"], "left").agg(F.count("*").alias("flagged"), F.count("good").alias("hits"))
+    out = a.crossJoin(good.agg(F.count("*").alias("planted")))  # one row each
+    return out.withColumns({"precision": _rate(F.col("hits"), F.col("flagged")), "recall": _rate(F.col("hits"), F.col("planted"))})
+
+
+def marginal_trade(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: accounts that a new queue (account_id) ``gained`` and ``lost``, and how many of each are true."""
+    bad = truth.select(F.col("id").alias("account_id")).distinct().withColumn("bad", F.lit(1))
+    old, new = before.select("account_id").distinct(), after.select("account_id").distinct()
+    gained = new.join(old, "account_id", "left_anti").join(bad, "account_id", "left").agg(F.count("*").alias("gained"), F.count("bad").alias("gained_true"))
+    lost = old.join(new, "account_id", "left_anti").join(bad, "account_id", "left").agg(F.count("*").alias("lost"), F.count("bad").alias("lost_true"))
+    return gained.crossJoin(lost)  # one row each

@@ -369,6 +369,20 @@ def media_matches(spark, sf):
     return screening.screen_media(world.plant_media(people).drop("customer_id"), people)
 
 
+@query("entity_score")
+def entity_score(spark, sf):
+    people = _people(spark)
+    planted = world.plant_entities(people, watchlist(spark), 12)
+    return scoring.entity_score(screening.screen_customers(planted.select("customer_id", "full_name"), watchlist(spark)), planted)
+
+
+@query("media_score")
+def media_score(spark, sf):
+    people = _people(spark)
+    articles = world.plant_media(people)
+    return scoring.media_score(screening.screen_media(articles.drop("customer_id"), people), articles.select("article_id", "customer_id"))
+
+
 @query("geo_containment", "SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN contains(n_name, '_1') THEN '_1' WHEN contains(n_name, '_2') THEN '_2' END AS hit FROM nation")
 def geo_containment(spark, sf):
     return rounded(nations(spark, sf).select("n_nationkey", rules.first_listed(F.col("n_name"), ("_1", "_2")).alias("hit")))
@@ -534,6 +548,16 @@ def unique_reach(spark, sf):
     return rounded(own.groupBy(F.element_at("s", 1).alias("source")).agg(F.count("*").alias("n")))
 
 
+@query("marginal_trade", _SIGNALS + f"""before AS (SELECT account_id FROM strongest WHERE source <> 'screening' GROUP BY 1 ORDER BY round(sum({_WEIGHT} * contribution) * 100, 2) DESC, account_id LIMIT 25),
+after AS (SELECT account_id FROM strongest GROUP BY 1 ORDER BY round(sum({_WEIGHT} * contribution) * 100, 2) DESC, account_id LIMIT 25), t AS (SELECT DISTINCT id FROM truth),
+g AS (SELECT account_id FROM after WHERE account_id NOT IN (FROM before)), l AS (SELECT account_id FROM before WHERE account_id NOT IN (FROM after))
+SELECT (SELECT count(*) FROM g) AS gained, (SELECT count(*) FROM g WHERE account_id IN (FROM t)) AS gained_true, (SELECT count(*) FROM l) AS lost, (SELECT count(*) FROM l WHERE account_id IN (FROM t)) AS lost_true""")
+def marginal_trade(spark, sf):
+    s = signals(spark, sf)
+    top = lambda x: risk.aggregate(x).orderBy(F.desc("score"), "account_id").limit(25)
+    return scoring.marginal_trade(top(s.filter("source <> 'screening'")), top(s), truth(spark, sf))
+
+
 @query("tie_noise", _SCORES + ", c AS (SELECT min(score) AS score FROM (SELECT score FROM scores ORDER BY score DESC, account_id LIMIT 25)) SELECT count(*) FILTER (s.score = c.score) AS tied, count(*) FILTER (s.score > c.score) AS above FROM scores s, c")
 def tie_noise(spark, sf):
     s = scores(spark, sf)
@@ -705,6 +729,19 @@ def unsupervised_scores(spark, sf):
     return risk.unsupervised_scores(ml.isolation_scores(features.account_features(txns(spark, sf)), trees=50))
 
 
+@query("one_class_scores")
+def one_class_scores(spark, sf):
+    return ml.one_class_scores(features.account_features(txns(spark, sf)), steps=1000)
+
+
+@query("adjacency", """, b AS (SELECT src AS account, dst AS other FROM edges UNION SELECT dst, src FROM edges), i AS (SELECT * FROM b WHERE account % 3 = 0 AND other % 3 = 0 OR account % 3 <> 0 AND other % 3 <> 0)
+SELECT account, other, round(1.0::DOUBLE / count(*) OVER (PARTITION BY account), 6) AS weight FROM i""")
+def adjacency(spark, sf):
+    e = ledger.edges(spark, sf)
+    people = e.select(F.col("src").alias("account")).union(e.select("dst")).distinct()
+    return rounded(ml.adjacency(e, people.withColumn("test", F.col("account") % 3 == 0)))
+
+
 # --- generated worlds ------------------------------------------------------------------------
 
 @query("population")

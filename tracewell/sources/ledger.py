@@ -138,6 +138,13 @@ def load_watchlist(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("position", F.monotonically_increasing_id()).filter("type <> 'notice'")
 
 
+def split_into_banks(bank: Ledger, mapping: DataFrame, path: str) -> None:
+    """Write each bank's own accounts and transactions under ``bank=<name>``, from (account_id, bank).
+    A bank is opened by its folder alone, so no detector can see another's rows."""
+    for name in ("transactions", "accounts"):
+        getattr(bank, name).join(mapping, "account_id").write.partitionBy("bank").mode("overwrite").parquet(f"{path}/{name}")
+
+
 def violations(ledger: Ledger) -> DataFrame:
     """``table_name``, ``violated``, ``n`` of each broken constraint."""
     t, a, c = ledger.transactions, ledger.accounts, ledger.customers
