@@ -75,6 +75,21 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Names as Spark resolves them literally, dots included."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
+def positional(names: list[str]):
+    """The columns under plain names, which Python functions on batches need."""
+    return [F.col(q).alias(f"__c{i}") for i, q in enumerate(quoted(names))]
+
+
+def without(names: list[str], taken: list[str]) -> list[str]:
+    """The names that do not clash with taken ones, by Spark's case-blind rule."""
+    return [n for n in names if n.lower() not in {t.lower() for t in taken}]
+
+
 def held_out(doc_id, modulus: int):
     """Whether crc32 of the id as text leaves remainder 1. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == 1, F.lit(False))

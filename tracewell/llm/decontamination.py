@@ -221,4 +221,4 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     checkpoint, so that its rows are numbered alike when read again."""
     dirty = contamination(docs, items).filter("contaminated").select(F.col("row").alias("__row"))
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(dirty, "__row", "left_anti").select(docs.columns)
+    return numbered.join(dirty, "__row", "left_anti").select(common.quoted(docs.columns))

@@ -127,18 +127,19 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int | None = 3, sample_rows
     return Discriminant.fit(*labelled_statistics(docs, labels, allowed, sample_rows))
 
 
-def classify(docs: DataFrame, model: Discriminant, columns: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """``columns`` of docs (all by default) with ``score`` and ``predicted``."""
-    kept = [c for c in (columns or docs.columns) if c not in ("score", "predicted")]
+def classify(docs: DataFrame, model: Discriminant, columns: list[str] | None = None, threshold: float = 0.5, prefix: str = "") -> DataFrame:
+    """``columns`` of docs (all by default) with ``score`` and ``predicted``, named after a prefix."""
+    names = [f"{prefix}score", f"{prefix}predicted"]
+    kept = common.without(columns or docs.columns, names)
     fields = [docs.schema[c] for c in kept]
-    out = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    out = T.StructType([*fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, "__text"):
             score = model.score(statistics_of(common.texts_of(batch, "__text")))
             own = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"]
+                [*own, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, *names]
             )
 
-    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(run, out)
+    return docs.select(*common.positional(kept), F.col("text").alias("__text")).mapInArrow(run, out)

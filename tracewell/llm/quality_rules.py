@@ -165,10 +165,11 @@ def measure(text: bytes) -> tuple[list[int], list[float]]:
     return [len(words), chars, symbols, dup, repeated], statistics.features(text, words, repeated, dup, lines)
 
 
-def judge(docs: DataFrame, model: Trees, columns: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """``columns`` of docs (all by default) with the columns of RESULT."""
-    kept = [c for c in (columns or docs.columns) if c not in RESULT.names]
-    out = T.StructType([*(docs.schema[c] for c in kept), *RESULT.fields])
+def judge(docs: DataFrame, model: Trees, columns: list[str] | None = None, threshold: float = 0.5, prefix: str = "") -> DataFrame:
+    """``columns`` of docs (all by default) with the columns of RESULT, named after a prefix."""
+    added = [T.StructField(f"{prefix}{f.name}", f.dataType) for f in RESULT]
+    kept = common.without(columns or docs.columns, [f.name for f in added])
+    out = T.StructType([*(docs.schema[c] for c in kept), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, "__text"):
@@ -179,7 +180,7 @@ def judge(docs: DataFrame, model: Trees, columns: list[str] | None = None, thres
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(kept))), *(pa.array(c) for c in counts.T),
                  pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)],
-                names=[*kept, *RESULT.names],
+                names=out.names,
             )
 
-    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(run, out)
+    return docs.select(*common.positional(kept), F.col("text").alias("__text")).mapInArrow(run, out)
