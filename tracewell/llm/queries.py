@@ -139,6 +139,15 @@ fits AS (
 SELECT page_id, host, path, rule,
        coalesce(v, CASE WHEN adr IN (SELECT node FROM spread) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits USING (host, path) LEFT JOIN addresses ON parts.url = addresses.u
+""",
+    "op7_warc": r"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT *, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM bodies)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST(concat('0x', substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM hashed
 """,
     "op9_decontamination": r"""
 WITH lowered AS (
