@@ -153,3 +153,18 @@ def test_split_is_stratified(spark):
     out = ml.stratified_split(rows, 0.3).groupBy("label").agg({"account_id": "count"}).count()
     n = {r.label: r.n for r in ml.stratified_split(rows, 0.3).filter("test").groupBy("label").count().withColumnRenamed("count", "n").collect()}
     assert out == 2 and n == {0: 9, 1: 3}
+
+
+def test_chains_are_planted_across_banks(spark):
+    mapping = world.assign_banks(world.population(spark, 200))
+    bank = {r.account_id: r.bank for r in mapping.collect()}
+    for placement in ("naive", "deliberate"):
+        planted = [r.account_ids for r in world.plant_chains(mapping, 6, 5, placement).collect()]
+        assert len(planted) == 6 and len({a for c in planted for a in c}) == 30
+        if placement == "deliberate":
+            assert all(bank[a] != bank[b] for c in planted for a, b in zip(c, c[1:]))
+    with pytest.raises(ValueError):
+        world.plant_chains(mapping, placement="sideways")
+    with pytest.raises(ValueError):
+        world.plant_chains(mapping.limit(3))
+    assert world.post(world.life_events(world.cast(spark), 7)).count() > 25

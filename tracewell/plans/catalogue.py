@@ -777,6 +777,15 @@ def inject_layering(spark, sf):
     return world.layering(own.select(F.concat(F.lit("L"), "c").alias("chain_id"), "account_ids"))
 
 
+@query("cast_week")
+def cast_week(spark, sf):
+    return world.post(world.life_events(world.cast(spark), 7))
+
+
+for _placement in ("naive", "deliberate"):
+    query(f"plant_chains_{_placement}")(lambda spark, sf, placement=_placement: world.plant_chains(world.assign_banks(world.population(spark, 200)), placement=placement))
+
+
 @query("redteam_decay")
 def redteam_decay(spark, sf):
     return redteam.structuring_decay(spark, generations=3, customers=60, schemes=3, days=10)

@@ -257,3 +257,48 @@ def plant_media(people: DataFrame, true: int = 10, trap: int = 10, benign: int =
         F.col("at").cast("long").alias("article_id"), F.lit(START).cast("timestamp_ntz").alias("ts"), F.concat(F.lit("Report on "), name).alias("headline"), F.concat(name, F.lit(" was named.")).alias("body"),
         name.alias("mentioned_name"), F.when(kind == "benign", "none").otherwise("fraud").alias("category"), F.when(kind == "true", F.col("customer_id")).alias("customer_id"),
     )
+
+
+#: A small fixed cast, for a world that can be read by eye.
+CAST = (
+    ("Asha Rao", "salaried"), ("Bharat Joshi", "business"), ("Chitra Nair", "student"), ("Dev Mehta", "salaried"), ("Esha Khan", "nri"),
+    ("Faiz Ali", "merchant"), ("Gita Das", "salaried"), ("Hari Iyer", "business"), ("Indu Patel", "salaried"), ("Jai Singh", "student"),
+    ("Kiran Bose", "salaried"), ("Lata Gupta", "merchant"), ("Mohan Reddy", "nri"), ("Nisha Verma", "salaried"), ("Om Sharma", "business"),
+    ("Pia Kulkarni", "student"), ("Qadir Khan", "salaried"), ("Ravi Das", "salaried"), ("Sunita Rao", "merchant"), ("Tara Singh", "salaried"),
+    ("Uma Nair", "nri"), ("Varun Joshi", "salaried"), ("Waseem Ali", "business"), ("Yash Mehta", "salaried"), ("Zoya Patel", "student"),
+)
+
+
+def cast(spark: SparkSession) -> DataFrame:
+    """The cast as customers with one account each, like ``population``."""
+    rows = [(i, f"C{i:08d}", f"A{i:08d}", segment, name, CITIES[i % len(CITIES)]) for i, (name, segment) in enumerate(CAST)]
+    return spark.createDataFrame(rows, "id long, customer_id string, account_id string, segment string, full_name string, city string")
+
+
+def assign_banks(accounts: DataFrame, n: int = 4, seed: int = 5) -> DataFrame:
+    """``account_id``, ``bank`` by hash."""
+    return accounts.select("account_id", F.pmod(F.xxhash64("account_id", F.lit(seed)), F.lit(n)).cast("int").alias("bank"))
+
+
+def plant_chains(mapping: DataFrame, chains: int = 12, length: int = 4, placement: str = "naive", banks: int = 4, seed: int = 5) -> DataFrame:
+    """``chain_id``, ``account_ids``: naive chains take accounts as they come, deliberate ones change the
+    bank with every hop. Accounts serve one chain only; raises if there are too few."""
+    if placement not in ("naive", "deliberate"):
+        raise ValueError(f"unknown placement {placement!r}")
+    spark = mapping.sparkSession
+    want = spark.range(chains * length).select((F.col("id") / length).cast("int").alias("c"), (F.col("id") % length).cast("int").alias("p"))
+    order = F.xxhash64("account_id", F.lit(seed + 1))
+    if placement == "naive":
+        need = chains * length
+        own = mapping.orderBy(order, "account_id").limit(need).withColumn("i", F.row_number().over(Window.orderBy(order, "account_id")) - 1)
+        met = want.withColumn("i", F.col("c") * length + F.col("p")).join(own, "i")
+    else:
+        by = Window.partitionBy("bank").orderBy(order, "account_id")
+        each = -(-length // banks)
+        own = mapping.withColumn("i", F.row_number().over(by) - 1).filter(F.col("i") < chains * each)
+        met = want.withColumns({"bank": (F.col("c") + F.col("p")) % banks, "i": F.col("c") * each + F.floor(F.col("p") / banks)}).join(own, ["bank", "i"])
+    out = met.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "account_id"))), lambda x: x.account_id).alias("account_ids"))
+    full = out.filter(F.size("account_ids") == length)
+    if full.count() < chains:
+        raise ValueError(f"too few accounts for {chains} chains of {length}")
+    return full.select(F.concat(F.lit(f"{placement}-"), "c").alias("chain_id"), "account_ids")
