@@ -343,11 +343,16 @@ def segmentations(word, v, log_p):
     return total
 
 
-def test_lattice_sums_all_segmentations_and_counts_pieces():
+def test_lattice_sums_all_segmentations_and_counts_pieces(monkeypatch):
     v = lattice.vocabulary(tokens.vocabulary("piece_bpe_32k.model"))
     words = ["the", "other", "ther", "été", "日本", "a", "x\x07"]
     logs, counts = lattice.Lattice(v, v.log_p).log_words(words, [1] * len(words))
     assert np.allclose(logs, [math.log(segmentations("▁" + w, v, v.log_p)) for w in words])
+    long = "the" + "x日other" * 6
+    together = lattice.Lattice(v, v.log_p).log_words([long], [2])
+    monkeypatch.setattr(lattice, "LONG", 5)
+    alone = lattice.Lattice(v, v.log_p).log_words([long], [2])
+    assert np.allclose(together[0], alone[0]) and np.allclose(together[1], alone[1])
     # Expected counts are the gradient of the log probabilities by the log weights.
     piece, eps = v.ids["▁the"], 1e-5
     moved = v.log_p.copy()

@@ -28,11 +28,11 @@ from . import common
 from .frequencies import document_sums, word_counts
 
 START = "▁"
-ROUNDS = 2
+ROUNDS = 3
 #: Pseudo-counts that the vocabulary's weights are worth in all.
 PRIOR = 1000.0
-#: Words whose lattices are computed together, and longest word computed so.
-STEP, LONG = 20_000, 48
+#: Words whose lattices are computed together, words taken in for that, and longest word computed so.
+STEP, TAKEN, LONG = 8_000, 60_000, 48
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -63,6 +63,7 @@ class Vocabulary:
                 scores.append(min(scores, default=0.0) - 1)
         self.end = len(scores)
         self.longest = max(map(len, self.ids), default=1)
+        self.table = _Table(self.ids)
         scores = np.array([*scores, max(scores, default=0.0)])
         weights = np.exp(scores) if scores.min() > -50 else 1 / (2 + scores.max() - scores)
         for b in self.bytes.values():
@@ -73,70 +74,153 @@ class Vocabulary:
         return self.end + 1
 
 
+class _Table:
+    """Pieces by a 64-bit hash of their characters, with open addressing, for whole arrays at once."""
+
+    PRIME, SLOTS = np.uint64(0x9E3779B97F4A7C15), 1 << 18
+
+    def __init__(self, ids: dict[str, int]):
+        while self.SLOTS < 4 * len(ids):
+            self.SLOTS *= 2
+        self.keys, self.ids = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int32)
+        by_length = defaultdict(list)
+        for piece in ids:
+            by_length[len(piece)].append(piece)
+        for size, pieces in by_length.items():
+            code = _codes(pieces, size)
+            h = np.zeros(len(pieces), np.uint64)
+            for k in range(size):
+                h = h * self.PRIME + code[k]
+            for piece, key in zip(pieces, self.mixed(h, size)):
+                at = int(key) % self.SLOTS
+                while self.ids[at] >= 0:
+                    at = (at + 1) % self.SLOTS
+                self.keys[at], self.ids[at] = key, ids[piece]
+
+    def mixed(self, h: np.ndarray, size: int) -> np.ndarray:
+        h = (h + np.uint64(size)) * self.PRIME
+        return h ^ (h >> np.uint64(32))
+
+    def find(self, h: np.ndarray, size: int) -> np.ndarray:
+        """Ids of pieces of this size by their unmixed hashes; -1 where there is none."""
+        key = self.mixed(h, size)
+        at = (key % np.uint64(self.SLOTS)).astype(np.int64)
+        found = np.where(self.keys[at] == key, self.ids[at], -1)
+        left = np.nonzero((self.keys[at] != key) & (self.ids[at] >= 0))
+        while len(left[0]):
+            at[left] = (at[left] + 1) % self.SLOTS
+            now = self.keys[at[left]] == key[left]
+            found[left] = np.where(now, self.ids[at[left]], -1)
+            more = ~now & (self.ids[at[left]] >= 0)
+            left = tuple(x[more] for x in left)
+        return found
+
+
+def _codes(words: list[str], size: int) -> np.ndarray:
+    """Code points of words of one length: a row for each place, a column for each word."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    return np.ascontiguousarray(flat.reshape(len(words), size).T).astype(np.uint64)
+
+
 class Lattice:
     """Forward and backward sums over words, given the pieces' log probabilities."""
 
     def __init__(self, vocabulary: Vocabulary, log_p: np.ndarray):
-        self.v, self.log_p = vocabulary, np.append(log_p, -np.inf)
-        self.none = len(vocabulary)
+        self.v, self.log_p = vocabulary, log_p
 
     def spelling(self, char: str) -> list[int]:
         return [self.v.bytes[b] for b in char.encode()]
 
     def log_words(self, words: list[str], counts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of each word; with counts, also the pieces' expected counts."""
-        out, expected = np.zeros(len(words)), np.zeros(self.none + 1)
+        out, expected = np.zeros(len(words)), np.zeros(len(self.v))
         by_length = defaultdict(list)
         for i, w in enumerate(words):
             by_length[len(w)].append(i)
         for length, own in by_length.items():
-            step = max(1, STEP * 8 // max(8, length) // max(1, length // LONG))
-            for k in range(0, len(own), step):
-                part = own[k : k + step]
+            if length > LONG:
+                for i in own:
+                    out[i] = self._alone(START + words[i], 0 if counts is None else counts[i], expected)
+                continue
+            for k in range(0, len(own), STEP):
+                part = own[k : k + STEP]
                 n = None if counts is None else np.array([counts[i] for i in part], float)
                 out[part] = self._together([START + words[i] for i in part], length + 1, n, expected)
-        return out, expected[:-1]
+        return out, expected
 
     def _together(self, words, size, n, expected):
-        get, none, most = self.v.ids.get, self.none, min(size, self.v.longest)
-        spans = [(j - m, j) for j in range(1, size + 1) for m in range(1, min(most, j) + 1)]
-        ids = np.array([[get(w[i:j], none) for i, j in spans] for w in words], np.int32).reshape(len(words), len(spans))
-        chars = {c: k for k, c in enumerate(set().union(*words))}
-        spelt = [self.spelling(c) for c in chars]
-        bytes_log = np.array([self.log_p[s].sum() for s in spelt])
-        letter = np.array([[chars[c] for c in w] for w in words], np.int32).reshape(len(words), size)
-        edge, spell = self.log_p[ids], bytes_log[letter]
-        into = defaultdict(list)
-        for s, (i, j) in enumerate(spans):
-            into[j].append((s, i))
+        """Words of one length. An edge is kept with the words that have its piece."""
+        code = _codes(words, size)
+        chars, letter = np.unique(code, return_inverse=True)
+        letter = letter.reshape(code.shape)
+        spelt = [self.spelling(chr(c)) for c in chars]
+        spell = np.array([self.log_p[s].sum() for s in spelt])[letter]
+        into, out_of = defaultdict(list), defaultdict(list)
+        h = np.zeros_like(code)
+        for m in range(1, min(size, self.v.longest) + 1):
+            h = h[: size - m + 1] * _Table.PRIME + code[m - 1 :]
+            found = self.v.table.find(h, m)
+            for i in range(size - m + 1):
+                rows = np.flatnonzero(found[i] >= 0)
+                if len(rows):
+                    ids = found[i][rows]
+                    edge = (i, i + m, rows, ids, self.log_p[ids])
+                    into[i + m].append(edge)
+                    out_of[i].append(edge)
         ahead = np.full((size + 1, len(words)), -np.inf)
         ahead[0] = 0.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for j in range(1, size + 1):
-                ahead[j] = _log_sum([ahead[j - 1] + spell[:, j - 1], *(ahead[i] + edge[:, s] for s, i in into[j])])
-            if n is not None:
-                back = np.full((size + 1, len(words)), -np.inf)
-                back[size] = 0.0
-                out_of = defaultdict(list)
-                for s, (i, j) in enumerate(spans):
-                    out_of[i].append((s, j))
-                for i in range(size - 1, -1, -1):
-                    back[i] = _log_sum([back[i + 1] + spell[:, i], *(back[j] + edge[:, s] for s, j in out_of[i])])
-                for s, (i, j) in enumerate(spans):
-                    share = np.exp(ahead[i] + edge[:, s] + back[j] - ahead[size]) * n
-                    expected += np.bincount(ids[:, s], share, len(expected))
-                by_char = np.zeros(len(chars))
-                for i in range(size):
-                    by_char += np.bincount(letter[:, i], np.exp(ahead[i] + spell[:, i] + back[i + 1] - ahead[size]) * n, len(chars))
-                for c, s in enumerate(spelt):
-                    np.add.at(expected, s, by_char[c])
+        for j in range(1, size + 1):
+            total = ahead[j - 1] + spell[j - 1]
+            for i, _, rows, _, weight in into[j]:
+                total[rows] = np.logaddexp(total[rows], ahead[i][rows] + weight)
+            ahead[j] = total
+        if n is not None:
+            back = np.full((size + 1, len(words)), -np.inf)
+            back[size] = 0.0
+            pieces, shares = [], []
+            by_char = np.zeros(len(chars))
+            for i in range(size - 1, -1, -1):
+                spelled = back[i + 1] + spell[i]
+                total = spelled.copy()
+                start = ahead[i] - ahead[size]
+                for _, j, rows, ids, weight in out_of[i]:
+                    way = back[j][rows] + weight
+                    total[rows] = np.logaddexp(total[rows], way)
+                    pieces.append(ids)
+                    shares.append(np.exp(start[rows] + way) * n[rows])
+                by_char += np.bincount(letter[i], np.exp(start + spelled) * n, len(chars))
+                back[i] = total
+            if pieces:
+                expected += np.bincount(np.concatenate(pieces), np.concatenate(shares), len(expected))
+            for c, s in enumerate(spelt):
+                np.add.at(expected, s, by_char[c])
         return ahead[size]
 
-
-def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    stacked = np.stack(terms)
-    most = stacked.max(0)
-    return most + np.log(np.exp(stacked - most).sum(0))
+    def _alone(self, word: str, n: int, expected: np.ndarray) -> float:
+        """One long word, place by place."""
+        get, log_p, size, longest = self.v.ids.get, self.log_p, len(word), self.v.longest
+        spelt = {c: (self.spelling(c), float(log_p[self.spelling(c)].sum())) for c in set(word)}
+        edges = []
+        ahead = [0.0] * (size + 1)
+        for j in range(1, size + 1):
+            ways = [(j - 1, -1, spelt[word[j - 1]][1])]
+            for i in range(max(0, j - longest), j):
+                piece = get(word[i:j])
+                if piece is not None:
+                    ways.append((i, piece, float(log_p[piece])))
+            terms = [ahead[i] + w for i, _, w in ways]
+            most = max(terms)
+            ahead[j] = most + math.log(sum(math.exp(t - most) for t in terms))
+            edges.append(ways)
+        if n:
+            share = [0.0] * size + [float(n)]  # of all segmentations, those with an end here
+            for j in range(size, 0, -1):
+                if share[j]:
+                    for i, piece, w in edges[j - 1]:
+                        x = share[j] * math.exp(ahead[i] + w - ahead[j])
+                        share[i] += x
+                        np.add.at(expected, spelt[word[j - 1]][0] if piece < 0 else piece, x)
+        return ahead[size]
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -149,6 +233,18 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about TAKEN words, so that words of one length are many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TAKEN or sum(b.nbytes for b in held) >= common.STEP_CHARS:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def learn(table: DataFrame, n_ends: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the pieces and the end, from ``word``, ``n_learn`` of a word table.
     A round brings one row for each piece to the driver, whatever the input."""
@@ -162,10 +258,10 @@ def learn(table: DataFrame, n_ends: int, path: str, rounds: int = ROUNDS) -> np.
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(vocabulary(path), shared.value)
-            total = np.zeros(lattice.none)
-            for batch in batches:
-                words = [x.decode() for x in batch.column("word").to_pylist()]
-                total += lattice.log_words(words, batch.column("n_learn").to_pylist())[1]
+            total = np.zeros(len(lattice.v))
+            for table in _gathered(batches):
+                words = [x.decode() for x in table.column("word").to_pylist()]
+                total += lattice.log_words(words, table.column("n_learn").to_pylist())[1]
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["piece", "n"])
 
@@ -191,7 +287,7 @@ def score(docs: DataFrame, path: str, learns, rounds: int = ROUNDS) -> DataFrame
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(path), shared.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             logs = lattice.log_words([x.decode() for x in batch.column("word").to_pylist()])[0]
             c = batch.column("n_learn").to_numpy()
             yield pa.RecordBatch.from_arrays(
