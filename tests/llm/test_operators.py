@@ -147,6 +147,30 @@ def test_groups_are_those_of_exact_similarity(spark, tmp_path, monkeypatch):
     assert kept.columns == d.columns and kept.count() == len({find(k) for k in sets})
 
 
+@pytest.mark.parametrize("hot", (4000, 3))
+def test_groups_meet_every_contiguous_edit(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(simhash_groups, "HOT_KEY", hot)
+    rng = random.Random(2)
+    draw = lambda n: [f"w{int(rng.paretovariate(0.6))}" for _ in range(n)]
+    pairs = []
+    for n in (60, 200, 700):
+        for _ in range(25):
+            base, part = draw(n), n * 19 // 100
+            pairs += [(base, base + draw(part)), (base, draw(part) + base), (base, base[: n - part]), (base, base[: n - n // 12] + draw(n // 12))]
+    texts = [" ".join(t) for pair in pairs for t in pair]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    numbered = {r.doc_id: r.row for r in d.select(F.monotonically_increasing_id().alias("row"), "doc_id").collect()}
+    root = {r.row: r.root for r in simhash_groups.groups(d).collect()}
+    similar = 0
+    for k in range(0, len(texts), 2):
+        a, b = (simhash_groups.shingles(t.encode().split()) for t in texts[k : k + 2])
+        if 5 * len(a & b) >= 4 * len(a | b):
+            similar += 1
+            assert root[numbered[k]] == root[numbered[k + 1]]
+    assert similar > 200
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 def plain_counts(text):
