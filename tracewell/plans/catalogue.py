@@ -654,7 +654,8 @@ def cross_bank_edges(spark, sf):
 @query("cross_bank_edges_keyed")
 def cross_bank_edges_keyed(spark, sf):
     rows = banked(spark, sf)
-    return multibank.cross_bank_edges(multibank.fingerprints(rows, rows.filter("account % 3 = 0"), multibank.token_udf(b"consortium")))
+    suspects = flagged(spark, sf).select(F.substring("id", 2, 20).cast("long").alias("account"))
+    return multibank.cross_bank_edges(multibank.fingerprints(rows, suspects, multibank.token_udf(b"consortium")))
 
 
 _HOPS = _PATHS + ", numbered AS (SELECT array_to_string(txns, '-') AS chain, accounts FROM chains), pos AS (SELECT chain, i AS position, accounts[i] % 4 AS bank FROM numbered, range(1, 40) r(i) WHERE i <= len(accounts)), isl AS (SELECT *, position - row_number() OVER (PARTITION BY chain, bank ORDER BY position) AS island FROM pos)"
