@@ -20,13 +20,15 @@ STEP_CHARS = 4_000_000
 def shared_folder(spark: SparkSession) -> str:
     """URI of a new folder, seen by the driver and all executors, for one operator's files.
 
-    It lies in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) is a
-    temporary folder made and set as the checkpoint folder.
+    It lies in ``spark.checkpoint.dir``. Only where that is unset and all runs on one machine (tests)
+    is a temporary folder made and set as the checkpoint folder.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tracewell-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
@@ -60,12 +62,12 @@ def publish(uri: str, write: Callable[[pa.NativeFile], None]) -> None:
     store.move(own, path)
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about STEP_CHARS of text, to bound what Python holds."""
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``chars`` of text, to bound what Python holds."""
     for batch in batches:
         size = max(1, batch.num_rows)
         per_row = max(1, batch.column(batch.schema.get_field_index(text)).nbytes // size)
-        rows = max(1, STEP_CHARS // per_row)
+        rows = max(1, chars // per_row)
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 
@@ -103,3 +105,29 @@ def learnable(doc_id, modulus: int):
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Keys of more than one in so many rows are hot: there are at most as many of them.
+HOT_ONE_IN = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], n: str, total: int, spread: list[str]) -> DataFrame:
+    """rows with ``values`` of table, null where it has none.
+
+    table has a row for each key, with the number ``n`` of rows of that key. Hot keys among the
+    ``total`` rows, HOT_ONE_IN at most, are broadcast, and their rows dealt by the columns ``spread``,
+    so that no key gathers in one task; all others meet the table in a join."""
+    hot = F.col(n) * HOT_ONE_IN > F.lit(total)
+    few = table.filter(hot).select(*keys, *(F.col(v).alias(f"__hot_{v}") for v in values), F.lit(True).alias("__hot"))
+    others = table.filter(~hot).select(*keys, *values, F.lit(0).cast("long").alias("__salt"))
+    salt = F.when(F.col("__hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0).cast("long"))
+    met = rows.join(F.broadcast(few), keys, "left").withColumn("__salt", salt).join(others, [*keys, "__salt"], "left")
+    return met.select(*rows.columns, *(F.coalesce(f"__hot_{v}", v).alias(v) for v in values))
+
+
+def own_name(names: list[str], like: str) -> str:
+    """A name that none of the names is, by Spark's case-blind rule."""
+    taken = {n.lower() for n in names}
+    while like.lower() in taken:
+        like = f"_{like}"
+    return like

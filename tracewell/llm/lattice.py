@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 from .frequencies import document_sums, word_counts
@@ -35,10 +34,6 @@ PRIOR = 1000.0
 STEP, TAKEN, LONG = 8_000, 60_000, 48
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 class Vocabulary:
     """Pieces of a sentencepiece file. A merge order, as byte-pair files keep for scores, is a
     rank, which Zipf's law turns into a weight; log probabilities are kept as they are."""
@@ -274,10 +269,10 @@ def learn(table: DataFrame, n_ends: int, path: str, rounds: int = ROUNDS) -> np.
 
 
 def score(docs: DataFrame, path: str, learns, rounds: int = ROUNDS) -> DataFrame:
-    """docs' columns but text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
+    """docs' columns but text (and any of the names that follow), with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
     and ``score``; ``learns`` is the condition of the rows to learn from."""
     counted = docs.select("text", learns.alias("learn"))
-    table = common.cut(word_counts(counted, words_of))
+    table = common.cut(word_counts(counted, lower=True))
     n_ends = docs.filter(learns).count()
     words, distinct = table.agg(F.sum("n_learn"), F.count(F.when(F.col("n_learn") > 0, 1))).first()
     total = (words or 0) + n_ends
@@ -297,12 +292,15 @@ def score(docs: DataFrame, path: str, learns, rounds: int = ROUNDS) -> DataFrame
             )
 
     values = common.cut(table.mapInArrow(weigh, "word binary, n long, known long, base double, model double"))
-    sums = document_sums(docs, words_of, values, ["known", "base", "model"], [T.LongType(), T.DoubleType(), T.DoubleType()])
+    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kept = common.without(docs.columns, ["text", *results])
+    sums = document_sums(docs, kept, values, ["known", "base", "model"], lower=True)
+    sums = sums.toDF(*(f"__c{i}" for i in range(len(kept))), "n_words", "known", "base", "model")
     end_base, end_model = math.log10((n_ends + 0.5) / room), float(log_p[vocabulary(path).end]) / math.log(10)
     return sums.select(
-        *(c for c in docs.columns if c != "text"),
-        (F.col("n_words") + 1).alias("n_tokens"),
-        (F.col("known") + int(n_ends > 0)).alias("n_known"),
+        *(F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)),
+        (F.col("n_words") + 1).cast("long").alias("n_tokens"),
+        (F.col("known") + int(n_ends > 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + end_base).alias("base_score"),
         (F.col("model") + end_model).alias("score"),
