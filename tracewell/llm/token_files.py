@@ -139,7 +139,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int) -> list[tu
 
         def fill(out, first: pa.RecordBatch) -> None:
             writer = Writer(out)
-            for batch in common.steps(_chain(first, batches)):
+            for batch in common.steps(_chain(first, batches), chars=tokens.PART_BYTES):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(common.texts_of(batch)), strict=True):
                     writer.add(doc_id, ids + end)
                     counts[0] += 1
