@@ -12,7 +12,8 @@ import __spark_entry__ as entry
 ROOT = Path(__file__).resolve().parents[1]
 SAMPLE = (
     "run_all_rules", "running_balance", "account_features", "paired_transfers", "chains_maximal", "jaro_winkler_pairs", "normalise_names", "risk_scores", "case_state_fold",
-    "precision_recall", "roc_auc", "moved_before_alert", "first_fired_chain", "cross_bank_edges", "same_bank_runs", "sequence_last_32",
+    "precision_recall", "roc_auc", "moved_before_alert", "first_fired_chain", "cross_bank_edges", "same_bank_runs", "sequence_last_32", "screen_watchlist", "media_matches", "chain_outcomes",
+    "stratified_split", "posted_world", "inject_layering", "inject_dormant", "combined_comparison", "audit_log", "reloaded_ledger",
 )
 
 
@@ -33,16 +34,6 @@ def test_query_equals_its_sql(spark, tables, sf_dir, name):
     assert tables.execute(f"SELECT {columns} FROM got ORDER BY ALL").fetchall() == want and want
 
 
-def test_keyed_edges_are_those_between_accounts_the_rules_flag(spark, sf_dir):
-    from tracewell.plans import catalogue
-    from tracewell.sources import ledger
-
-    ids = {int(r.id[1:]) for r in catalogue.flagged(spark, sf_dir).collect()}
-    want = sorted((r.src % 4, r.dst % 4, r.amount, r.ts) for r in ledger.edges(spark, sf_dir).collect() if r.src in ids and r.dst in ids and r.src % 4 != r.dst % 4)
-    got = entry.queries()["cross_bank_edges_keyed"](spark, sf_dir).collect()
-    assert sorted((r.from_bank, r.to_bank, r.amount, r.ts) for r in got) == want and want
-
-
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -1,5 +1,7 @@
 """Chains, names, evidence, cases, scores and banks."""
 
+import hashlib
+import hmac
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.functions.names import jaro_winkler, metaphone, normalise, similarity
-from tracewell.operators import cases, graph, ml, multibank, risk, scoring, screening
+from tracewell.operators import cases, graph, ml, multibank, redteam, risk, scoring, screening
+from tracewell.plans import ranges
 from tracewell.sources import ledger, world
 
 T0 = datetime(2024, 1, 1)
@@ -117,7 +120,7 @@ def test_prints_need_two_banks_and_name_nobody(spark):
         [(0, 1, "UPI/DR/77/x", "DR", 5.0, T0), (1, 2, "UPI/CR/77/x", "CR", 5.0, T0), (0, 1, "UPI/DR/78/x", "DR", 5.0, T0), (0, 3, "UPI/CR/78/x", "CR", 5.0, T0), (0, 1, "a/b//c", "DR", 5.0, T0)],
         "bank long, account long, narration string, direction string, amount double, ts timestamp_ntz",
     )
-    prints = multibank.fingerprints(rows, rows, multibank.token_udf(b"k"))
+    prints = multibank.fingerprints(rows, rows, multibank.keyed_token(b"k"))
     assert "account" not in prints.columns and prints.count() == 4
     assert multibank.cross_bank_edges(prints).count() == 1
 
@@ -168,3 +171,61 @@ def test_chains_are_planted_across_banks(spark):
     with pytest.raises(ValueError):
         world.plant_chains(mapping.limit(3))
     assert world.post(world.life_events(world.cast(spark), 7)).count() > 25
+
+
+@pytest.mark.parametrize("key", [b"k", b"x" * 64, b"long" * 40])
+def test_tokens_are_hmacs(spark, key):
+    refs = spark.createDataFrame([("77",), ("",), ("é/1",)], "ref string")
+    got = {r.ref: r.token for r in refs.withColumn("token", multibank.keyed_token(key)(F.col("ref"))).collect()}
+    assert got == {r: hmac.new(key, r.encode(), hashlib.sha256).hexdigest() for r in ("77", "", "é/1")}
+
+
+def test_schemes_are_as_described(spark):
+    people = world.population(spark, 40)
+    accounts = people.select("account_id")
+    sums = {r.scheme_id: (r.n, float(r.total)) for r in world.shell_company(accounts, total=1000.01).groupBy("scheme_id").agg(F.count("*").alias("n"), F.sum("amount").alias("total")).collect()}
+    assert len(sums) == 40 and all(3 <= n <= 8 and total == 1000.01 for n, total in sums.values())
+    dormant = world.dormant_reactivation(accounts, amount=50_000).groupBy("scheme_id", "direction").agg(F.count("*").alias("n"), F.sum("amount").alias("t"), F.min("ts").alias("a"), F.max("ts").alias("b")).collect()
+    for r in dormant:
+        assert r.n == 1 and r.t == 50_000 and (r.a - T0).total_seconds() >= 3 * 86_400 if r.direction == "CR" else 2 <= r.n <= 4 and 0.9 <= float(r.t) / 50_000 <= 0.97
+    spare = accounts.withColumn("ceiling", F.lit(700.0))
+    trips = world.round_tripping(spare).groupBy("scheme_id").agg(F.sum(F.when(F.col("direction") == "DR", F.col("amount"))).alias("out"), F.sum(F.when(F.col("direction") == "CR", F.col("amount"))).alias("back")).collect()
+    assert all(r.out == 700 and 1.02 <= float(r.back) / 700 <= 1.1 for r in trips)
+    legs = world.geography(spare, ("IRAN",)).groupBy("scheme_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("direction") == "DR", F.col("amount"))).alias("out")).collect()
+    assert all(1 <= r.n <= 3 and (r.out or 0) <= 700 for r in legs) and any(r.out for r in legs)
+    chain = world.layering(spark.createDataFrame([("c", ["A1", "A2", "A3"])], "chain_id string, account_ids array<string>"), total=1000.0).orderBy("ts", "direction").collect()
+    assert [(r.account_id, r.direction, r.role) for r in chain] == [("A1", "CR", "source"), ("A2", "CR", "mule"), ("A1", "DR", "source"), ("A3", "CR", "sink"), ("A2", "DR", "mule")]
+    amounts = [float(r.amount) for r in chain if r.direction == "CR"]
+    assert all(0.92 <= b / a <= 0.97 for a, b in zip(amounts, amounts[1:])) and all(2 <= (b.ts - a.ts).total_seconds() / 3600 <= 30 for a, b in zip(chain[0::2], chain[2::2]))
+    with pytest.raises(Exception, match="two accounts"):
+        world.layering(spark.createDataFrame([("c", ["A1"])], "chain_id string, account_ids array<string>")).collect()
+    txns = world.post(world.life_events(people, 20))
+    assert txns.count() == txns.select("txn_id").distinct().count()
+    big = world.population(spark, 4000).groupBy("segment").count().collect()
+    assert all(abs(r["count"] / 4000 - dict(world.SHARES)[r.segment]) < 0.03 for r in big)
+
+
+def test_running_sums_by_ranges(spark):
+    rows = spark.createDataFrame([(i * 0.5, i) for i in range(200)], "score double, n long").repartition(5)
+    got = {r.score: r.upto for r in ranges.sums_down(rows, "score", {"upto": "n"}).collect()}
+    assert got == {i * 0.5: sum(range(i, 200)) for i in range(200)}
+    assert ranges.sums_down(rows.limit(0), "score", {"upto": "n"}).count() == 0
+
+
+def test_knobs_move_to_their_bounds_and_rest(spark, monkeypatch):
+    knob = redteam.Knob("n", 5, 1, -1)
+    assert [knob.moved(5), knob.moved(1.5), redteam.Knob("x", 0, 2, 5).moved(1)] == [4, 1, 2] and redteam.around("gap_days", 1.0) == (0.1, 4.5)
+    seen = iter([{"structuring"}, set()])
+    monkeypatch.setattr(redteam, "flagged", lambda txns, caught=seen: txns.filter(F.col("narration").contains("CASH") & F.col("counterparty_name").eqNullSafe("SELF")).select(F.col("account_id").alias("id")) if next(caught) else txns.limit(0).select(F.col("account_id").alias("id")))
+    rows = {(r.generation, r.typology): r for r in redteam.decay(spark.range(60), generations=2, schemes=2, days=4).collect()}
+    assert rows[0, "structuring"].recall == 1 and rows[1, "structuring"].knobs == {"deposit_ceiling": 95_500.0} and rows[1, "structuring"].recall == 0
+    assert rows[0, "shell"].recall == 0 and rows[1, "shell"].knobs == rows[0, "shell"].knobs
+    after = {r.typology: (r.converged_at, r.mean_recall) for r in redteam.after_convergence(spark.createDataFrame([(0, "a", 1.0), (1, "a", 0.0), (2, "a", 0.5), (0, "b", 1.0)], "generation int, typology string, recall double")).collect()}
+    assert after == {"a": (1, 0.5), "b": (None, None)}
+
+
+def test_paths_longer_than_a_cut(spark):
+    hour = timedelta(hours=1)
+    edges = [(k, k + 1, 1000.0, T0 + k * hour, k) for k in range(11)] + [(5, 40, 990.0, T0 + 6 * hour, 50), (30, 31, 10.0, T0, 60)]
+    found = graph.all_paths(spark.createDataFrame(edges, "src long, dst long, amount double, ts timestamp_ntz, txn_id long"), min_amount=100).collect()
+    assert sorted(r.hops for r in found if r.txns[0] == 0) == [6, 11] and all(r.amounts[0] >= 100 for r in found)

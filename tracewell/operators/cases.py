@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +108,8 @@ def top_values(txns: DataFrame, n: int = 10) -> DataFrame:
     return txns.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n)
 
 
-def audited(calls: DataFrame, spark: SparkSession, ts, tool: str, params: str, outcome: str, hits: int | None) -> DataFrame:
-    """calls with one more row: what was asked, and what came of it."""
-    row = spark.createDataFrame([(ts, tool, params, outcome, hits)], "ts timestamp_ntz, tool string, params string, outcome string, hits int")
+def audited(calls: DataFrame, spark: SparkSession, ts, tool: str, params: dict, outcome: str, hits: int | None) -> DataFrame:
+    """calls with one more row: what was asked, as JSON with its keys in order, and what came of it."""
+    asked = json.dumps(params, sort_keys=True, separators=(",", ":"))
+    row = spark.createDataFrame([(ts, tool, asked, outcome, hits)], "ts timestamp_ntz, tool string, params string, outcome string, hits int")
     return calls.unionByName(row)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..plans.ranges import cut, window_join
 
-MAX_ROUNDS = 64
-
-
 def paired_transfers(rows: DataFrame) -> DataFrame:
     """``src``, ``dst``, ``amount``, ``ts``, ``dr_txn``, ``cr_txn`` of rows that share reference,
     amount and time across two accounts. The reference is the third part of the narration."""
@@ -26,40 +23,43 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("account").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+#: Hops that paths grow by between two cuts of the lineage.
+HOPS_A_CUT = 4
+
+
 def all_paths(edges: DataFrame, max_hop_hours: int = 36, retain_min: float = 0.80, retain_max: float = 1.00, min_amount: float = 50_000) -> DataFrame:
     """Maximal paths over ``src, dst, amount, ts, txn_id``: ``accounts``, ``amounts``, ``txns``,
     ``started``, ``ended``, ``hops``. A path grows by an edge that starts within the window after
     its last, carries the given share of the last amount, and leads to a new account. It is
     maximal if no edge extends it, whatever else leaves its end.
 
-    Each round joins the newest paths by account and time cell, and cuts the lineage. The loop
-    ends by itself, as amounts never grow; a guard raises rather than drop paths.
+    Which edge may follow which is found once, by a join on account and time cell. Paths then grow
+    by left joins on their last edge: those that find none are done, and meet nothing further.
+    The loop ends by itself, as a path never comes back to an account.
     """
-    steps = edges.select(F.col("src").alias("last"), F.col("dst").alias("to"), F.col("amount").alias("next_amount"), F.col("ts").alias("next_ts"), F.col("txn_id").alias("next_txn"))
-    paths = cut(
-        edges.filter(F.col("amount") >= min_amount).select(
-            F.array("src", "dst").alias("accounts"), F.array("amount").alias("amounts"), F.array("txn_id").alias("txns"),
-            F.col("ts").alias("started"), F.col("ts").alias("ended"), F.col("dst").alias("last"),
-        )
+    one = edges.select("txn_id", F.col("dst").alias("via"), "amount", "ts")
+    two = edges.select(F.col("src").alias("via"), F.col("dst").alias("to"), F.col("amount").alias("next_amount"), F.col("ts").alias("next_ts"), F.col("txn_id").alias("next_txn"))
+    ratio = F.col("next_amount") / F.nullif(F.col("amount"), F.lit(0.0))
+    follows = window_join(one, two, ["via"], "ts", "next_ts", max_hop_hours * 3600, (ratio >= retain_min) & (ratio <= retain_max))
+    follows = cut(follows.select(F.col("txn_id").alias("after"), "to", "next_amount", "next_ts", "next_txn")).withColumn("over", F.lit(False))
+    paths = edges.filter(F.col("amount") >= min_amount).select(
+        F.array("src", "dst").alias("accounts"), F.array("amount").alias("amounts"), F.array("txn_id").alias("txns"),
+        F.col("ts").alias("started"), F.col("ts").alias("ended"), F.lit(False).alias("done"),
     )
     found = []
-    for _ in range(MAX_ROUNDS):
-        previous = F.element_at("amounts", -1)
-        ratio = F.col("next_amount") / F.nullif(previous, F.lit(0.0))
-        fits = (ratio >= retain_min) & (ratio <= retain_max) & ~F.array_contains("accounts", F.col("to"))
-        grown = cut(
-            window_join(paths, steps, ["last"], "ended", "next_ts", max_hop_hours * 3600, fits).select(
-                F.col("txns").alias("parent"), F.array_append("accounts", F.col("to")).alias("accounts"), F.array_append("amounts", F.col("next_amount")).alias("amounts"),
-                F.array_append("txns", F.col("next_txn")).alias("txns"), "started", F.col("next_ts").alias("ended"), F.col("to").alias("last"),
+    while True:
+        for _ in range(HOPS_A_CUT):
+            fits = (F.col("done") == F.col("over")) & (F.element_at("txns", -1) == F.col("after")) & ~F.array_contains("accounts", F.col("to"))
+            met, more = paths.join(follows, fits, "left"), F.col("next_txn").isNotNull()
+            grown = lambda c, x: F.when(more, F.array_append(c, F.col(x))).otherwise(F.col(c)).alias(c)
+            paths = met.select(
+                grown("accounts", "to"), grown("amounts", "next_amount"), grown("txns", "next_txn"), "started", F.coalesce("next_ts", "ended").alias("ended"), (F.col("done") | ~more).alias("done")
             )
-        )
-        ended = paths.join(grown.select(F.col("parent").alias("txns")).distinct(), "txns", "left_anti")
-        found.append(ended)
-        if grown.isEmpty():
+        paths = cut(paths)
+        found.append(paths.filter("done"))
+        paths = paths.filter("not done")
+        if paths.isEmpty():
             break
-        paths = grown.drop("parent")
-    else:
-        raise RuntimeError(f"paths still grow after {MAX_ROUNDS} hops")
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)

@@ -12,17 +12,29 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranges import sums_down
+from ..sources.world import number
 from .features import NAMES
 
-#: Accounts that the isolation forest is grown on, those least by a hash of the id.
-FOREST_SAMPLE, FOREST_TREES, TREE_ROWS = 20_000, 200, 256
+#: Trees of the isolation forest, and accounts that each is grown on.
+FOREST_TREES, TREE_ROWS = 200, 256
+#: Accounts that a one-class boundary's steps draw from, those least by a hash of the id.
+BOUNDARY_SAMPLE = 20_000
 
 
 def stratified_split(labelled: DataFrame, fraction: float = 0.3, seed: int = 42) -> DataFrame:
-    """(account_id, label) with ``test``: int(n * fraction) of each class, by a hash of the id."""
-    by = Window.partitionBy("label").orderBy(F.xxhash64("account_id", F.lit(seed)), "account_id")
-    n = F.count("*").over(Window.partitionBy("label"))
-    return labelled.withColumn("test", F.row_number().over(by) <= F.floor(n * fraction))
+    """(account_id, label) with ``test``: int(n * fraction) of each class, those first by a number of the id.
+
+    The last such number of each class comes from ranked numbers, dealt by ranges, so that no
+    task holds a class."""
+    drawn = labelled.withColumn("__at", number(F.col("account_id"), seed))
+    each = drawn.groupBy("label").agg(F.floor(F.count("*") * fraction).alias("wanted")).collect()  # a row for each class
+    test = F.lit(False)
+    for label, wanted in each:
+        own = drawn.filter(F.col("label") == label).groupBy((-F.col("__at")).alias("at")).agg(F.count("*").alias("n"))
+        last = sums_down(own, "at", {"upto": "n"}).filter(F.col("upto") <= wanted).agg(F.min("at")).first()[0]
+        test = F.when(F.col("label") == label, F.col("__at") <= (-last if last is not None else -1)).otherwise(test)
+    return drawn.withColumn("test", test).drop("__at")
 
 
 def standardised(features: DataFrame, fitted_on: DataFrame, names=NAMES) -> DataFrame:
@@ -32,10 +44,10 @@ def standardised(features: DataFrame, fitted_on: DataFrame, names=NAMES) -> Data
     return scaler.transform(gather.transform(features)).drop("raw")
 
 
-def boosted_scores(features: DataFrame, split: DataFrame, rounds: int = 20) -> DataFrame:
+def boosted_scores(features: DataFrame, split: DataFrame, rounds: int = 20, names: tuple[str, ...] = tuple(NAMES)) -> DataFrame:
     """``account_id``, ``score``, ``label`` of the test accounts, from trees boosted on the others."""
     rows = features.join(split, "account_id")
-    scaled = standardised(rows, rows.filter("not test"))
+    scaled = standardised(rows, rows.filter("not test"), names)
     model = GBTClassifier(featuresCol="scaled", labelCol="label", maxIter=rounds, maxDepth=3, seed=7).fit(scaled.filter("not test"))
     return model.transform(scaled.filter("test")).select("account_id", vector_to_array("probability")[1].alias("score"), "label")
 
@@ -82,14 +94,16 @@ def _depths(tree: tuple, x: np.ndarray, level: int = 0) -> np.ndarray:
     return out
 
 
-def isolation_scores(features: DataFrame, trees: int = FOREST_TREES, sample: int = FOREST_SAMPLE, seed: int = 7) -> DataFrame:
+def isolation_scores(features: DataFrame, trees: int = FOREST_TREES, seed: int = 7) -> DataFrame:
     """``account_id``, ``raw``: 2 ^ -(mean depth / expected depth), near 1 for accounts that few cuts
-    isolate. Trees are grown on the driver from a bounded sample; all accounts are scored."""
-    few = features.orderBy(F.xxhash64("account_id"), "account_id").limit(sample).select(*NAMES).toPandas().to_numpy(float)
+    isolate. Each tree has TREE_ROWS accounts of its own, drawn from all by a hash (from fewer accounts
+    than that makes, each draws anew); trees are grown on the driver, and all accounts are scored."""
+    few = features.orderBy(F.xxhash64("account_id", F.lit(seed)), "account_id").limit(trees * TREE_ROWS).select(*NAMES).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
     size = min(TREE_ROWS, len(few))
     height = int(np.ceil(np.log2(max(2, size))))
-    forest = [_grow(few[rng.choice(len(few), size, replace=False)], rng, height) for _ in range(trees)] if len(few) else []
+    own = np.split(rng.permutation(len(few)), trees) if len(few) == trees * TREE_ROWS else [rng.choice(len(few), size, replace=False) for _ in range(trees if len(few) else 0)]
+    forest = [_grow(few[rows], rng, height) for rows in own]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,15 +126,16 @@ def leaderboard(models: dict[str, DataFrame]) -> DataFrame:
     return out.orderBy(F.desc("average_precision"), "model")
 
 
-def one_class_scores(features: DataFrame, nu: float = 0.05, waves: int = 256, steps: int = 4000, sample: int = FOREST_SAMPLE, seed: int = 7) -> DataFrame:
+def one_class_scores(features: DataFrame, nu: float = 0.05, waves: int = 256, steps: int = 4000, sample: int = BOUNDARY_SAMPLE, seed: int = 7) -> DataFrame:
     """``account_id``, ``raw``: how far outside a one-class boundary an account lies.
 
-    The radial kernel is approached by random cosine features; the boundary is fitted by
-    stochastic gradients on a bounded sample (those least by a hash of the id), and all accounts are
-    scored."""
+    The radial kernel is approached by random cosine features; features are centred and scaled over all
+    accounts, the boundary is fitted by stochastic gradients that draw from a bounded sample (those
+    least by a hash of the id), and all accounts are scored."""
     few = features.orderBy(F.xxhash64("account_id"), "account_id").limit(sample).select(*NAMES).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
-    centre, scale = (few.mean(0), few.std(0)) if len(few) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
+    whole = features.agg(*(F.avg(n).alias(f"m_{n}") for n in NAMES), *(F.stddev_pop(n).alias(f"s_{n}") for n in NAMES)).first()
+    centre, scale = (np.array([whole[f"{p}_{n}"] or 0.0 for n in NAMES], float) for p in ("m", "s"))
     scale = np.where(scale > 1e-9, scale, 1.0)
     lean = rng.normal(0, 1 / np.sqrt(len(NAMES)), (len(NAMES), waves))
     phase = rng.uniform(0, 2 * np.pi, waves)

@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def token_udf(key: bytes):
-    """HMAC-SHA256 of a reference under the banks' common key."""
+def pads(key: bytes) -> tuple[bytes, bytes]:
+    """The inner and the outer block that HMAC-SHA256 puts before what it digests."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
 
-    @F.pandas_udf(T.StringType())
-    def token(refs: pd.Series) -> pd.Series:
-        return refs.map(lambda r: hmac.new(key, r.encode(), hashlib.sha256).hexdigest())
 
-    return token
+def keyed_token(key: bytes) -> Callable[[Column], Column]:
+    """HMAC-SHA256 of a reference under the banks' common key, by two digests."""
+    inner, outer = pads(key)
 
+    def token(ref: Column) -> Column:
+        first = F.sha2(F.concat(F.lit(bytearray(inner)), ref.cast("binary")), 256)
+        return F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(first)), 256)
 
-def plain_token(ref):
-    """An unkeyed digest, for tests in SQL only."""
-    return F.sha2(ref, 256)
+    return token
 
 
 def fingerprints(rows: DataFrame, flagged: DataFrame, token) -> DataFrame:
@@ -63,3 +63,20 @@ def hops_seen(planted: DataFrame, found: DataFrame) -> DataFrame:
 def split_banks(rows: DataFrame, n: int = 4) -> DataFrame:
     """rows with ``bank``, by the account's number."""
     return rows.withColumn("bank", F.pmod(F.col("account"), F.lit(n)).cast("long"))
+
+
+def hops_of(chains: DataFrame) -> DataFrame:
+    """``plant``, ``position``, ``txn_id``, ``a``, ``b``: each hop of chains (plant, accounts, txns)."""
+    own = chains.select("plant", "accounts", F.posexplode("txns").alias("position", "txn_id"))
+    return own.select("plant", "position", "txn_id", F.get("accounts", F.col("position")).alias("a"), F.get("accounts", F.col("position") + 1).alias("b"))
+
+
+def outcomes(chains: DataFrame, solo: DataFrame, recovered: DataFrame, bank: Callable[[Column], Column]) -> DataFrame:
+    """For each chain (plant, accounts, txns): ``hops``, which all banks' pooled rows show; ``same_bank``, hops
+    within one bank; ``solo_best``, most hops that one chain of a single bank has; ``coop``, hops whose
+    fingerprints two banks matched. solo is (chain, position, account); recovered has ``txn_id``."""
+    hops = hops_of(chains)
+    met = hops.join(recovered.select("txn_id").distinct().withColumn("met", F.lit(1)), "txn_id", "left")
+    counted = met.groupBy("plant").agg(F.count("*").alias("hops"), F.count_if(bank(F.col("a")) == bank(F.col("b"))).alias("same_bank"), F.count("met").alias("coop"))
+    planted = chains.select("plant", F.posexplode("accounts").alias("position", "account"))
+    return counted.join(hops_seen(planted, solo), "plant", "left").select("plant", "hops", "same_bank", F.coalesce("best", F.lit(0)).alias("solo_best"), "coop")

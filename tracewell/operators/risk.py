@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What each source weighs, where bands begin, and which evidence comes first.
 WEIGHTS = {"rules": 0.35, "screening": 0.30, "graph": 0.20, "ml": 0.15}
 BANDS = ((60, "critical"), (40, "high"), (18, "medium"))
 TIERS = ("graph", "rules", "screening", "ml")
@@ -20,10 +21,8 @@ def corroboration(n: Column) -> Column:
 def rule_signals(alerts: DataFrame) -> DataFrame:
     """One signal for each distinct rule of an account, all as strong as their number makes them."""
     first = alerts.groupBy("account_id", "rule").agg(F.min("reason").alias("reason"))
-    many = first.groupBy("account_id").agg(F.count("*").alias("n"))
-    return first.join(many, "account_id").select(
-        "account_id", F.lit("rules").alias("source"), F.concat_ws(": ", "rule", "reason").alias("detail"), corroboration(F.col("n")).alias("contribution")
-    )
+    n = F.count("*").over(Window.partitionBy("account_id"))  # a row for each rule at most
+    return first.select("account_id", F.lit("rules").alias("source"), F.concat_ws(": ", "rule", "reason").alias("detail"), corroboration(n).alias("contribution"))
 
 
 def first_account(accounts: DataFrame) -> DataFrame:
@@ -41,14 +40,14 @@ def screening_signals(hits: DataFrame, accounts: DataFrame, source: str = "scree
 def graph_signals(chains: DataFrame) -> DataFrame:
     """A signal for each chain and account in it."""
     own = chains.select(F.explode(F.col("accounts").cast("array<string>")).alias("account_id"), "hops", F.element_at("amounts", 1).alias("entering"), "retained")
-    detail = F.concat(F.lit("in a "), F.col("hops"), F.lit("-hop pass-through chain (Rs "), F.format_number("entering", 0), F.lit(" entering, "), F.format_number(F.col("retained") * 100, 0), F.lit("% retained)"))
+    detail = F.concat(F.lit("on a chain of "), F.col("hops"), F.lit(" hops; Rs "), F.format_number("entering", 0), F.lit(" go in, "), F.format_number(F.col("retained") * 100, 0), F.lit("% come out"))
     return own.select("account_id", F.lit("graph").alias("source"), detail.alias("detail"), corroboration(F.col("hops")).alias("contribution"))
 
 
 def ml_signals(scores: DataFrame) -> DataFrame:
     """A signal for each (account_id, score) over zero."""
     some = scores.filter("score > 0")
-    return some.select("account_id", F.lit("ml").alias("source"), F.concat(F.lit("model risk score "), F.format_number("score", 2)).alias("detail"), F.col("score").alias("contribution"))
+    return some.select("account_id", F.lit("ml").alias("source"), F.concat(F.lit("unlike other accounts: "), F.format_number("score", 2)).alias("detail"), F.col("score").alias("contribution"))
 
 
 def media_signals(hits: DataFrame, accounts: DataFrame, mode: str) -> DataFrame:

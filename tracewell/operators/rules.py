@@ -27,7 +27,7 @@ def structuring_burst(txns: DataFrame, ceiling: float = 100_000, min_count: int
     small = txns.filter((F.col("direction") == "CR") & (F.col("channel") == "CASH") & (F.col("amount") < ceiling))
     burst = small.groupBy("account_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.max("ts").alias("ts"))
     burst = burst.filter((F.col("n") >= min_count) & (F.col("amount") >= min_total)).withColumn("amount", F.col("amount").cast("double"))
-    reason = F.concat(F.col("n"), F.lit(f" cash deposits under Rs {ceiling:,} totaling Rs "), _money("amount"))
+    reason = F.concat(F.col("n"), F.lit(f" deposits of cash, each below Rs {ceiling:,}, add up to Rs "), _money("amount"))
     return _alerts(burst, "structuring_burst", reason)
 
 
@@ -48,13 +48,13 @@ def _least(pairs: DataFrame) -> DataFrame:
 def rapid_pass_through(txns: DataFrame, min_amount: float = 300_000, hop_hours: int = 48, min_ratio: float = 0.85) -> DataFrame:
     """A large credit mostly debited within hours."""
     pairs = _followed(txns, "CR", "DR", min_amount, hop_hours * 3600, min_ratio)
-    return _alerts(_least(pairs), "rapid_pass_through", F.concat(F.lit("Rs "), _money("amount"), F.lit(f" in, most of it out within {hop_hours}h")))
+    return _alerts(_least(pairs), "rapid_pass_through", F.concat(F.lit("Rs "), _money("amount"), F.lit(f" credited, then largely debited inside {hop_hours} hours")))
 
 
 def round_trip(txns: DataFrame, min_amount: float = 1000, hop_days: int = 12, min_return_ratio: float = 0.95, channel: str = "RTGS") -> DataFrame:
     """A debit that comes back on the same channel within days."""
     pairs = _followed(txns, "DR", "CR", min_amount, hop_days * 86_400, min_return_ratio, channel)
-    return _alerts(_least(pairs), "round_trip", F.concat(F.lit("Rs "), _money("amount"), F.lit(f" left and came back within {hop_days}d")))
+    return _alerts(_least(pairs), "round_trip", F.concat(F.lit("Rs "), _money("amount"), F.lit(f" sent out returned inside {hop_days} days")))
 
 
 def counterparty_concentration(txns: DataFrame, min_total: float = 1_000_000, min_concentration: float = 0.5, min_count: int = 4) -> DataFrame:
@@ -67,7 +67,7 @@ def counterparty_concentration(txns: DataFrame, min_total: float = 1_000_000, mi
     found = shares.filter(
         F.col("counterparty_name").isNotNull() & (F.col("amount") >= min_total) & (F.col("n") >= min_count) & (F.col("share") >= min_concentration)
     )
-    reason = F.concat(F.format_number(F.col("share") * 100, 0), F.lit("% of credits from one counterparty ("), F.col("counterparty_name"), F.lit("), Rs "), _money("amount"))
+    reason = F.concat(F.format_number(F.col("share") * 100, 0), F.lit("% of money in is from "), F.col("counterparty_name"), F.lit(": Rs "), _money("amount"))
     return _alerts(found, "counterparty_concentration", reason)
 
 
@@ -90,7 +90,7 @@ def dormancy_burst(txns: DataFrame, min_gap_days: int = 7, cashout_hours: int =
     one burst, and its debits count once for each of them."""
     out = cash_outs(txns, min_gap_days, cashout_hours, min_amount).groupBy("account_id", "ts", "amount").agg(F.sum("amount2").alias("out"))
     found = out.filter(F.col("out") >= F.col("amount") * F.lit(float(min_cashout_ratio))).withColumn("amount", F.col("amount").cast("double"))
-    tail = f" after a quiet stretch, {min_cashout_ratio:.0%}+ cashed out within {cashout_hours}h"
+    tail = f" came after silence; {min_cashout_ratio:.0%} or more went out inside {cashout_hours} hours"
     return _alerts(found, "dormancy_burst", F.concat(F.lit("Rs "), _money("amount"), F.lit(tail)))
 
 
@@ -105,7 +105,7 @@ def first_listed(name: Column, entries: Sequence[str]) -> Column:
 def high_risk_geography(txns: DataFrame, watchlist: Sequence[str] = HIGH_RISK) -> DataFrame:
     """International transfers that name a listed jurisdiction."""
     named = txns.filter("channel = 'INT' and counterparty_name is not null").withColumn("hit", first_listed(F.col("counterparty_name"), watchlist))
-    reason = F.concat(F.lit("International transfer tied to "), F.initcap("hit"))
+    reason = F.concat(F.lit("international payment naming "), F.initcap("hit"))
     return _alerts(named.filter("hit is not null"), "high_risk_geography", reason)
 
 

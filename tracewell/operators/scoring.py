@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranges import sums_down
+
 
 def _rate(part, whole):
     return F.when(whole == 0, 0.0).otherwise(part / F.nullif(whole, F.lit(0)))
@@ -47,10 +49,10 @@ def ranked(scores: DataFrame) -> DataFrame:
 
     Counts of distinct scores are summed first; only places among equal scores need a window
     within that score."""
-    by_score = scores.groupBy("score").agg(F.count("*").alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
+    by_score = sums_down(scores.groupBy("score").agg(F.count("*").alias("n")), "score", {"upto": "n"})
     own = F.row_number().over(Window.partitionBy("score").orderBy("id"))
-    return scores.join(by_score.withColumn("above", F.coalesce(above, F.lit(0))).drop("n"), "score").withColumn("place", F.col("above") + own).drop("above")
+    above = by_score.select("score", (F.col("upto") - F.col("n")).alias("above"))
+    return scores.join(above, "score").withColumn("place", F.col("above") + own).drop("above")
 
 
 def at_budgets(scores: DataFrame, budgets: tuple[int, ...] = (10, 25, 50, 100)) -> DataFrame:
@@ -67,8 +69,7 @@ def at_budgets(scores: DataFrame, budgets: tuple[int, ...] = (10, 25, 50, 100))
 
 def _by_score(scores: DataFrame) -> DataFrame:
     groups = scores.groupBy("score").agg(F.sum("label").cast("double").alias("tp"), F.count("*").cast("double").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return groups.withColumns({"sum_tp": F.sum("tp").over(down), "sum_n": F.sum("n").over(down)})
+    return sums_down(groups, "score", {"sum_tp": "tp", "sum_n": "n"})
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
@@ -126,3 +127,32 @@ def marginal_trade(before: DataFrame, after: DataFrame, truth: DataFrame) -> Dat
     gained = new.join(old, "account_id", "left_anti").join(bad, "account_id", "left").agg(F.count("*").alias("gained"), F.count("bad").alias("gained_true"))
     lost = old.join(new, "account_id", "left_anti").join(bad, "account_id", "left").agg(F.count("*").alias("lost"), F.count("bad").alias("lost_true"))
     return gained.crossJoin(lost)  # one row each
+
+
+#: Assumed hours that one review takes.
+HOURS = 0.5
+
+
+def review_hours(budgets: DataFrame) -> DataFrame:
+    """``budget``, ``hours``, ``hours_per_find`` (null without a find) and ``ceiling``, the share of reviews that can
+    be confirmed at best, of rows of at_budgets."""
+    hours = F.col("reviewed") * F.lit(HOURS)
+    return budgets.select("budget", hours.alias("hours"), (hours / F.nullif(F.col("hits"), F.lit(0))).alias("hours_per_find"), F.col("precision").alias("ceiling"))
+
+
+def combined_comparison(signals: DataFrame, scores: DataFrame, truth: DataFrame, universe: DataFrame, budgets: tuple[int, ...] = (10, 25, 50)) -> DataFrame:
+    """``source``, ``budget``, ``reviewed``, ``hits``, ``precision``, ``recall`` of the combined score and of each source
+    alone, over the accounts of a universe only (those that no model was trained on)."""
+    each = signals.groupBy("source", "account_id").agg(F.max("contribution").alias("score"))
+    ranked = each.unionByName(scores.select(F.lit("combined").alias("source"), "account_id", "score")).join(universe, "account_id", "left_semi")
+    by = Window.partitionBy("source").orderBy(F.desc("score"), "account_id")
+    top = ranked.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= max(budgets))  # ranks beyond are dropped before the sort ends
+    bad = truth.select(F.col("id").alias("account_id")).distinct().join(universe, "account_id", "left_semi").withColumn("bad", F.lit(1))
+    placed = top.join(bad, "account_id", "left").withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).filter("place <= budget")
+    out = placed.groupBy("source", "budget").agg(F.count("*").alias("reviewed"), F.count("bad").alias("hits")).crossJoin(bad.agg(F.count("*").alias("all")))  # one row
+    return out.select("source", "budget", "reviewed", "hits", _rate(F.col("hits"), F.col("reviewed")).alias("precision"), _rate(F.col("hits"), F.col("all")).alias("recall"))
+
+
+def bars(values: DataFrame) -> DataFrame:
+    """(label, value) with ``place``: by falling value, then label. Few rows, as a chart has."""
+    return values.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "label")))

@@ -7,6 +7,7 @@ rounded, and cast to double or bigint, alike on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import cases, features, graph, ml, multibank, redteam, replay, risk, rules, scoring, screening
 from ..session import ship
+from .ranges import path_exists, shared_folder
 from ..sources import ledger, world
 
 D1 = {"ceiling": 200, "min_count": 4, "min_total": 100}
@@ -90,31 +92,31 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 _RULES = {
     "structuring_burst": f"""
-SELECT account_id, 'structuring_burst' AS rule, concat(count(*), ' cash deposits under Rs 200 totaling Rs ', {_MONEY("sum(amount)::DOUBLE")}) AS reason,
+SELECT account_id, 'structuring_burst' AS rule, concat(count(*), ' deposits of cash, each below Rs 200, add up to Rs ', {_MONEY("sum(amount)::DOUBLE")}) AS reason,
        max(ts) AS ts, sum(amount)::DOUBLE AS amount
 FROM txn WHERE direction = 'CR' AND channel = 'CASH' AND amount < 200 GROUP BY account_id HAVING count(*) >= 4 AND sum(amount) >= 100""",
     "rapid_pass_through": f"""
-SELECT account_id, 'rapid_pass_through' AS rule, concat('Rs ', {_MONEY("amount")}, ' in, most of it out within 48h') AS reason, ts, amount
+SELECT account_id, 'rapid_pass_through' AS rule, concat('Rs ', {_MONEY("amount")}, ' credited, then largely debited inside 48 hours') AS reason, ts, amount
 FROM (SELECT a.account_id, min(a.ts) AS ts, min(a.amount)::DOUBLE AS amount FROM txn a JOIN txn b ON a.account_id = b.account_id AND a.direction = 'CR' AND b.direction = 'DR'
   AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 48 HOUR AND b.amount >= a.amount * 0.85::DOUBLE WHERE a.amount >= 100 GROUP BY 1)""",
     "round_trip": f"""
-SELECT account_id, 'round_trip' AS rule, concat('Rs ', {_MONEY("amount")}, ' left and came back within 12d') AS reason, ts, amount
+SELECT account_id, 'round_trip' AS rule, concat('Rs ', {_MONEY("amount")}, ' sent out returned inside 12 days') AS reason, ts, amount
 FROM (SELECT a.account_id, min(a.ts) AS ts, min(a.amount)::DOUBLE AS amount FROM txn a JOIN txn b ON a.account_id = b.account_id AND a.direction = 'DR' AND b.direction = 'CR'
   AND a.channel = 'RTGS' AND b.channel = 'RTGS' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 12 DAY AND b.amount >= a.amount * 0.95::DOUBLE WHERE a.amount >= 20 GROUP BY 1)""",
     "counterparty_concentration": f"""
 SELECT account_id, 'counterparty_concentration' AS rule,
-       concat(CAST(round_even(part / whole * 100, 0) AS BIGINT), '% of credits from one counterparty (', cp, '), Rs ', {_MONEY("part")}) AS reason, ts, part AS amount
+       concat(CAST(round_even(part / whole * 100, 0) AS BIGINT), '% of money in is from ', cp, ': Rs ', {_MONEY("part")}) AS reason, ts, part AS amount
 FROM (SELECT account_id, cp, sum(amount)::DOUBLE AS part, count(*) AS n, max(ts) AS ts FROM txn WHERE direction = 'CR' GROUP BY 1, 2)
 JOIN (SELECT account_id, sum(amount)::DOUBLE AS whole FROM txn WHERE direction = 'CR' GROUP BY 1) USING (account_id)
 WHERE part >= 200 AND n >= 3 AND part / whole >= 0.2::DOUBLE""",
     "dormancy_burst": f"""
-SELECT account_id, 'dormancy_burst' AS rule, concat('Rs ', {_MONEY("amount")}, ' after a quiet stretch, 50%+ cashed out within 24h') AS reason, ts, amount
+SELECT account_id, 'dormancy_burst' AS rule, concat('Rs ', {_MONEY("amount")}, ' came after silence; 50% or more went out inside 24 hours') AS reason, ts, amount
 FROM (SELECT a.account_id, a.ts, a.amount::DOUBLE AS amount
   FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY account_id ORDER BY ts, txn_id) AS gap FROM txn) a JOIN txn b
     ON a.account_id = b.account_id AND b.direction = 'DR' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR
   WHERE a.direction = 'CR' AND a.gap >= INTERVAL 1 DAY AND a.amount >= 20 GROUP BY a.account_id, a.ts, a.amount HAVING sum(b.amount) >= a.amount * 0.5::DOUBLE)""",
     "high_risk_geography": """
-SELECT account_id, 'high_risk_geography' AS rule, concat('International transfer tied to ', CASE WHEN contains(cp, 'CP1') THEN 'Cp1' ELSE 'Cp9' END) AS reason, ts, amount::DOUBLE AS amount
+SELECT account_id, 'high_risk_geography' AS rule, concat('international payment naming ', CASE WHEN contains(cp, 'CP1') THEN 'Cp1' ELSE 'Cp9' END) AS reason, ts, amount::DOUBLE AS amount
 FROM txn WHERE channel = 'INT' AND (contains(cp, 'CP1') OR contains(cp, 'CP9'))""",
 }
 _SCENARIO = {
@@ -328,13 +330,83 @@ def nations(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/nation.parquet")
 
 
-def _people(spark) -> DataFrame:
-    return world.population(spark, 400)
+def _num(*parts: str) -> str:
+    """SQL of world.number."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT)"
+
+
+def _uni(*parts: str) -> str:
+    return f"({_num(*parts)} / 4503599627370496.0::DOUBLE)"
+
+
+def _pick(options, *parts: str) -> str:
+    listed = ", ".join(f"'{x}'" for x in options)
+    return f"([{listed}])[1 + CAST(floor({_uni(*parts)} * {len(options)}) AS INTEGER)]"
+
+
+def _moment(day: str, *parts: str) -> str:
+    return f"(TIMESTAMP '{world.START}' + to_days(CAST({day} AS INTEGER)) + to_seconds(floor({_uni(*parts)} * 86399)))"
+
+
+def _segment(u: str) -> str:
+    out, upto = "CASE", 0.0
+    for name, share in world.SHARES:
+        upto += share
+        out += f" WHEN {u} < {round(upto, 4)}::DOUBLE THEN '{name}'"
+    return f"{out} ELSE '{world.SHARES[-1][0]}' END"
+
+
+def _folk(ids: str) -> str:
+    """SQL of world.people over rows of ``id``."""
+    first, last = _pick(world.FIRST, "id", "42", "'first'"), _pick(world.LAST, "id", "42", "'last'")
+    return f"""(SELECT id, format('C{{:08d}}', id) AS customer_id, format('A{{:08d}}', id) AS account_id, {_segment(_uni("id", "42", "'segment'"))} AS segment,
+  concat_ws(' ', {first}, {last}) AS full_name, {_pick(world.CITIES, "id", "42", "'city'")} AS city FROM {ids})"""
+
+
+_FOLK = ", folk AS " + _folk("(SELECT c_custkey::BIGINT AS id FROM customer)")
+#: Listed persons, invented, with words of the customers' names among them.
+LISTED = (
+    ("Farhaan Ali", "sanctions"), ("Suresh Gupta", "pep"), ("Meera Nayar", "pep"), ("Imraan Khan", "sanctions"), ("Kabeer Sharma", "sanctions"), ("Priya Josh", "pep"), ("Ananya Kulkarnee", "pep"),
+    ("Neha Boss", "sanctions"), ("Rohan Mehta", "pep"), ("Sana Reddi", "sanctions"), ("Diya Dass", "pep"), ("Viktor Orlov", "sanctions"), ("Kavya Patel", "sanctions"), ("Aarav Verma", "pep"), ("Ishan Iyer", "pep"),
+)
+_LISTED = ", listed(position, name, type) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{n}', '{t}')" for i, (n, t) in enumerate(LISTED)) + ")"
+
+
+def _spelt(word: str) -> str:
+    import re
+
+    for written, other in world.SPELLINGS:
+        word = re.sub(written, other, word)
+    return word
+
+
+_CODES = ", codes(word, code) AS (VALUES " + ", ".join(
+    f"('{w}', '{names.metaphone(w)}')"
+    for w in sorted({x.lower() for t in (*world.FIRST, *world.LAST, "Zeb", *(p for n, _ in LISTED for p in n.split())) for x in (t, _spelt(t), t[0])} | {x.lower() for n, _ in LISTED for x in _spelt(n).split()})
+) + ")"
+
+
+def _similar(subjects: str, entries: str, least: float = names.THRESHOLD) -> str:
+    """SQL of screening.scored_pairs over rows of ``name``, as ``pairs``: both of the names' words, of a-z, take
+    their best partners in turn. Sound codes of the words that can occur are listed."""
+    return f""", cells AS (
+  SELECT name, other, i, j, CASE WHEN t = o THEN 1.0::DOUBLE WHEN len(t) = 1 OR len(o) = 1 THEN CASE WHEN t[1] = o[1] THEN 0.85::DOUBLE ELSE 0 END
+         ELSE greatest(jaro_winkler_similarity(t, o), CASE WHEN x.code = y.code AND x.code <> '' THEN 0.92::DOUBLE ELSE 0 END) END AS s
+  FROM (SELECT name, unnest(string_split(lower(name), ' ')) AS t, generate_subscripts(string_split(name, ' '), 1) AS i FROM (SELECT DISTINCT name FROM {subjects}))
+  CROSS JOIN (SELECT other, unnest(string_split(lower(other), ' ')) AS o, generate_subscripts(string_split(other, ' '), 1) AS j FROM (SELECT DISTINCT name AS other FROM {entries}))
+  LEFT JOIN codes x ON x.word = t LEFT JOIN codes y ON y.word = o),
+first AS (SELECT name, other, max(s) AS m1, arg_max(j, (s, -j)) AS j1 FROM cells WHERE i = 1 GROUP BY 1, 2),
+pairs AS (SELECT name, other, CASE WHEN lower(name) = lower(other) THEN 1.0::DOUBLE ELSE round((m1 + max(s)) / 2, 4) END AS score
+  FROM cells JOIN first USING (name, other) WHERE i = 2 AND j <> j1 GROUP BY name, other, m1 HAVING CASE WHEN lower(name) = lower(other) THEN 1.0::DOUBLE ELSE round((m1 + max(s)) / 2, 4) END >= {least})"""
+
+
+def _people(spark, sf) -> DataFrame:
+    """A person for each customer of the table."""
+    return world.people(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id")))
 
 
 def watchlist(spark) -> DataFrame:
-    rows = [(0, "Farhan Ali", "sanctions"), (1, "Suresh Kumar Gupta", "pep"), (2, "Meera Nayar", "pep"), (3, "Mohammed Khan", "sanctions")]
-    return spark.createDataFrame(rows, "position long, name string, type string")
+    return spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(LISTED)], "position long, name string, type string")
 
 
 @query("jaro_winkler_pairs", "SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS score FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b WHERE a.p_name < b.p_name")
@@ -350,37 +422,66 @@ def normalise_names(spark, sf):
     return c.select("c_custkey", names.normalise_udf(F.concat("c_name", F.lit(" É."), "c_mktsegment")).alias("name"))
 
 
-@query("token_alignment")
+_KINDS = ", ".join(f"'{k}'" for k in world.MATCH_KINDS)
+_VARIANT = "replace(name, ' ', ' ')"
+for _written, _other in world.SPELLINGS:
+    _VARIANT = f"regexp_replace({_VARIANT}, '{_written}', '{_other}', 'g')"
+_PLANTED = _FOLK + _LISTED + _CODES + f""", planted AS (
+  SELECT customer_id, name AS list_name, type AS list_type, kind AS match_kind,
+         CASE kind WHEN 'exact' THEN name WHEN 'reordered' THEN concat(split_part(name, ' ', 2), ' ', split_part(name, ' ', 1)) WHEN 'initials' THEN concat(name[1], ' ', split_part(name, ' ', 2)) ELSE {_VARIANT} END AS full_name
+  FROM (SELECT customer_id, nth, ([{_KINDS}])[1 + nth % {len(world.MATCH_KINDS)}] AS kind FROM (
+    SELECT customer_id, row_number() OVER (ORDER BY account_id) - 1 AS nth FROM (
+      SELECT * FROM folk WHERE segment IN ('salaried', 'student', 'nri') ORDER BY {_num("account_id", "42")}, account_id LIMIT 12))) JOIN listed ON listed.position = nth % {len(LISTED)})"""
+_REPORT = "([" + ", ".join(f"'{c}'" for c, _ in world.REPORTS) + f"])[1 + nth % {len(world.REPORTS)}]"
+_ARTICLES = _FOLK + _CODES + f""", articles AS (
+  SELECT nth AS article_id, CASE WHEN nth BETWEEN 10 AND 19 THEN concat('Zeb ', split_part(full_name, ' ', 2)) ELSE full_name END AS mentioned_name,
+         CASE WHEN nth >= 20 THEN 'none' ELSE {_REPORT} END AS category, CASE WHEN nth < 10 THEN customer_id END AS customer_id,
+         concat(CASE WHEN nth BETWEEN 10 AND 19 THEN concat('Zeb ', split_part(full_name, ' ', 2)) ELSE full_name END, ' ', ([{", ".join(f"'{t}'" for _, t in world.REPORTS)}])[1 + nth % {len(world.REPORTS)}]) AS headline
+  FROM (SELECT *, row_number() OVER (ORDER BY {_num("account_id", "43")}, account_id) - 1 AS nth FROM folk QUALIFY nth < 40))"""
+_MEDIA = _ARTICLES + _similar("(SELECT mentioned_name AS name FROM articles WHERE category <> 'none')", "(SELECT full_name AS name FROM folk)") + """, hits AS (
+  SELECT article_id, f.customer_id, category, headline, score FROM articles a JOIN pairs p ON p.name = a.mentioned_name JOIN folk f ON f.full_name = p.other WHERE category <> 'none')"""
+
+
+@query("token_alignment", _FOLK + _LISTED + _CODES + _similar("(SELECT full_name AS name FROM folk)", "listed", 0.6) + " SELECT name, other, score FROM pairs")
 def token_alignment(spark, sf):
-    return screening.scored_pairs(_people(spark).select(F.col("full_name").alias("name")), watchlist(spark), 0.6)
+    return screening.scored_pairs(_people(spark, sf).select(F.col("full_name").alias("name")), watchlist(spark), 0.6)
 
 
-@query("screen_watchlist")
+@query("screen_watchlist", _FOLK + _LISTED + _CODES + _similar("(SELECT full_name AS name FROM folk)", "listed") + " SELECT customer_id, other AS matched_name, type AS list_type, score, position FROM folk JOIN pairs ON full_name = pairs.name JOIN listed ON listed.name = other")
 def screen_watchlist(spark, sf):
-    people = _people(spark)
-    planted = world.plant_entities(people, watchlist(spark), 12).select("customer_id", "full_name")
-    named = people.select("customer_id", "full_name").join(planted.select("customer_id"), "customer_id", "left_anti").unionByName(planted)
-    return screening.screen_customers(named, watchlist(spark))
+    return screening.screen_customers(_people(spark, sf), watchlist(spark))
+
 
+@query("screen_name", _LISTED + _CODES + _similar("(SELECT 'Farhan Ali' AS name)", "listed") + " SELECT 'Farhan Ali' AS name, count(*) AS matches, max(score) AS best, NULL::VARCHAR AS geography, 'REVIEW' AS decision FROM pairs")
+def screen_name(spark, sf):
+    return rounded(screening.screen_name(spark, "Farhan Ali", watchlist(spark)))
 
-@query("media_matches")
+
+@query("plant_entities", _PLANTED + " SELECT * FROM planted")
+def plant_entities(spark, sf):
+    return world.plant_entities(_people(spark, sf), watchlist(spark), 12)
+
+
+@query("media_matches", _MEDIA + " SELECT * FROM hits")
 def media_matches(spark, sf):
-    people = _people(spark)
-    return screening.screen_media(world.plant_media(people).drop("customer_id"), people)
+    people = _people(spark, sf)
+    return rounded(screening.screen_media(world.plant_media(people).drop("customer_id"), people))
 
 
-@query("entity_score")
+@query("entity_score", _PLANTED + _similar("(SELECT full_name AS name FROM planted)", "listed") + """ SELECT match_kind, count(*) AS planted, count(met) AS found, round(count(met) / count(*), 6) AS recall
+FROM planted LEFT JOIN (SELECT DISTINCT name, 1 AS met FROM pairs) ON name = full_name GROUP BY 1""")
 def entity_score(spark, sf):
-    people = _people(spark)
-    planted = world.plant_entities(people, watchlist(spark), 12)
-    return scoring.entity_score(screening.screen_customers(planted.select("customer_id", "full_name"), watchlist(spark)), planted)
+    planted = world.plant_entities(_people(spark, sf), watchlist(spark), 12)
+    return rounded(scoring.entity_score(screening.screen_customers(planted.select("customer_id", "full_name"), watchlist(spark)), planted))
 
 
-@query("media_score")
+@query("media_score", _MEDIA + """, found AS (SELECT DISTINCT article_id, customer_id FROM hits), good AS (SELECT article_id, customer_id FROM articles WHERE customer_id IS NOT NULL),
+n AS (SELECT (SELECT count(*) FROM found) AS flagged, (SELECT count(*) FROM found JOIN good USING (article_id, customer_id)) AS hits, (SELECT count(*) FROM good) AS planted)
+SELECT *, round(hits / flagged, 6) AS precision, round(hits / planted, 6) AS recall FROM n""")
 def media_score(spark, sf):
-    people = _people(spark)
+    people = _people(spark, sf)
     articles = world.plant_media(people)
-    return scoring.media_score(screening.screen_media(articles.drop("customer_id"), people), articles.select("article_id", "customer_id"))
+    return rounded(scoring.media_score(screening.screen_media(articles.drop("customer_id"), people), articles.select("article_id", "customer_id")))
 
 
 @query("geo_containment", "SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN contains(n_name, '_1') THEN '_1' WHEN contains(n_name, '_2') THEN '_2' END AS hit FROM nation")
@@ -390,23 +491,42 @@ def geo_containment(spark, sf):
 
 # --- risk and cases --------------------------------------------------------------------------
 
-_SIGNALS = f""", fired AS (SELECT account_id, rule, min(reason) AS reason FROM ({_ALL}) GROUP BY 1, 2),
+_HOLDERS = ", folk AS " + _folk("(SELECT DISTINCT user_id // 2 AS id FROM people)")
+_SIGNALS = _PATHS + _HOLDERS + _LISTED + _CODES + _similar("(SELECT full_name AS name FROM folk)", "listed") + f""", fired AS (SELECT account_id, rule, min(reason) AS reason FROM ({_ALL}) GROUP BY 1, 2),
 ruled AS (SELECT account_id, 'rules' AS source, concat_ws(': ', rule, reason) AS detail, 1 - pow(0.4, count(*) OVER (PARTITION BY account_id)) AS contribution FROM fired),
-screened AS (SELECT account_id, 'screening' AS source, 'name' AS detail, 0.88::DOUBLE AS contribution FROM people WHERE user_id % 5 = 0),
-modelled AS (SELECT account_id, 'ml' AS source, 'model' AS detail, (user_id % 11) / 11.0::DOUBLE AS contribution FROM people WHERE user_id % 11 > 0),
-signals AS (SELECT * FROM ruled UNION ALL SELECT * FROM screened UNION ALL SELECT * FROM modelled),
+chained AS (SELECT concat('A', unnest(accounts)) AS account_id, 'graph' AS source, concat('on a chain of ', len(txns), ' hops; Rs ', {_MONEY("amounts[1]")}, ' go in, ',
+  {_MONEY("amounts[-1] / amounts[1] * 100")}, '% come out') AS detail, 1 - pow(0.4, len(txns)) AS contribution FROM chains),
+hits AS (SELECT id, concat('listed as ', other, ' (', type, ')') AS detail, score FROM folk JOIN pairs ON full_name = pairs.name JOIN listed ON listed.name = other),
+screened AS (SELECT account_id, 'screening' AS source, arg_max(detail, (score, detail)) AS detail, max(score) AS contribution
+  FROM hits JOIN (SELECT user_id // 2 AS id, min(account_id) AS account_id FROM people GROUP BY 1) USING (id) GROUP BY 1),
+signals AS (SELECT * FROM ruled UNION ALL SELECT * FROM screened UNION ALL SELECT * FROM chained),
 strongest AS (SELECT account_id, source, max(contribution) AS contribution FROM signals GROUP BY 1, 2),
 """
 _WEIGHT = "CASE source WHEN 'rules' THEN 0.35 WHEN 'screening' THEN 0.30 WHEN 'graph' THEN 0.20 WHEN 'ml' THEN 0.15 ELSE 0 END::DOUBLE"
 _SCORES = _SIGNALS + f"scores AS (SELECT account_id, round(sum({_WEIGHT} * contribution) * 100, 2) AS score FROM strongest GROUP BY 1)\n"
 
 
+def holders(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The ledger's accounts, and its customers with names."""
+    accounts = ledger.from_driver(spark, sf).accounts
+    ids = accounts.select(F.substring("customer_id", 2, 20).cast("long").alias("id")).distinct()
+    return accounts, world.people(ids).withColumn("customer_id", F.concat(F.lit("C"), "id"))
+
+
+def list_hits(spark, sf) -> DataFrame:
+    hits = screening.screen_customers(holders(spark, sf)[1], watchlist(spark))
+    return hits.select("customer_id", F.concat(F.lit("listed as "), "matched_name", F.lit(" ("), "list_type", F.lit(")")).alias("detail"), "score")
+
+
 def signals(spark, sf) -> DataFrame:
-    t = txns(spark, sf)
-    people = t.select("account_id").distinct().withColumn("n", F.substring("account_id", 2, 20).cast("long"))
-    screened = people.filter("n % 5 = 0").select("account_id", F.lit("screening").alias("source"), F.lit("name").alias("detail"), F.lit(0.88).alias("contribution"))
-    modelled = people.filter("n % 11 > 0").select("account_id", F.lit("ml").alias("source"), F.lit("model").alias("detail"), ((F.col("n") % 11) / F.lit(11.0)).alias("contribution"))
-    return risk.rule_signals(alerts(spark, sf)).unionByName(screened).unionByName(modelled)
+    """Evidence of rules, names and chains."""
+    found = chains(spark, sf).withColumn("accounts", F.transform("accounts", lambda x: F.concat(F.lit("A"), x.cast("string"))))
+    screened = risk.screening_signals(list_hits(spark, sf), holders(spark, sf)[0])
+    return risk.rule_signals(alerts(spark, sf)).unionByName(screened).unionByName(risk.graph_signals(found))
+
+
+def model_signals(spark, sf) -> DataFrame:
+    return risk.ml_signals(risk.unsupervised_scores(ml.isolation_scores(features.account_features(txns(spark, sf)))))
 
 
 def scores(spark, sf) -> DataFrame:
@@ -429,6 +549,11 @@ def risk_scores(spark, sf):
     return scores(spark, sf)
 
 
+@query("risk_scores_with_models")
+def risk_scores_with_models(spark, sf):
+    return risk.aggregate(signals(spark, sf).unionByName(model_signals(spark, sf)))
+
+
 @query("risk_bands", _SCORES + "SELECT CASE WHEN score >= 60 THEN 'critical' WHEN score >= 40 THEN 'high' WHEN score >= 18 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM scores GROUP BY 1")
 def risk_bands(spark, sf):
     return rounded(scores(spark, sf).groupBy("band").agg(F.count("*").alias("n")))
@@ -439,7 +564,8 @@ def evidence_tier(spark, sf):
     return risk.evidence_tier(signals(spark, sf))
 
 
-@query("min_case_score", "SELECT 16.7::DOUBLE AS threshold, 16.8::DOUBLE AS quietest, 15.0::DOUBLE AS ml_ceiling")
+@query("min_case_score", """SELECT round(least(100 * 0.6 * 0.35, 100 * 0.88 * 0.30, 100 * (1 - 0.4 * 0.4) * 0.20) - 0.1, 2)::DOUBLE AS threshold,
+  round(least(100 * 0.6 * 0.35, 100 * 0.88 * 0.30, 100 * (1 - 0.4 * 0.4) * 0.20), 2)::DOUBLE AS quietest, round(100 * 0.15, 2)::DOUBLE AS ml_ceiling""")
 def min_case_score(spark, sf):
     return spark.createDataFrame([risk.min_case_score()], "threshold double, quietest double, ml_ceiling double")
 
@@ -643,19 +769,27 @@ def bank_split_counts(spark, sf):
     return rounded(banked(spark, sf).groupBy("bank").agg(F.count("*").alias("n"), F.count_distinct("account").alias("accounts")))
 
 
-@query("cross_bank_edges", _BANKS + """, p AS (SELECT * FROM legs WHERE account % 3 = 0)
-SELECT a.bank AS from_bank, b.bank AS to_bank, sha256(a.ref::VARCHAR) AS token, round(a.amount, 6) AS amount, a.ts FROM p a JOIN p b ON a.ref = b.ref AND a.amount = b.amount AND a.ts = b.ts WHERE a.direction = 'DR' AND b.direction = 'CR' AND a.bank <> b.bank""")
-def cross_bank_edges(spark, sf):
-    rows = banked(spark, sf)
-    prints = multibank.fingerprints(rows, rows.filter("account % 3 = 0"), multibank.plain_token)
-    return rounded(multibank.cross_bank_edges(prints))
+SECRET = b"consortium"
+_INNER, _OUTER = (p.hex() for p in multibank.pads(SECRET))
+_TOKEN = f"sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode({{}}::VARCHAR))))".format
+_SUSPECTS = f", suspects AS (SELECT DISTINCT CAST(substr(account_id, 2) AS BIGINT) AS account FROM ({_RULES['rapid_pass_through']}))"
+_MET = " FROM p a JOIN p b ON a.ref = b.ref AND a.amount = b.amount AND a.ts = b.ts WHERE a.direction = 'DR' AND b.direction = 'CR' AND a.bank <> b.bank"
+
+
+def suspects(spark, sf) -> DataFrame:
+    """Accounts that the pass-through rule flags; a bank holds all rows of its accounts."""
+    return _SCENARIO["rapid_pass_through"](txns(spark, sf)).select(F.substring("account_id", 2, 20).cast("long").alias("account"))
+
 
+@query("fingerprints", _BANKS + _SUSPECTS + f" SELECT bank, {_TOKEN('ref')} AS token, direction, round(amount, 6) AS amount, ts FROM legs WHERE account IN (FROM suspects)")
+def fingerprints(spark, sf):
+    return rounded(multibank.fingerprints(banked(spark, sf), suspects(spark, sf), multibank.keyed_token(SECRET)))
 
-@query("cross_bank_edges_keyed")
-def cross_bank_edges_keyed(spark, sf):
-    rows = banked(spark, sf)
-    suspects = flagged(spark, sf).select(F.substring("id", 2, 20).cast("long").alias("account"))
-    return multibank.cross_bank_edges(multibank.fingerprints(rows, suspects, multibank.token_udf(b"consortium")))
+
+@query("cross_bank_edges", _BANKS + _SUSPECTS + f""", p AS (SELECT * FROM legs WHERE account IN (FROM suspects))
+SELECT a.bank AS from_bank, b.bank AS to_bank, {_TOKEN('a.ref')} AS token, round(a.amount, 6) AS amount, a.ts""" + _MET)
+def cross_bank_edges(spark, sf):
+    return rounded(multibank.cross_bank_edges(multibank.fingerprints(banked(spark, sf), suspects(spark, sf), multibank.keyed_token(SECRET))))
 
 
 _HOPS = _PATHS + ", numbered AS (SELECT array_to_string(txns, '-') AS chain, accounts FROM chains), pos AS (SELECT chain, i AS position, accounts[i] % 4 AS bank FROM numbered, range(1, 40) r(i) WHERE i <= len(accounts)), isl AS (SELECT *, position - row_number() OVER (PARTITION BY chain, bank ORDER BY position) AS island FROM pos)"
@@ -667,31 +801,44 @@ def same_bank_runs(spark, sf):
     return rounded(multibank.same_bank_runs(own.select("chain", (F.col("p") + 1).alias("position"), (F.col("account") % 4).alias("bank"))))
 
 
-def _coop(spark, sf, alone: bool) -> DataFrame:
-    """Hops of each chain that banks see: alone only within one bank, together all of marked accounts."""
-    c = chains(spark, sf).select(F.array_join(F.col("txns").cast("array<string>"), "-").alias("plant"), F.posexplode("accounts").alias("position", "account"))
-    if alone:
-        e = ledger.edges(spark, sf).filter(F.col("src") % 4 == F.col("dst") % 4)
-    else:
-        rows = banked(spark, sf)
-        e = ledger.edges(spark, sf).filter((F.col("src") % 3 == 0) & (F.col("dst") % 3 == 0))
-        e = e.join(multibank.cross_bank_edges(multibank.fingerprints(rows, rows.filter("account % 3 = 0"), multibank.plain_token)).select("ts", "amount").distinct(), ["ts", "amount"], "left_semi")
-    found = e.select(F.col("txn_id").alias("chain"), F.posexplode(F.array("src", "dst")).alias("position", "account"))
-    pair = multibank.hops_seen(c, found)
-    return pair.agg(F.count("*").alias("chains_touched"), F.coalesce(F.max("best"), F.lit(0)).alias("best"))
-
-
-_SEEN = ", steps AS (SELECT array_to_string(txns, '-') AS plant, accounts[i] AS a, accounts[i + 1] AS b FROM chains, range(1, 40) r(i) WHERE i < len(accounts))"
+def bank_outcomes(spark, sf) -> DataFrame:
+    """Each chain of the pooled rows, as single banks and co-operating banks see it."""
+    plant = F.array_join(F.col("txns").cast("array<string>"), "-")
+    pooled = chains(spark, sf).withColumn("plant", plant)
+    bank = lambda account: account % 4
+    alone = graph.find_chains(ledger.edges(spark, sf).filter(bank(F.col("src")) == bank(F.col("dst"))), **CHAIN)
+    solo = alone.select(plant.alias("chain"), F.posexplode("accounts").alias("position", "account"))
+    prints = multibank.fingerprints(banked(spark, sf), suspects(spark, sf), multibank.keyed_token(SECRET))
+    met = multibank.cross_bank_edges(prints).select("token", "amount", "ts").distinct()
+    token = multibank.keyed_token(SECRET)(F.col("txn_id").cast("string"))
+    recovered = ledger.edges(spark, sf).withColumn("token", token).join(met, ["token", "amount", "ts"], "left_semi")
+    return multibank.outcomes(pooled, solo, recovered, bank)
+
+
+def _renamed(sql: str) -> str:
+    """The chains of banks' own rows, beside those of all."""
+    for name in ("paths", "maximal", "one", "chains"):
+        sql = sql.replace(f"{name} AS (", f"own_{name} AS (").replace(f"FROM {name}", f"FROM own_{name}")
+    return sql.replace("FROM edges WHERE", "FROM edges WHERE src % 4 = dst % 4 AND").replace("JOIN edges e\n    ON", "JOIN edges e\n    ON e.src % 4 = e.dst % 4 AND")
+
+
+_OUTCOMES = _PATHS.rstrip() + _renamed(_PATHS).rstrip() + _SUSPECTS + """, hops AS (SELECT array_to_string(txns, '-') AS plant, accounts[i] AS a, accounts[i + 1] AS b FROM chains, range(1, 60) r(i) WHERE i < len(accounts)),
+own_hops AS (SELECT array_to_string(txns, '-') AS chain, accounts[i] AS a, accounts[i + 1] AS b FROM own_chains, range(1, 60) r(i) WHERE i < len(accounts)),
+seen AS (SELECT plant, max(n) AS best FROM (SELECT plant, chain, count(*) AS n FROM hops JOIN own_hops USING (a, b) GROUP BY 1, 2) GROUP BY 1),
+outcomes AS (SELECT plant, count(*) AS hops, count(*) FILTER (a % 4 = b % 4) AS same_bank, coalesce(any_value(best), 0)::BIGINT AS solo_best,
+  count(*) FILTER (a % 4 <> b % 4 AND a IN (FROM suspects) AND b IN (FROM suspects)) AS coop FROM hops LEFT JOIN seen USING (plant) GROUP BY plant)
+"""
 
 
-@query("solo_hops", _PATHS + _SEEN + " SELECT count(DISTINCT plant) AS chains_touched, coalesce(max(1), 0)::BIGINT AS best FROM steps JOIN edges e ON e.src = a AND e.dst = b WHERE a % 4 = b % 4")
-def solo_hops(spark, sf):
-    return rounded(_coop(spark, sf, True))
+@query("chain_outcomes", _OUTCOMES + "SELECT * FROM outcomes")
+def chain_outcomes(spark, sf):
+    return rounded(bank_outcomes(spark, sf))
 
 
-@query("coop_hops", _PATHS + _SEEN + " SELECT count(DISTINCT plant) AS chains_touched, coalesce(max(1), 0)::BIGINT AS best FROM steps JOIN edges e ON e.src = a AND e.dst = b WHERE a % 4 <> b % 4 AND a % 3 = 0 AND b % 3 = 0")
-def coop_hops(spark, sf):
-    return rounded(_coop(spark, sf, False))
+@query("bank_measure", _OUTCOMES + "SELECT count(*) AS chains, sum(hops)::BIGINT AS pooled, sum(same_bank)::BIGINT AS same_bank, sum(solo_best)::BIGINT AS solo, sum(coop)::BIGINT AS coop FROM outcomes")
+def bank_measure(spark, sf):
+    o = bank_outcomes(spark, sf)
+    return rounded(o.agg(F.count("*").alias("chains"), F.sum("hops").alias("pooled"), F.sum("same_bank").alias("same_bank"), F.sum("solo_best").alias("solo"), F.sum("coop").alias("coop")))
 
 
 # --- models ----------------------------------------------------------------------------------
@@ -701,18 +848,39 @@ def _labelled_accounts(spark, sf) -> DataFrame:
     return txns(spark, sf).select("account_id").distinct().join(bad, "account_id", "left").select("account_id", F.coalesce("bad", F.lit(0)).alias("label"))
 
 
-@query("stratified_split")
+@query("stratified_split", f""", l AS (SELECT account_id, CAST(account_id IN (SELECT id FROM truth) AS BIGINT) AS label FROM people)
+SELECT account_id, label, row_number() OVER (PARTITION BY label ORDER BY {_num("account_id", "42")}) <= floor(count(*) OVER (PARTITION BY label) * 0.3::DOUBLE) AS test FROM l""")
 def stratified_split(spark, sf):
-    return ml.stratified_split(_labelled_accounts(spark, sf))
+    return rounded(ml.stratified_split(_labelled_accounts(spark, sf)))
 
 
 @query("gbt_leaderboard")
 def gbt_leaderboard(spark, sf):
     f = features.account_features(txns(spark, sf))
     split = ml.stratified_split(_labelled_accounts(spark, sf))
-    boosted = ml.boosted_scores(f, split, rounds=5)
-    forest = ml.isolation_scores(f, trees=50).join(split.filter("test"), "account_id").select("account_id", F.col("raw").alias("score"), "label")
-    return ml.leaderboard({"boosted trees": boosted, "isolation forest": forest})
+    boosted = ml.boosted_scores(f, split)
+    test = split.filter("test")
+    raw = lambda df: df.join(test, "account_id").select("account_id", F.col("raw").alias("score"), "label")
+    near = neighbour_features(spark, sf).join(split, "account_id")
+    return ml.leaderboard({
+        "boosted trees": boosted, "boosted trees with neighbours": ml.boosted_scores(near.drop("label", "test"), split, names=ml.NAMES + tuple(f"near_{n}" for n in ml.NAMES)),
+        "isolation forest": raw(ml.isolation_scores(f)), "one-class boundary": raw(ml.one_class_scores(f)), "principal components": raw(ml.reconstruction_errors(f)),
+    })
+
+
+def neighbour_features(spark, sf) -> DataFrame:
+    e = ledger.edges(spark, sf)
+    people = e.select(F.col("src").alias("account")).union(e.select("dst")).distinct()
+    weights = ml.adjacency(e, people.withColumn("test", F.lit(False)))
+    f = features.account_features(txns(spark, sf)).withColumn("account", F.substring("account_id", 2, 20).cast("long"))
+    return ml.with_neighbours(f, weights).drop("account")
+
+
+@query("neighbour_features", """, f AS (""" + _FEATURES + """), b AS (SELECT src AS account, dst AS other FROM edges UNION SELECT dst, src FROM edges)
+SELECT p.account_id, round(coalesce(avg(n.total_in), 0), 6) AS near_total_in, round(coalesce(avg(n.txn_count), 0), 6) AS near_txn_count
+FROM f p LEFT JOIN (SELECT concat('A', account) AS account_id, concat('A', other) AS near FROM b) USING (account_id) LEFT JOIN (SELECT account_id AS near, total_in, txn_count FROM f) n USING (near) GROUP BY 1""")
+def near(spark, sf):
+    return rounded(neighbour_features(spark, sf).select("account_id", "near_total_in", "near_txn_count"))
 
 
 @query("pca_reconstruction")
@@ -722,17 +890,17 @@ def pca_reconstruction(spark, sf):
 
 @query("isolation_scores")
 def isolation_scores(spark, sf):
-    return ml.isolation_scores(features.account_features(txns(spark, sf)), trees=100)
+    return ml.isolation_scores(features.account_features(txns(spark, sf)))
 
 
 @query("unsupervised_scores")
 def unsupervised_scores(spark, sf):
-    return risk.unsupervised_scores(ml.isolation_scores(features.account_features(txns(spark, sf)), trees=50))
+    return risk.unsupervised_scores(ml.isolation_scores(features.account_features(txns(spark, sf))))
 
 
 @query("one_class_scores")
 def one_class_scores(spark, sf):
-    return ml.one_class_scores(features.account_features(txns(spark, sf)), steps=1000)
+    return ml.one_class_scores(features.account_features(txns(spark, sf)))
 
 
 @query("adjacency", """, b AS (SELECT src AS account, dst AS other FROM edges UNION SELECT dst, src FROM edges), i AS (SELECT * FROM b WHERE account % 3 = 0 AND other % 3 = 0 OR account % 3 <> 0 AND other % 3 <> 0)
@@ -745,37 +913,128 @@ def adjacency(spark, sf):
 
 # --- generated worlds ------------------------------------------------------------------------
 
-@query("population")
+DAYS = 14
+
+
+def _habits(days: int, seed: str = "42") -> str:
+    """SQL of world.life_events over ``folk``."""
+    parts = []
+    for h in world.HABITS:
+        key = ("account_id", "k", seed, f"'{h.name}'")
+        segments = ", ".join(f"'{x}'" for x in h.segments)
+        parts.append(f"""SELECT account_id, {_moment("day", *key, "'ts'")} AS ts, '{h.direction}' AS direction, '{h.channel}' AS channel,
+  CAST({h.low} + {_uni(*key, "'amount'")} * {h.high - h.low} AS DECIMAL(15,2)) AS amount, concat('{h.name} ', {_pick(world.LAST, *key, "'cp'")}) AS counterparty_name,
+  concat_ws('/', '{h.channel}', '{h.direction}', {_num(*key)} % 1000000, '{h.name}') AS narration
+FROM (SELECT *, CAST(k * {h.every} + {h.first} + floor({_uni(*key, "'day'")} * {h.last - h.first + 1}) AS INTEGER) AS day FROM folk, (SELECT unnest(range({-(-days // h.every)})) AS k)
+  WHERE segment IN ({segments}) AND {_uni(*key)} < {h.chance}::DOUBLE) WHERE day < {days}""")
+    paid = f"""SELECT f.*, g.account_id AS friend, CAST(floor({_uni("f.account_id", seed, "'day'")} * {days}) AS INTEGER) AS day FROM folk f JOIN folk g ON g.id = (f.id + 1) % (SELECT count(*) FROM folk)
+  WHERE {_uni("f.account_id", seed, "'p2p'")} < 0.35::DOUBLE AND f.account_id <> g.account_id"""
+    for side, me, other in (("DR", "account_id", "friend"), ("CR", "friend", "account_id")):
+        parts.append(f"""SELECT {me} AS account_id, {_moment("day", "account_id", seed, "'p2p ts'")} AS ts, '{side}' AS direction, 'UPI' AS channel,
+  CAST(100 + {_uni("account_id", seed, "'p2p amount'")} * 2900 AS DECIMAL(15,2)) AS amount, {other} AS counterparty_name, concat_ws('/', 'UPI', '{side}', {_num("account_id", seed)} % 1000000, 'p2p') AS narration FROM ({paid})""")
+    return " UNION ALL ".join(parts)
+
+
+_LIFE = _FOLK + f", life AS ({_habits(DAYS)})"
+
+
+@query("population", _FOLK + " SELECT * FROM folk")
 def population(spark, sf):
-    return world.population(spark, 1000)
+    return _people(spark, sf)
 
 
-@query("life_events")
+@query("life_events", _LIFE + " SELECT * REPLACE (amount::DOUBLE AS amount) FROM life")
 def life_events(spark, sf):
-    return world.life_events(world.population(spark, 300), 30)
+    return rounded(world.life_events(_people(spark, sf), DAYS))
 
 
-@query("posted_world")
+@query("posted_world", _LIFE + """, run AS (SELECT *, sum(CASE WHEN direction = 'CR' THEN amount ELSE -amount END) OVER (PARTITION BY account_id ORDER BY ts, narration, amount, direction ROWS UNBOUNDED PRECEDING) AS run,
+  row_number() OVER (PARTITION BY account_id ORDER BY ts, narration, amount, direction) AS place FROM life)
+SELECT account_id, ts, direction, channel, amount::DOUBLE AS amount, counterparty_name, narration, CAST(substr(account_id, 2) AS BIGINT) * 1000000 + place AS txn_id,
+  (run + greatest(-min(run) OVER (PARTITION BY account_id), 0) + 1000)::DOUBLE AS balance_after, NULL::VARCHAR AS counterparty_ref FROM run""")
 def posted_world(spark, sf):
-    return world.post(world.life_events(world.population(spark, 200), 30))
+    return rounded(world.post(world.life_events(_people(spark, sf), DAYS)))
+
+
+_USES = ("structuring", "shell", "round_trip", "dormant", "geography")
+_POOL = ", pool AS (SELECT *, row_number() OVER (ORDER BY " + _num("account_id", "42") + ", account_id) - 1 AS place FROM people), last AS (SELECT account_id, max(ts) AS last_ts FROM txn GROUP BY 1)"
+_SPARE = f", spare AS (SELECT account_id, round(greatest(least(opening, low)::DOUBLE * 0.6, 0), 6) AS ceiling FROM {_FIRST})"
+
+
+def _pool(spark, sf, use: str) -> DataFrame:
+    """Two accounts of the ledger for each use, with what they can spare and when they were last used."""
+    t = txns(spark, sf)
+    pool = world.partition_pool(t.select("account_id").distinct(), {k: 2 for k in _USES}).filter(F.col("use") == use).select("account_id")
+    spare = ledger.safe_debit_ceiling(t).withColumn("ceiling", F.round("ceiling", 6))
+    return pool.join(spare, "account_id").join(t.groupBy("account_id").agg(F.max("ts").alias("last_ts")), "account_id")
+
+
+@query("partition_pool", _POOL + f" SELECT account_id, ([{', '.join(repr(k) for k in _USES)}])[1 + place // 2] AS use, place FROM pool WHERE place < {2 * len(_USES)}")
+def partition_pool(spark, sf):
+    return rounded(world.partition_pool(txns(spark, sf).select("account_id").distinct(), {k: 2 for k in _USES}))
+
+
+def _scheme_sql(kind: str, use: str, n: str, extra: str = "") -> str:
+    """CTE ``d`` of a kind's steps, over the pool's accounts of that use."""
+    at = _USES.index(use)
+    return _POOL + _SPARE + f""", base AS (SELECT account_id, concat('{kind}-', account_id) AS scheme_id, CAST({n} AS INTEGER) AS n, ceiling, last_ts FROM pool JOIN spare USING (account_id) JOIN last USING (account_id)
+  WHERE place BETWEEN {2 * at} AND {2 * at + 1}), d AS (SELECT *, {_uni("scheme_id", "step", "1", "'part'")} + 0.5::DOUBLE AS part FROM base, range(0, n) r(step)){extra} """
+
 
+_REF = _num("scheme_id", "step", "1", "'ref'") + " % 1000000"
+_D = lambda what: _uni("scheme_id", "step", "1", f"'{what}'")
+_ONCE = lambda what: _uni("scheme_id", "1", f"'{what}'")
+_N = _uni("account_id", "1", "'n'")
+_TS = lambda day: _moment(day, "scheme_id", "step", "1", "'ts'")
+_AFTER = "to_seconds(floor(({}) * 3600))".format
 
-def _pool(spark) -> DataFrame:
-    return world.partition_pool(world.population(spark, 300), {k: 5 for k in ("structuring", "shell", "round_trip", "dormant", "geography")})
 
+def _row_sql(kind: str, direction: str, channel: str, ts: str, amount: str, party: str, source: str = "d") -> str:
+    return f"""SELECT account_id, {ts} AS ts, {direction} AS direction, '{channel}' AS channel, CAST(CAST({amount} AS DECIMAL(15,2)) AS DOUBLE) AS amount, {party} AS counterparty_name,
+  concat_ws('/', '{channel}', {direction}, {_REF}, 'x') AS narration, scheme_id, '{kind}' AS typology FROM {source}"""
 
+
+def _split_sql(total: str) -> str:
+    return f""", cut AS (SELECT *, CAST(round({total} * part / sum(part) OVER w, 2) AS DECIMAL(15,2)) AS own FROM d WINDOW w AS (PARTITION BY scheme_id)),
+shared AS (SELECT *, CASE WHEN step < n - 1 THEN own ELSE CAST({total} AS DECIMAL(15,2)) - coalesce(sum(own) FILTER (step < n - 1) OVER (PARTITION BY scheme_id), 0) END AS paid FROM cut) """
+
+
+_GAP = f"last_ts + {_AFTER('(3 + ' + _ONCE('gap') + ' * 7) * 24')}"
+_HALF = "CASE WHEN {} THEN {} ELSE {} END".format
+_INJECTED = {
+    "structuring": _scheme_sql("structuring", "structuring", f"27 + floor({_N} * 20)") + _row_sql("structuring", "'CR'", "CASH", _TS(f"floor({_D('day')} * 20)"), f"(0.35::DOUBLE + 0.65::DOUBLE * {_D('amount')}) * 95000", "'SELF'"),
+    "shell": _scheme_sql("shell", "shell", f"3 + floor({_N} * 6)", _split_sql("3000000.0::DOUBLE")) + _row_sql("shell", "'CR'", "NEFT", _TS("step * 3"), "paid", "concat('SHELL ', scheme_id)", "shared"),
+    "round_trip": _scheme_sql("round_trip", "round_trip", "2") + "SELECT * FROM (" + _row_sql(
+        "round_trip", "CASE WHEN step = 1 THEN 'CR' ELSE 'DR' END", "RTGS", f"{_moment('3', 'scheme_id', '1', repr('ts'))} + {_AFTER('CASE WHEN step = 1 THEN (2 + ' + _ONCE('days') + ' * 8) * 24 ELSE 0 END')}",
+        _HALF("step = 1", f"round(least(50000, ceiling), 2) * (1.02::DOUBLE + {_ONCE('more')} * 0.08::DOUBLE)", "round(least(50000, ceiling), 2)"), "'OVERSEAS HOLDINGS'") + ") WHERE amount > 0",
+    "dormant": _scheme_sql("dormant", "dormant", f"2 + floor({_N} * 3)", _split_sql(f"round(60000 * (0.90::DOUBLE + {_ONCE('share')} * 0.07::DOUBLE), 2)"))
+        + _row_sql("dormant", "'DR'", "IMPS", f"{_GAP} + {_AFTER('1 + step * 4 + ' + _D('wait') + ' * 3')}", "paid", "'UNKNOWN SENDER'", "shared") + " UNION ALL "
+        + _row_sql("dormant", "'CR'", "IMPS", _GAP, "60000", "'UNKNOWN SENDER'", "(SELECT * REPLACE (-1 AS step) FROM shared WHERE step = 0)"),
+    "geography": _scheme_sql("geography", "geography", f"1 + floor({_N} * 3)") + "SELECT * FROM (" + _row_sql(
+        "geography", f"CASE WHEN {_D('side')} < 0.5::DOUBLE THEN 'DR' ELSE 'CR' END", "INT", _TS("5 + step"),
+        _HALF(f"{_D('side')} < 0.5::DOUBLE", f"floor(least(90000, ceiling) / n * (0.5::DOUBLE + 0.5::DOUBLE * {_D('amount')}))", f"floor(20000 + 60000 * {_D('amount')})"),
+        f"concat({_pick(rules.HIGH_RISK, 'scheme_id', 'step', '1', repr('place'))}, ' TRADING LLC')") + ") WHERE amount > 0",
+}
 _INJECTORS = {
     "structuring": world.structuring, "shell": world.shell_company, "round_trip": world.round_tripping, "dormant": world.dormant_reactivation,
     "geography": lambda a: world.geography(a, rules.HIGH_RISK),
 }
 for _name, _inject in _INJECTORS.items():
-    query(f"inject_{_name}")(lambda spark, sf, kind=_name, inject=_inject: inject(_pool(spark).filter(F.col("use") == kind).select("account_id")))
+    query(f"inject_{_name}", _INJECTED[_name])(lambda spark, sf, kind=_name, inject=_inject: rounded(inject(_pool(spark, sf, kind))))
+
+_LAYERED = _FOLK + f""", links AS (SELECT id // 4 AS c, list(account_id ORDER BY account_id) AS ids FROM folk GROUP BY 1 HAVING count(*) > 1),
+d AS (SELECT concat('layering-L', c) AS scheme_id, ids, len(ids) AS n, step FROM links, range(0, 4) r(step) WHERE step < len(ids)),
+e AS (SELECT *, 900000 * exp(sum(CASE WHEN step = 0 THEN 0 ELSE ln(1 - (0.03::DOUBLE + {_D('cut')} * (0.08::DOUBLE - 0.03::DOUBLE))) END) OVER w) AS amount,
+  sum(CASE WHEN step = 0 THEN 0 ELSE floor((2 + {_D('gap')} * 28) * 3600) END) OVER w AS wait, {_REF} AS ref FROM d WINDOW w AS (PARTITION BY scheme_id ORDER BY step ROWS UNBOUNDED PRECEDING)),
+legs AS (SELECT *, 'CR' AS side, step AS nth, ids[step + 1] AS own, CASE WHEN step = 0 THEN 'CASH IN' ELSE ids[step] END AS other FROM e UNION ALL SELECT *, 'DR', step - 1, ids[step], ids[step + 1] FROM e WHERE step > 0)
+SELECT own AS account_id, TIMESTAMP '{world.START}' + to_days(3) + to_seconds(wait) AS ts, side AS direction, 'IMPS' AS channel, CAST(CAST(amount AS DECIMAL(15,2)) AS DOUBLE) AS amount, other AS counterparty_name,
+  concat_ws('/', 'IMPS', side, ref, 'x') AS narration, scheme_id, 'layering' AS typology, CASE WHEN nth = 0 THEN 'source' WHEN nth = n - 1 THEN 'sink' ELSE 'mule' END AS role FROM legs"""
 
 
-@query("inject_layering")
+@query("inject_layering", _LAYERED)
 def inject_layering(spark, sf):
-    own = world.population(spark, 60).groupBy((F.col("id") / 4).cast("int").alias("c")).agg(F.sort_array(F.collect_list("account_id")).alias("account_ids"))
-    return world.layering(own.select(F.concat(F.lit("L"), "c").alias("chain_id"), "account_ids"))
+    own = _people(spark, sf).groupBy(F.floor(F.col("id") / 4).alias("c")).agg(F.sort_array(F.collect_list("account_id")).alias("account_ids")).filter(F.size("account_ids") > 1)
+    return rounded(world.layering(own.select(F.concat(F.lit("L"), "c").alias("chain_id"), "account_ids")))
 
 
 @query("cast_week")
@@ -783,10 +1042,108 @@ def cast_week(spark, sf):
     return world.post(world.life_events(world.cast(spark), 7))
 
 
+@query("assign_banks", _FOLK + f" SELECT account_id, {_num('account_id', '5')} % 4 AS bank FROM folk")
+def assign_banks(spark, sf):
+    return rounded(world.assign_banks(_people(spark, sf)))
+
+
 for _placement in ("naive", "deliberate"):
-    query(f"plant_chains_{_placement}")(lambda spark, sf, placement=_placement: world.plant_chains(world.assign_banks(world.population(spark, 200)), placement=placement))
+    query(f"plant_chains_{_placement}")(lambda spark, sf, placement=_placement: world.plant_chains(world.assign_banks(_people(spark, sf)), placement=placement))
 
 
 @query("redteam_decay")
 def redteam_decay(spark, sf):
-    return redteam.structuring_decay(spark, generations=3, customers=60, schemes=3, days=10)
+    ids = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"))
+    return redteam.decay(ids, generations=3)
+
+
+# --- cases, reports and the log of calls -----------------------------------------------------
+
+@query("case_signals", _SIGNALS.rstrip().rstrip(",") + " SELECT user_id AS case_id, source, detail, CAST(CAST(contribution AS DECIMAL(4,3)) AS DOUBLE) AS contribution FROM signals JOIN people USING (account_id)")
+def case_signals(spark, sf):
+    held = txns(spark, sf).select("account_id").distinct().withColumn("case_id", F.substring("account_id", 2, 20).cast("long"))
+    return rounded(cases.snapshot(signals(spark, sf), held))
+
+
+@query("entity_totals", """ SELECT 'totals' AS part, count(*) AS n, sum(amount)::DOUBLE AS amount FROM txn WHERE account_id = 'A3'
+UNION ALL SELECT 'transactions', count(*), sum(amount)::DOUBLE FROM (SELECT * FROM txn WHERE account_id = 'A3' ORDER BY ts DESC, txn_id DESC LIMIT 20)""")
+def entity_totals(spark, sf):
+    none = spark.createDataFrame([], "account_id string, status string, accounts array<string>")
+    own = cases.entity_360(txns(spark, sf), none, none, "A3")
+    totals = own["totals"].select(F.lit("totals").alias("part"), "n", (F.col("total_in") + F.col("total_out")).alias("amount"))
+    return rounded(totals.unionByName(own["transactions"].agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount")).select(F.lit("transactions").alias("part"), "n", "amount")))
+
+
+@query("entity_chains", _PATHS + "SELECT array_to_string(accounts, ',') AS accounts, len(txns) AS hops FROM chains WHERE list_contains(accounts, 3)")
+def entity_chains(spark, sf):
+    none = spark.createDataFrame([], "account_id string, status string")
+    found = cases.entity_360(txns(spark, sf), chains(spark, sf), none, "3")["chains"]
+    return rounded(found.select(_listed("accounts").alias("accounts"), "hops"))
+
+
+@query("audit_log", """ SELECT TIMESTAMP '2024-01-01' AS ts, 'chains' AS tool, '{"min_amount":100.0}' AS params, 'ok' AS outcome, count(*) AS hits FROM edges WHERE amount >= 100
+UNION ALL SELECT TIMESTAMP '2024-01-02', 'screen', '{"name":"Farhan Ali","threshold":0.88}', 'ok', 1""")
+def audit_log(spark, sf):
+    none = spark.createDataFrame([], "ts timestamp_ntz, tool string, params string, outcome string, hits int")
+    n = ledger.edges(spark, sf).filter("amount >= 100").count()
+    one = cases.audited(none, spark, datetime(2024, 1, 1), "chains", {"min_amount": 100.0}, "ok", n)
+    return rounded(cases.audited(one, spark, datetime(2024, 1, 2), "screen", {"threshold": 0.88, "name": "Farhan Ali"}, "ok", 1))
+
+
+@query("observed_conversion", """, s AS (SELECT user_id FROM people) SELECT count(*) FILTER (user_id % 5 = 3) AS closed, 0::BIGINT AS confirmed, CASE WHEN count(*) FILTER (user_id % 5 = 3) > 0 THEN 0.0::DOUBLE END AS conversion FROM s""")
+def observed_conversion(spark, sf):
+    return rounded(scoring.conversion(cases.state(_case_events(spark, sf))))
+
+
+@query("review_hours", _LABELLED + """, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM s)
+SELECT b AS budget, count(*) * 0.5::DOUBLE AS hours, round(count(*) * 0.5::DOUBLE / nullif(sum(label), 0), 6) AS hours_per_find, round(sum(label) / count(*), 6) AS ceiling
+FROM r, (SELECT unnest([10, 25, 50, 100])::BIGINT AS b) WHERE place <= b GROUP BY b""")
+def review_hours(spark, sf):
+    return rounded(scoring.review_hours(scoring.at_budgets(labelled(spark, sf))))
+
+
+@query("combined_comparison", _SIGNALS + f"""universe AS (SELECT account_id FROM people WHERE {_num("account_id", "7")} % 10 < 3), t AS (SELECT DISTINCT id FROM truth WHERE id IN (FROM universe)),
+ranked AS (SELECT source, account_id, contribution AS score FROM strongest UNION ALL SELECT 'combined', account_id, round(sum({_WEIGHT} * contribution) * 100, 2) FROM strongest GROUP BY 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, account_id) AS place FROM ranked WHERE account_id IN (FROM universe))
+SELECT source, b AS budget, count(*) AS reviewed, count(*) FILTER (account_id IN (FROM t)) AS hits, round(count(*) FILTER (account_id IN (FROM t)) / count(*), 6) AS precision,
+  round(count(*) FILTER (account_id IN (FROM t)) / (SELECT count(*) FROM t), 6) AS recall FROM placed, (SELECT unnest([10, 25, 50])::BIGINT AS b) WHERE place <= b GROUP BY 1, 2""")
+def combined_comparison(spark, sf):
+    universe = txns(spark, sf).select("account_id").distinct().filter(world.number(F.col("account_id"), 7) % 10 < 3)
+    return rounded(scoring.combined_comparison(signals(spark, sf), scores(spark, sf), truth(spark, sf), universe))
+
+
+@query("typology_at_budget", _SCORES + """, top AS (SELECT account_id FROM scores ORDER BY score DESC, account_id LIMIT 25)
+SELECT typology, count(*) AS schemes, count(*) FILTER (met) AS caught, round(count(*) FILTER (met) / count(*), 6) AS recall FROM (SELECT typology, scheme_id, bool_or(id IN (FROM top)) AS met FROM truth GROUP BY 1, 2) GROUP BY 1""")
+def typology_at_budget(spark, sf):
+    top = scores(spark, sf).orderBy(F.desc("score"), "account_id").limit(25).select(F.col("account_id").alias("id"))
+    return rounded(scoring.recall_by(top, truth(spark, sf)))
+
+
+@query("bar_order", "SELECT channel AS label, count(*) AS value, row_number() OVER (ORDER BY count(*) DESC, channel) AS place FROM txn GROUP BY 1")
+def bar_order(spark, sf):
+    return rounded(scoring.bars(txns(spark, sf).groupBy(F.col("channel").alias("label")).agg(F.count("*").alias("value"))))
+
+
+@query("banks_apart", _POOL + " SELECT " + _num("account_id", "5") + " % 4 AS bank, count(*) AS n, count(DISTINCT account_id) AS accounts FROM txn GROUP BY 1")
+def banks_apart(spark, sf):
+    """Banks written as files of their own, each read by itself."""
+    bank = ledger.from_driver(spark, sf)
+    folder = shared_folder(spark)
+    ledger.split_into_banks(bank, world.assign_banks(bank.accounts), folder)
+    out = None
+    for k in range(4):
+        if path_exists(spark, f"{folder}/transactions/bank={k}"):
+            own = spark.read.parquet(f"{folder}/transactions/bank={k}")
+            row = own.agg(F.count("*").alias("n"), F.count_distinct("account_id").alias("accounts")).select(F.lit(k).alias("bank"), "n", "accounts")
+            out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
+@query("reloaded_ledger", "SELECT account_id, count(*) AS n, sum(amount)::DOUBLE AS total FROM txn GROUP BY 1")
+def reloaded_ledger(spark, sf):
+    """The ledger appended to files in two parts, and opened again."""
+    rows, folder = txns(spark, sf), shared_folder(spark)
+    for part in (0, 1):
+        ledger.append(rows.filter(F.col("txn_id") % 2 == part), folder, "transactions")
+    again = spark.read.schema(ledger.SCHEMAS["transactions"]).parquet(f"{folder}/transactions")
+    return rounded(again.groupBy("account_id").agg(F.count("*").alias("n"), F.sum("amount").alias("total")))

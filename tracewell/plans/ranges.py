@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,9 +39,39 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut by a reliable checkpoint in ``spark.checkpoint.dir``
-    (a temporary folder where that is unset, as in tests)."""
+    (a temporary folder where that is unset on one machine, as in tests)."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint(eager=True)
+
+
+def sums_down(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """df with running sums, named by the keys, of columns, by falling ``order``, which has no equal values.
+
+    Rows are dealt by ranges of the order; each range's sums start from those of the ranges
+    above. So no window holds more than a range, but for one over the ranges' totals."""
+    dealt = cut(df.repartitionByRange(F.desc(order)).withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in set(sums.values())))
+    above = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = totals.select("__range", *(F.coalesce(F.sum(f"__{c}").over(above), F.lit(0)).alias(f"__{c}") for c in set(sums.values())))
+    own = Window.partitionBy("__range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(F.broadcast(totals), "__range")
+    return met.select(*df.columns, *((F.sum(c).over(own) + F.col(f"__{c}")).alias(n) for n, c in sums.items()))
+
+
+def shared_folder(spark) -> str:
+    """URI of a new folder under the checkpoint folder, for one query's files."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        cut(spark.range(0))
+    return f"{context._jsc.sc().getCheckpointDir().get().rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def path_exists(spark, uri: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
