@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``root``: the least node of each node's component, for nodes with an edge.
 
     Ends are longs. Loops and edges with a null end say nothing; repeated edges count once. No
-    edges give no rows. Minima are aggregated before each shuffle, so a hub with many edges
-    does not gather in one task; rounds are cut by reliable checkpoints, and grow with the
-    logarithm of the longest path.
+    edges give no rows. Minima are aggregated before each shuffle, and hubs' minima are broadcast
+    to their edges, so a hub does not gather in one task; rounds are cut by reliable checkpoints,
+    and grow with the logarithm of the longest path.
     """
     ends = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
     state = cut(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -24,20 +24,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark == before or mark[0] == 0:
             break
         before = mark
-        state = cut(_small_star(_large_star(state)))
+        state = cut(_small_star(_large_star(state, mark[0]), mark[0]))
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Larger neighbours of each node are tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
+    met = lookup(both, low, ["u"], ["low"], "n", 2 * total, ["v"])
+    return met.filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of these."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
-    others = edges.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    low = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+    others = lookup(edges, low, ["u"], ["low"], "n", total, ["v"]).filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return others.unionByName(low.select("u", F.col("low").alias("v"))).distinct()

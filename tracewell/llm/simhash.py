@@ -107,12 +107,11 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id that
     is reachable by links, for each row. Only one fingerprint of equal ones is indexed."""
     rows = common.cut(fingerprints(docs, width))
-    prints = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = connected_components(links(prints))
-    linked = label.join(prints, label["node"] == prints["fp"]).select("fp", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("reached"))
-    reached = linked.join(least, "root").select("fp", "reached")
-    named = prints.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    prints = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    label = common.cut(connected_components(links(prints.select("fp"))))
+    linked = label.withColumnRenamed("node", "fp").join(prints, "fp")
+    least = linked.groupBy("root").agg(F.min("least").alias("reached"), F.count("*").alias("members"))
+    reached = common.lookup(linked.select("fp", "root"), least, ["root"], ["reached"], "members", label.count(), ["fp"])
+    named = prints.join(reached.select("fp", "reached"), "fp", "left").select("fp", "n", F.coalesce("reached", "least").alias("component_id"))
+    found = common.lookup(rows.withColumn("row", F.monotonically_increasing_id()), named, ["fp"], ["component_id"], "n", rows.count(), ["row"])
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
