@@ -177,15 +177,16 @@ def references(pages: DataFrame) -> DataFrame:
     """pages' ``page_id``, ``url``, ``html`` with ``row`` and ``refers_to``, null for responses.
 
     Payloads are equal if their SHA-256 and lengths are. Only ids and digests are grouped, with
-    maxima taken before the shuffle; the pages' text moves once, to meet its group's id."""
+    maxima taken before the shuffle; the pages' text moves once, to meet its group's id. Payloads
+    of very many pages do not gather: their ids are broadcast."""
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", "html", F.monotonically_increasing_id().alias("row"),
         F.sha2(html.cast("binary"), 256).alias("key"), F.octet_length(html).alias("size"),
     )
-    last = keyed.groupBy("key", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    last = keyed.groupBy("key", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
     other = F.col("page_id").isNull() & F.col("last").isNotNull() | (F.col("page_id") < F.col("last"))
-    met = keyed.join(last, ["key", "size"], "left")
+    met = common.lookup(keyed, last, ["key", "size"], ["last"], "n", pages.count(), ["row"])
     return met.select("page_id", "url", "html", "row", F.when(other, F.col("last")).alias("refers_to"))
 
 
