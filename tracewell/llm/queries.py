@@ -100,18 +100,35 @@ WITH RECURSIVE parts AS (
   FROM pages),
 rules(r_host, r_path, r_verdict) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+valued AS (
+  SELECT url, concat(regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1),
+                     regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2),
+                     regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)) AS rel,
+              concat(regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1),
+                     regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2),
+                     regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)) AS href FROM tags),
 raw AS (
-  SELECT url, host, unnest([
-           concat(regexp_extract(link, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1),
-                  regexp_extract(link, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2),
-                  regexp_extract(link, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)),
-           regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*[''"]?([^''">\s]+)', 1)]) AS t
-  FROM (SELECT *, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS link FROM parts WHERE url IS NOT NULL AND html IS NOT NULL)),
+  SELECT url, href AS t FROM valued WHERE regexp_matches(rel, '(?is)(^|\s)canonical(\s|$)')
+  UNION ALL
+  SELECT url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?is)\burl\s*=\s*[''"]?([^''">\s]+)', 1)
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+split AS (
+  SELECT url, t, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, concat(regexp_extract(url, '(?s)^(.*?)://', 1), '://', regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) AS site,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS base, regexp_extract(t, '(?s)^([^?#]*)', 1) AS own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS rest
+  FROM (SELECT url, regexp_replace(trim(t), '&(amp|#38|#x26);', '&', 'gi') AS t FROM raw WHERE t <> '')),
+whole AS (
+  SELECT *, CASE WHEN starts_with(t, '/') THEN own WHEN contains(base, '/') THEN concat(regexp_extract(base, '(?s)^(.*/)', 1), own) ELSE concat('/', own) END AS long FROM split),
+dotless AS (
+  SELECT *, concat(list_reduce(list_prepend('', string_split(long, '/')[2:]), lambda done, x: CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE concat(done, '/', x) END),
+                   CASE WHEN regexp_matches(long, '(?s)/\.\.?$') THEN '/' ELSE '' END) AS short FROM whole),
 targets AS (
-  SELECT url AS a, CASE WHEN contains(t, '://') THEN t
-                        WHEN starts_with(t, '//') THEN concat(regexp_extract(url, '(?s)^(.*?)://', 1), ':', t)
-                        WHEN starts_with(t, '/') THEN concat(regexp_extract(url, '(?s)^(.*?)://', 1), '://', host, t) END AS b
-  FROM raw WHERE t <> ''),
+  SELECT url AS a, b FROM (
+    SELECT url, CASE WHEN NOT contains(url, '://') OR regexp_matches(t, '(?s)^[A-Za-z][A-Za-z0-9+.\-]*:') THEN CASE WHEN contains(t, '://') THEN t END
+                     WHEN starts_with(t, '//') THEN concat(scheme, ':', t)
+                     WHEN starts_with(t, '/') THEN concat(site, short, rest)
+                     WHEN starts_with(t, '?') THEN concat(site, base, t)
+                     WHEN own <> '' THEN concat(site, short, rest) END AS b FROM dotless) WHERE b IS NOT NULL),
 addresses AS (
   SELECT u, concat(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                    CASE WHEN regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) END) AS adr
