@@ -29,6 +29,8 @@ K, WINDOW = 6, 5
 SPAN = K + WINDOW - 1
 #: Bits of the Bloom filter; more hashes than that only let more rows into the join.
 FILTER_BITS = 1 << 24
+#: Parts in which the rows of a fingerprint that very many have are dealt out.
+DEALS = 64
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Lower-cases A-Z and turns all other ASCII but digits and a-z into spaces.
 _WORD_BYTES = bytes(
@@ -188,7 +190,14 @@ def spans(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType([docs.schema["doc_id"], *_DOC_FIELDS])
     scanned = common.cut(numbered.mapInArrow(scan, schema))
     candidates = scanned.filter("kind is not null").select("row", "kind", "print", "at", "lead", "context")
-    met = candidates.join(known.drop("p", "q").distinct(), ["kind", "print"])
+    # Fingerprints that very many rows have are dealt out, and those items' rows repeated for each deal.
+    total = candidates.count()
+    often = candidates.groupBy("kind", "print").agg(F.count("*").alias("n")).filter(F.col("n") * common.HOT_ONE_IN > total)
+    often = F.broadcast(often.select("kind", "print", F.lit(True).alias("often")))  # HOT_ONE_IN rows at most
+    dealt = candidates.join(often, ["kind", "print"], "left").withColumn("deal", F.when(F.col("often"), F.pmod(F.xxhash64("row", "at"), F.lit(DEALS))).otherwise(0)).drop("often")
+    deals = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))
+    items = known.drop("p", "q").distinct().join(often, ["kind", "print"], "left").withColumn("deal", F.explode(deals)).drop("often")
+    met = dealt.join(items.withColumn("deal", F.col("deal").cast("long")), ["kind", "print", "deal"])
     hits = met.select("row", "item_id", "kind", "at", "lead", "context", "item_lead", "item_context").mapInArrow(
         _verify, "row long, item_id string, first long, end long"
     )
@@ -219,6 +228,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that no window of an item hits. docs must be read from files or a
     checkpoint, so that its rows are numbered alike when read again."""
-    dirty = contamination(docs, items).filter("contaminated").select(F.col("row").alias("__row"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(dirty, "__row", "left_anti").select(common.quoted(docs.columns))
+    own = common.own_name(docs.columns, "__row")
+    dirty = contamination(docs, items).filter("contaminated").select(F.col("row").alias(own))
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    return numbered.join(dirty, own, "left_anti").select(common.quoted(docs.columns))
