@@ -229,3 +229,12 @@ def test_paths_longer_than_a_cut(spark):
     edges = [(k, k + 1, 1000.0, T0 + k * hour, k) for k in range(11)] + [(5, 40, 990.0, T0 + 6 * hour, 50), (30, 31, 10.0, T0, 60)]
     found = graph.all_paths(spark.createDataFrame(edges, "src long, dst long, amount double, ts timestamp_ntz, txn_id long"), min_amount=100).collect()
     assert sorted(r.hops for r in found if r.txns[0] == 0) == [6, 11] and all(r.amounts[0] >= 100 for r in found)
+
+
+@pytest.mark.parametrize("threshold", [0.88, 0.6])
+def test_screening_loses_no_pair(spark, threshold):
+    names = ["Farhan Ali", "F. Ali", "ali farhan", "Meera Nair", "Mira Nayar", "Phillip Smith", "Filip Smyth", "Jo", "", "  ", "Ana Maria de la Cruz", "Anna Cruz", "Zed", "Ravi Kumar", "Ravee Kumaar", "Étienne Roux"]
+    others = ["Farhaan Ali", "Philip Smith", "Ana Cruz", "Meera Nayar", "Ravi Kumar", "Etienne Rous", "J", "Zeta Zed"]
+    df = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
+    got = {(r.name, r.other): r.score for r in screening.scored_pairs(df(names), df(others), threshold).collect()}
+    assert got == {(a, b): similarity(a, b) for a in names for b in others if similarity(a, b) >= threshold}

@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import THRESHOLD, similarity_udf
+from ..functions.names import THRESHOLD, normalise_udf, similarity_udf, token_score_udf
 from .rules import HIGH_RISK, first_listed
 
-#: Rows that the smaller side of a comparison may have to be sent to all executors.
+#: Words that the smaller side of a comparison may have to be sent to all executors.
 BROADCAST_ROWS = 100_000
 
 
-def scored_pairs(names: DataFrame, others: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``name``, ``other``, ``score`` of the distinct names of both at or over the threshold.
+def _words(names: DataFrame, name: str, word: str) -> DataFrame:
+    return names.select(name, F.explode(F.array_distinct(F.split(normalise_udf(name), " "))).alias(word)).filter(f"{word} <> ''")
 
-    No blocking is known that keeps all such pairs, so all are compared, each once; the
-    smaller side is broadcast where its counted size allows, else dealt out in blocks."""
-    left = names.select("name").filter("name is not null").distinct()
-    right = others.select(F.col("name").alias("other")).filter("other is not null").distinct()
-    n = right.limit(BROADCAST_ROWS + 1).count()
-    if n <= BROADCAST_ROWS:
+
+def _alike(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
+    """Distinct words ``x`` and ``y`` of two sides whose score is at least ``least``. All are compared, each pair
+    once: distinct words are far fewer than names. The smaller side is broadcast where its counted
+    size allows, else dealt out in blocks."""
+    left, right = one.select("x").distinct(), two.select("y").distinct()
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         pairs = left.join(F.broadcast(right), how="cross")
     else:
         blocks = -(-right.count() // BROADCAST_ROWS)
         dealt = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = dealt.join(right.withColumn("b", F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int")), "b").drop("b")
-    return pairs.withColumn("score", similarity_udf("name", "other")).filter(F.col("score") >= threshold)
+        pairs = dealt.join(right.withColumn("b", F.pmod(F.xxhash64("y"), F.lit(blocks)).cast("int")), "b").drop("b")
+    return pairs.filter(token_score_udf("x", "y") >= least)
+
+
+def scored_pairs(names: DataFrame, others: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``name``, ``other``, ``score`` of the distinct names of both at or over the threshold.
+
+    A score is a mean of words' scores, so some words of such names score no less (but for the
+    rounding of the mean): names are compared that share such a pair of words, and no pair is lost."""
+    left = _words(names.select("name").filter("name is not null").distinct(), "name", "x")
+    right = _words(others.select(F.col("name").alias("other")).filter("other is not null").distinct(), "other", "y")
+    met = left.join(_alike(left, right, threshold - 1e-4), "x").join(right, "y").select("name", "other").distinct()
+    return met.withColumn("score", similarity_udf("name", "other")).filter(F.col("score") >= threshold)
 
 
 def screen_customers(customers: DataFrame, watchlist: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
