@@ -449,6 +449,35 @@ def test_scores(spark, docs, none):
     assert lattice.score(none, path, F.lit(True), rounds=1).count() == 0
 
 
+def test_scores_are_sums_over_all_segmentations(spark):
+    """The query's score against a plain sum over the segmentations of each word."""
+    path = tokens.vocabulary("piece_bpe_32k.model")
+    v = lattice.vocabulary(path)
+    texts = [(1, "The other THE été"), (2, None), (3, "a b a\n日本"), (4, "the the")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"known": F.lit("x"), "score": F.lit("y"), "word": F.lit("z")})
+    got = {r.doc_id: r for r in lattice.score(d, path, F.lit(True), rounds=0).collect()}
+    for i, t in texts:
+        words = lower(t or "").split()
+        want = sum(math.log10(segmentations("▁" + w, v, v.log_p)) for w in words) + v.log_p[v.end] / math.log(10)
+        assert got[i].score == pytest.approx(want) and (got[i].known, got[i].word) == ("x", "z")
+
+
+def test_verdicts_are_those_of_a_walk_down_the_trees(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["alpha", "Beta,", "12", "#x", "long-word-here", "a"], int(rng.integers(1, 80)))) for _ in range(120)]
+    x = np.array([quality_rules.measure(t.encode())[1] for t in texts])
+    model = quality_rules.grow(x, (x[:, 0] + rng.normal(0, 0.4, len(x)) > 3).astype(float), trees=8, depth=3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in quality_rules.judge(df, model, ["doc_id"]).collect():
+        total = model.base
+        for root in model.roots:
+            at = root
+            while model.left[at] != at:
+                at = model.left[at] if x[r.doc_id][model.feature[at]] <= model.cut[at] else model.right[at]
+            total += model.value[at]
+        assert r.quality_score == pytest.approx(1 / (1 + math.exp(-total))) and r.kept == (not r.base_failed and total >= 0)
+
+
 def test_learning_raises_held_out_scores(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     path = tokens.vocabulary("piece_bpe_32k.model")
