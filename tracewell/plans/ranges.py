@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+        if not folder and not (context.master + "[").startswith("local["):
             raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint(eager=True)
