@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = sc._jsc.sc().getCheckpointDir()
-        if not current.isDefined() and not sc.master.startswith("local["):
+        if not current.isDefined() and not (sc.master + "[").startswith("local["):
             raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tracewell-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -5,7 +5,8 @@ pooled one and its diagonal. A score is the logistic of the difference of the tw
 log-densities, each a Mahalanobis distance by a cached Cholesky factor.
 
 Defined results: null and empty texts have all statistics zero and are scored like any other
-text. Rows that repeat are scored each for itself, in any order. Labels that are null, or neither
+text. Rows that repeat are scored each for itself, in any order. Of several labels of one id the
+larger counts. Labels that are null, or neither
 0 nor 1, and null ids teach nothing. With no label of a class, the other's is known: the
 score is that class's share, 0.5 with no labels at all. Other columns are passed through;
 ``score`` and ``predicted`` replace columns of those names.

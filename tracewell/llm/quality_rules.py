@@ -5,7 +5,8 @@ node arrays, by which whole batches are scored. Along the statistics of MONOTONE
 good quality never rises: a text never gains by more symbols or repetition.
 
 Defined results: a null text has no words, all counts zero, and fails the base rule, as does an
-empty one. Repeated rows are judged each for itself. Labels that are null, or neither 0 nor 1,
+empty one. Repeated rows are judged each for itself. Of several labels of one id the
+larger counts. Labels that are null, or neither 0 nor 1,
 and null ids teach nothing; with labels of one class or none the trees are constant (1 without
 labels) and the base rules alone decide. Other columns are passed through; result columns
 replace columns of their names.
