@@ -21,8 +21,10 @@ from . import common, tokens
 
 #: Most words of a head, and most bytes of them in all.
 HEAD_ROWS, HEAD_BYTES = 200_000, 16_000_000
+#: Bytes of text that are split at a time.
+STEP_BYTES = 8_000_000
 #: Bytes of distinct words that a counting task holds before it hands them on.
-HELD_BYTES = 32_000_000
+HELD_BYTES = 24_000_000
 
 
 def words_of(batch: pa.RecordBatch, lower: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -39,7 +41,7 @@ def word_counts(docs: DataFrame, lower: bool = False) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        for batch in common.steps(batches, chars=tokens.PART_BYTES):
+        for batch in common.steps(batches, chars=STEP_BYTES):
             words, place, number = words_of(batch, lower)
             learn = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False).astype(bool), number)
             n = np.bincount(place, minlength=len(words))
@@ -94,15 +96,16 @@ def scan(docs: DataFrame, kept: list[str], words: pa.Array, values: np.ndarray,
         held, numbers = known.value
         held = _unpacked(held)
         table = np.vstack([numbers, np.zeros((1, numbers.shape[1]))])  # at place -1: no word of the head
-        for batch in common.steps(batches, chars=tokens.PART_BYTES):
+        for batch in common.steps(batches, chars=STEP_BYTES):
             found, place, number = words_of(batch, lower)
             size = batch.num_rows
             in_head = pc.fill_null(pc.index_in(found, value_set=held), -1).to_numpy(zero_copy_only=False)
-            doc, at = np.repeat(np.arange(size), number), in_head[place]
+            doc, at = np.repeat(np.arange(size, dtype=np.int32), number), in_head[place].astype(np.int32)
             sums = [number.astype(float), *(np.bincount(doc, table[at, k], size) for k in range(numbers.shape[1]))]
             row = batch.column("row").to_numpy()
             rare = at < 0
             pairs, n = np.unique(place[rare].astype(np.int64) << 32 | doc[rare], return_counts=True)
+            del place, doc, at, rare
             offset = row[pairs & 0xFFFFFFFF] - row[0] if len(pairs) else pairs
             first = np.flatnonzero(np.diff(pairs >> 32, prepend=-1))
             hits = pa.ListArray.from_arrays(np.append(first, len(pairs)).astype(np.int32), offset << 32 | n)
