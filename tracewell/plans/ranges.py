@@ -1,12 +1,19 @@
-"""Plan helpers: joins on a key and a time window, and lineage cuts."""
+"""Plan helpers: joins on a key and a time window, scans along a key's rows, and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ship
 
 
 def seconds(ts: Column | str) -> Column:
@@ -64,6 +71,70 @@ def sums_down(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
     return met.select(*df.columns, *((F.sum(c).over(own) + F.col(f"__{c}")).alias(n) for n, c in sums.items()))
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+
+
+def _along(values: np.ndarray, starts: np.ndarray, before: int) -> np.ndarray:
+    """Running sums within runs; the first run's start at ``before``."""
+    total = np.cumsum(values) + before
+    first = np.concatenate([[0], total[starts[1:] - 1]])
+    return total - np.repeat(first, np.diff(np.append(starts, len(values))))
+
+
+def running_sums(
+    df: DataFrame, key: str, order: list[str | Column], sums: dict[str, str], moduli: dict[str, int] | None = None,
+    terms: Callable[[pa.RecordBatch], dict[str, np.ndarray]] | None = None, added: dict[str, T.DataType] | None = None,
+) -> DataFrame:
+    """df with running sums, named by the keys of ``sums``, of long columns along each key's rows in ``order``.
+
+    A segmented scan: rows are dealt by ranges of key and order, so that a key of very many rows has
+    several ranges; tasks sum along their sorted rows, and the sums that a range's first key has in the
+    ranges before it, at most a row for each range, are added by a broadcast. Sums of a name in
+    ``moduli`` are taken by it (values must be below 2^31). ``terms`` makes further columns, of the types
+    in ``added``, from each batch in a task. key is a long without nulls; the result is cut.
+    """
+    moduli, added = moduli or {}, added or {}
+    fields = [*df.schema.fields, *(T.StructField(n, t) for n, t in added.items()), *(T.StructField(n, T.LongType()) for n in (*sums, "__range"))]
+    schema = T.StructType([*fields, T.StructField("__head", T.BooleanType())])
+    names = df.columns
+    place = names.index(key)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        first = last = None
+        held = dict.fromkeys(sums, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(place).to_numpy()
+            starts = _runs(own)
+            first = own[0] if first is None else first
+            goes_on = last is not None and own[0] == last
+            columns = dict(zip(names, batch.columns, strict=True)) | (terms(batch) if terms else {})
+            for name, of in sums.items():
+                values = columns[of] if isinstance(columns[of], np.ndarray) else columns[of].to_numpy()
+                found = _along(values, starts, held[name] if goes_on else 0)
+                columns[name] = found % moduli[name] if name in moduli else found
+                held[name] = int(columns[name][-1])
+            last = own[-1]
+            columns |= {"__range": np.full(len(own), part), "__head": own == first}
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[f.name] for f in schema)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    ship(df.sparkSession)
+    dealt = cut(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInArrow(scan, schema))
+    heads = dealt.filter("__head").select(key).distinct()  # one for each range at most
+    steps = [F.sum(c) if n not in moduli else F.sum(F.col(c)) % moduli[n] for n, c in sums.items()]
+    parts = dealt.join(F.broadcast(heads), key, "left_semi").groupBy(key, "__range").agg(*(s.alias(f"__{n}") for s, n in zip(steps, sums, strict=True)))
+    earlier = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = parts.select(key, "__range", F.lit(True).alias("__head"), *(F.sum(f"__{n}").over(earlier).alias(f"__{n}") for n in sums))
+    met = dealt.join(F.broadcast(carried), [key, "__range", "__head"], "left")
+    whole = {n: F.col(n) + F.coalesce(f"__{n}", F.lit(0)) for n in sums}
+    return met.select(*df.columns, *added, *((x % moduli[n] if n in moduli else x).alias(n) for n, x in whole.items()))
+
+
 def shared_folder(spark) -> str:
     """URI of a new folder under the checkpoint folder, for one query's files."""
     context = spark.sparkContext
