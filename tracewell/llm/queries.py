@@ -10,6 +10,7 @@ from . import (
     decontamination,
     lattice,
     packing,
+    prefix_trie,
     quality_qda,
     quality_rules,
     simhash,
@@ -74,6 +75,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(common.read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES = {
         op8_packing,
         op9_decontamination,
         op10_quality_classifier,
+        op12_prefix_trie,
     )
 }
 
@@ -193,5 +199,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
+""",
+    "op12_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+crcs AS (
+  SELECT conv_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda crc, ch: list_reduce(list_concat([xor(crc, ch)], [0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT]),
+      lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END)) AS raw
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+convs AS (SELECT conv_id, xor(raw, 4294967295::BIGINT) % 9 AS h, conv_id - conv_id % 5 AS base FROM crcs),
+parts AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+rows_ AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes, sha256(concat(strlen(role), ':', role, text)) AS said FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+paths AS (
+  SELECT conv_id, depth, bytes, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM rows_
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+ends AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(bytes) AS bytes FROM paths GROUP BY path),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id, p.path AS above FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 64)),
+kids AS (SELECT above AS path, count(*) AS n_children FROM linked WHERE above IS NOT NULL GROUP BY above),
+closed AS (
+  SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids USING (path)),
+under AS (
+  SELECT a.path, sum(CASE WHEN d.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((d.n_convs - 1) * d.bytes) AS saved
+  FROM closed a JOIN closed d ON starts_with(d.path, a.path) GROUP BY a.path),
+enders AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM paths JOIN ends USING (conv_id, depth) GROUP BY path)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM closed JOIN under USING (path) LEFT JOIN enders USING (path)
 """,
 }
