@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     common,
     decontamination,
+    divergence,
     lattice,
     packing,
     prefix_trie,
@@ -75,6 +76,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(common.read(spark, sf_dir, "conversations"))
 
@@ -92,6 +97,7 @@ QUERIES = {
         op8_packing,
         op9_decontamination,
         op10_quality_classifier,
+        op11_divergence,
         op12_prefix_trie,
     )
 }
@@ -199,6 +205,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
+""",
+    "op11_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+words AS (SELECT lang, source, term, sum(n) AS n, count(*) AS docs FROM (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL) GROUP BY lang, source, term),
+kept AS (SELECT lang, term, sum(n) AS n FROM words GROUP BY lang, term HAVING sum(docs) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+held AS (SELECT w.lang, w.source, w.term, w.n FROM words w SEMI JOIN kept k ON w.lang = k.lang AND w.term = k.term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(sum(h.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN held h ON g.lang = h.lang AND g.source = h.source GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS c, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(h.n, 0) + 2)) // (g.total + 2 * s.v) AS BIGINT) AS p,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.n + 2)) // (s.total + 2 * s.v) AS BIGINT) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) WHERE rank <= 10)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
 """,
     "op12_prefix_trie": r"""
 WITH turns AS (
