@@ -9,6 +9,7 @@ from . import (
     common,
     decontamination,
     divergence,
+    hyperminhash,
     lattice,
     packing,
     prefix_trie,
@@ -84,6 +85,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(common.read(spark, sf_dir, "conversations"))
 
 
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +104,7 @@ QUERIES = {
         op10_quality_classifier,
         op11_divergence,
         op12_prefix_trie,
+        op13_hyperminhash,
     )
 }
 
@@ -264,5 +270,24 @@ enders AS (
 SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
        CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM closed JOIN under USING (path) LEFT JOIN enders USING (path)
+""",
+    "op13_hyperminhash": r"""
+WITH RECURSIVE lowered AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+kinds AS (SELECT array_to_string(w, ' ') AS said, min(r) AS k, any_value(w) AS w FROM lowered WHERE len(w) > 0 GROUP BY said),
+grams AS (SELECT DISTINCT k, array_to_string(w[i:i + 3], ' ') AS gram FROM (SELECT k, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM kinds)),
+sizes AS (SELECT k, count(*) AS n FROM grams GROUP BY k),
+links AS (
+  SELECT a.k AS a, b.k AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.k < b.k JOIN sizes x ON x.k = a.k JOIN sizes y ON y.k = b.k
+  GROUP BY a.k, b.k, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT k AS node, k AS other FROM kinds UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+placed AS (SELECT l.r, l.doc_id, s.k, s.n FROM lowered l JOIN kinds d ON array_to_string(l.w, ' ') = d.said AND len(l.w) > 0 JOIN sizes s ON s.k = d.k),
+least AS (SELECT reach.node AS k, min(p.doc_id) AS component_id FROM reach JOIN placed p ON p.k = reach.other GROUP BY reach.node)
+SELECT l.doc_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_shingles, CASE WHEN p.k IS NULL THEN l.doc_id ELSE component_id END AS component_id,
+       l.doc_id IS NOT DISTINCT FROM CASE WHEN p.k IS NULL THEN l.doc_id ELSE component_id END AS kept
+FROM lowered l LEFT JOIN placed p USING (r) LEFT JOIN least ON least.k = p.k
 """,
 }
