@@ -26,6 +26,7 @@ from tracewell.llm import (
     quality_qda,
     quality_rules,
     queries,
+    set_links,
     simhash,
     simhash_groups,
     statistics,
@@ -120,7 +121,7 @@ def test_components_of_paths_and_hubs(spark):
 
 
 def test_groups_are_those_of_exact_similarity(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(simhash_groups, "BLOCK", 4)
+    monkeypatch.setattr(set_links, "BLOCK", 4)
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(500)]
     texts = []
