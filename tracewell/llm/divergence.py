@@ -90,10 +90,13 @@ def shares(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFr
     absent term, ``n_sources``), and postings (``lang``, ``source``, ``idx``, ``term``, ``term_id``, ``n``, ``p``, ``q``), both cut."""
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     counted = named.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    counts = common.cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    kept = common.cut(kept.select("lang", "term", "in_lang").withColumn("term_id", F.monotonically_increasing_id()))
-    postings = common.cut(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
+    # Tasks have summed their documents, so a term is few rows for each; one shuffle by it serves both sums.
+    counts = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = F.sum("docs").over(Window.partitionBy("lang", "term"))  # a row for each source
+    counts = common.cut(counts.withColumn("docs", of_term).filter(F.col("docs") >= min_docs).select("lang", "source", "term", "n"))
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"))
+    kept = common.cut(kept.withColumn("term_id", F.monotonically_increasing_id()))
+    postings = common.cut(counts.join(kept, ["lang", "term"]))
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("in_lang").alias("of_lang"))
     totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("n_terms"))
     zero = F.lit(0).cast("long")
