@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranges import seconds, window_join
+from ..plans.ranges import seconds, window_after, with_previous
 
 SUB_THRESHOLD = (70_000, 100_000)
 RAPID_HOURS, RAPID_RATIO = 24, 0.70
@@ -23,8 +23,7 @@ NAMES = (
 
 def _base(txns: DataFrame) -> DataFrame:
     return txns.select(
-        "txn_id", "account_id", "direction", "channel", "ts", F.col("amount").cast("double").alias("amt"), "amount",
-        F.col("balance_after").cast("double").alias("bal"), F.coalesce("counterparty_ref", "counterparty_name", F.lit("UNKNOWN")).alias("cp"),
+        "account_id", "direction", "channel", "ts", F.col("amount").cast("double").alias("amt"), "amount", F.col("balance_after").cast("double").alias("bal"),
     )
 
 
@@ -34,7 +33,8 @@ def _share(condition: Column) -> Column:
 
 def counterparty_shares(txns: DataFrame) -> DataFrame:
     """``account_id``, ``counterparty_entropy``, ``top_counterparty_share``, ``distinct_counterparties``."""
-    counts = _base(txns).groupBy("account_id", "cp").agg(F.count("*").alias("n"))
+    party = F.coalesce("counterparty_ref", "counterparty_name", F.lit("UNKNOWN"))
+    counts = txns.groupBy("account_id", party.alias("cp")).agg(F.count("*").alias("n"))
     p = counts.withColumn("p", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy("account_id")))
     return p.groupBy("account_id").agg(
         (-F.sum(F.col("p") * F.log("p"))).alias("counterparty_entropy"), F.max("p").alias("top_counterparty_share"),
@@ -44,19 +44,16 @@ def counterparty_shares(txns: DataFrame) -> DataFrame:
 
 def gap_hours(txns: DataFrame) -> DataFrame:
     """``account_id``, ``max_gap_hours``, ``mean_gap_hours`` between rows that follow each other."""
-    before = F.lag("ts").over(Window.partitionBy("account_id").orderBy("ts", "txn_id"))
-    gaps = txns.select("account_id", ((seconds("ts") - seconds(before)) / F.lit(3600.0)).alias("gap")).filter("gap is not null")
+    rows = with_previous(txns.select("account_id", "txn_id", "ts"), "account_id", "ts", "txn_id", "before")
+    gaps = rows.select("account_id", ((seconds("ts") - seconds("before")) / F.lit(3600.0)).alias("gap")).filter("gap is not null")
     return gaps.groupBy("account_id").agg(F.max("gap").alias("max_gap_hours"), F.avg("gap").alias("mean_gap_hours"))
 
 
 def rapid_credits(txns: DataFrame, hours: int = RAPID_HOURS, ratio: float = RAPID_RATIO) -> DataFrame:
     """``account_id``, ``rapid_credits``, ``rapid_amount``: credits mostly debited within hours."""
-    credits = txns.filter("direction = 'CR'").select("txn_id", "account_id", "ts", "amount")
-    debits = txns.filter("direction = 'DR'").select("account_id", F.col("ts").alias("ts2"), F.col("amount").cast("double").alias("amt2"))
-    enough = F.col("amt2") >= F.col("amount").cast("double") * F.lit(ratio)
-    met = window_join(credits, debits, ["account_id"], "ts", "ts2", hours * 3600, enough, "left_semi")
-    # A credit probes two cells and may be found in both.
-    met = met.dropDuplicates(["account_id", "txn_id"])
+    rows = txns.select("account_id", "direction", "ts", "amount")
+    met = window_after(rows, ["account_id"], "ts", hours * 3600, F.col("direction") == "CR", F.col("direction") == "DR", max_other=F.col("amount").cast("double"))
+    met = met.filter(F.col("max_other") >= F.col("amount").cast("double") * F.lit(ratio))
     return met.groupBy("account_id").agg(F.count("*").alias("rapid_credits"), F.sum("amount").cast("double").alias("rapid_amount"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranges import window_after
 from . import rules
 from .graph import all_paths
 
@@ -25,15 +26,21 @@ def structuring_burst(txns: DataFrame, ceiling: float, min_count: int, min_total
     return _first(run.filter((F.col("n") >= min_count) & (F.col("total") >= min_total)), "structuring_burst")
 
 
+def _second_legs(txns: DataFrame, first: str, second: str, min_amount: float, width_s: int, ratio: float, channel: str | None = None) -> DataFrame:
+    """The rule's pairs seen from their second leg: rows that the least first leg of the window before them asks no more of."""
+    rows = (txns if channel is None else txns.filter(F.col("channel") == channel)).select("account_id", "direction", "ts", "amount")
+    large = (F.col("direction") == first) & (F.col("amount") >= min_amount)
+    met = window_after(rows, ["account_id"], "ts", width_s, F.col("direction") == second, large, back=True, min_other=F.col("amount"))
+    return met.filter(F.col("amount") >= F.col("min_other") * F.lit(float(ratio)))
+
+
 def rapid_pass_through(txns: DataFrame, min_amount: float, hop_hours: int, min_ratio: float) -> DataFrame:
     """The day of the earliest second leg."""
-    pairs = rules._followed(txns, "CR", "DR", min_amount, hop_hours * 3600, min_ratio)
-    return _first(pairs, "rapid_pass_through", F.to_date("ts2"))
+    return _first(_second_legs(txns, "CR", "DR", min_amount, hop_hours * 3600, min_ratio), "rapid_pass_through", F.to_date("ts"))
 
 
 def round_trip(txns: DataFrame, min_amount: float, hop_days: int, min_return_ratio: float, channel: str) -> DataFrame:
-    pairs = rules._followed(txns, "DR", "CR", min_amount, hop_days * 86_400, min_return_ratio, channel)
-    return _first(pairs, "round_trip", F.to_date("ts2"))
+    return _first(_second_legs(txns, "DR", "CR", min_amount, hop_days * 86_400, min_return_ratio, channel), "round_trip", F.to_date("ts"))
 
 
 def counterparty_concentration(txns: DataFrame, min_total: float, min_concentration: float, min_count: int) -> DataFrame:
@@ -73,7 +80,7 @@ def chains(edges: DataFrame, min_hops: int = 2, **limits) -> DataFrame:
 
 def all_prefixes(edges: DataFrame, min_hops: int, **limits) -> DataFrame:
     """Paths of at least ``min_hops``, with every prefix that is as long: those were maximal earlier."""
-    paths = all_paths(edges, **limits).filter(F.col("hops") >= min_hops)
+    paths = all_paths(edges, min_hops=min_hops, **limits)
     times = edges.select(F.col("txn_id"), F.col("ts").alias("hop_ts"))
     cuts = paths.select("accounts", "txns", F.explode(F.sequence(F.lit(min_hops), F.col("hops"))).alias("n"))
     cuts = cuts.select(F.slice("accounts", 1, F.col("n") + 1).alias("accounts"), F.element_at("txns", F.col("n")).alias("txn_id")).distinct()

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranges import window_join
+from ..plans.ranges import window_after, window_join, with_previous
 
 # Jurisdictions that international transfers are held against.
 HIGH_RISK = ("IRAN", "NORTH KOREA", "MYANMAR", "SYRIA", "YEMEN", "SOUTH SUDAN", "TURKEY", "NIGERIA", "PHILIPPINES")
@@ -32,29 +32,28 @@ def structuring_burst(txns: DataFrame, ceiling: float = 100_000, min_count: int
 
 
 def _followed(txns: DataFrame, first: str, second: str, min_amount: float, width_s: int, ratio: float, channel: str | None = None) -> DataFrame:
-    """Rows of one direction at or over an amount, beside rows of the other in the window."""
-    rows = txns if channel is None else txns.filter(F.col("channel") == channel)
-    left = rows.filter((F.col("direction") == first) & (F.col("amount") >= min_amount)).select("account_id", "ts", "amount")
-    right = rows.filter(F.col("direction") == second).select("account_id", F.col("ts").alias("ts2"), F.col("amount").alias("amount2"))
-    enough = F.col("amount2") >= F.col("amount") * F.lit(float(ratio))
-    return window_join(left, right, ["account_id"], "ts", "ts2", width_s, enough)
+    """Rows of one direction at or over an amount that a row of the other, large enough, follows in the window."""
+    rows = (txns if channel is None else txns.filter(F.col("channel") == channel)).select("account_id", "direction", "ts", "amount")
+    large = (F.col("direction") == first) & (F.col("amount") >= min_amount)
+    met = window_after(rows, ["account_id"], "ts", width_s, large, F.col("direction") == second, max_other=F.col("amount"))
+    return met.filter(F.col("max_other") >= F.col("amount") * F.lit(float(ratio)))
 
 
-def _least(pairs: DataFrame) -> DataFrame:
+def _least(rows: DataFrame) -> DataFrame:
     """Least time and least amount of each account, each for itself."""
-    return pairs.groupBy("account_id").agg(F.min("ts").alias("ts"), F.min("amount").cast("double").alias("amount"))
+    return rows.groupBy("account_id").agg(F.min("ts").alias("ts"), F.min("amount").cast("double").alias("amount"))
 
 
 def rapid_pass_through(txns: DataFrame, min_amount: float = 300_000, hop_hours: int = 48, min_ratio: float = 0.85) -> DataFrame:
     """A large credit mostly debited within hours."""
-    pairs = _followed(txns, "CR", "DR", min_amount, hop_hours * 3600, min_ratio)
-    return _alerts(_least(pairs), "rapid_pass_through", F.concat(F.lit("Rs "), _money("amount"), F.lit(f" credited, then largely debited inside {hop_hours} hours")))
+    met = _followed(txns, "CR", "DR", min_amount, hop_hours * 3600, min_ratio)
+    return _alerts(_least(met), "rapid_pass_through", F.concat(F.lit("Rs "), _money("amount"), F.lit(f" credited, then largely debited inside {hop_hours} hours")))
 
 
 def round_trip(txns: DataFrame, min_amount: float = 1000, hop_days: int = 12, min_return_ratio: float = 0.95, channel: str = "RTGS") -> DataFrame:
     """A debit that comes back on the same channel within days."""
-    pairs = _followed(txns, "DR", "CR", min_amount, hop_days * 86_400, min_return_ratio, channel)
-    return _alerts(_least(pairs), "round_trip", F.concat(F.lit("Rs "), _money("amount"), F.lit(f" sent out returned inside {hop_days} days")))
+    met = _followed(txns, "DR", "CR", min_amount, hop_days * 86_400, min_return_ratio, channel)
+    return _alerts(_least(met), "round_trip", F.concat(F.lit("Rs "), _money("amount"), F.lit(f" sent out returned inside {hop_days} days")))
 
 
 def counterparty_concentration(txns: DataFrame, min_total: float = 1_000_000, min_concentration: float = 0.5, min_count: int = 4) -> DataFrame:
@@ -71,24 +70,27 @@ def counterparty_concentration(txns: DataFrame, min_total: float = 1_000_000, mi
     return _alerts(found, "counterparty_concentration", reason)
 
 
-def quiet_credits(txns: DataFrame, min_gap_days: int, min_amount: float) -> DataFrame:
-    """Credits whose account had no row of either direction for days."""
-    by = Window.partitionBy("account_id").orderBy("ts", "txn_id")
-    gaps = txns.withColumn("gap", F.col("ts") - F.lag("ts").over(by))
-    quiet = (F.col("direction") == "CR") & (F.col("gap") >= F.make_dt_interval(days=F.lit(min_gap_days))) & (F.col("amount") >= min_amount)
-    return gaps.filter(quiet).select("account_id", "ts", "amount")
+def _quiet(txns: DataFrame, min_gap_days: int, min_amount: float) -> tuple[DataFrame, Column]:
+    """Rows with the time of the account's row before, and which are credits after days without any row."""
+    gaps = with_previous(txns.select("account_id", "txn_id", "direction", "ts", "amount"), "account_id", "ts", "txn_id", "last_ts")
+    long_gap = F.col("ts") - F.col("last_ts") >= F.make_dt_interval(days=F.lit(min_gap_days))
+    return gaps, (F.col("direction") == "CR") & long_gap & (F.col("amount") >= min_amount)
 
 
 def cash_outs(txns: DataFrame, min_gap_days: int, cashout_hours: int, min_amount: float) -> DataFrame:
     """Quiet credits beside the debits that follow within hours."""
+    gaps, quiet = _quiet(txns, min_gap_days, min_amount)
     debits = txns.filter("direction = 'DR'").select("account_id", F.col("ts").alias("ts2"), F.col("amount").alias("amount2"), "txn_id")
-    return window_join(quiet_credits(txns, min_gap_days, min_amount), debits, ["account_id"], "ts", "ts2", cashout_hours * 3600, F.lit(True))
+    credits = gaps.filter(quiet).select("account_id", "ts", "amount")
+    return window_join(credits, debits, ["account_id"], "ts", "ts2", cashout_hours * 3600, F.lit(True))
 
 
 def dormancy_burst(txns: DataFrame, min_gap_days: int = 7, cashout_hours: int = 24, min_cashout_ratio: float = 0.5, min_amount: float = 20_000) -> DataFrame:
     """A credit after a quiet stretch, cashed out within hours. Equal credits at one moment are
     one burst, and its debits count once for each of them."""
-    out = cash_outs(txns, min_gap_days, cashout_hours, min_amount).groupBy("account_id", "ts", "amount").agg(F.sum("amount2").alias("out"))
+    gaps, quiet = _quiet(txns, min_gap_days, min_amount)
+    met = window_after(gaps, ["account_id"], "ts", cashout_hours * 3600, quiet, F.col("direction") == "DR", sum_out=F.col("amount"))
+    out = met.groupBy("account_id", "ts", "amount").agg(F.sum("sum_out").alias("out"))
     found = out.filter(F.col("out") >= F.col("amount") * F.lit(float(min_cashout_ratio))).withColumn("amount", F.col("amount").cast("double"))
     tail = f" came after silence; {min_cashout_ratio:.0%} or more went out inside {cashout_hours} hours"
     return _alerts(found, "dormancy_burst", F.concat(F.lit("Rs "), _money("amount"), F.lit(tail)))

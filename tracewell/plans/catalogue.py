@@ -63,6 +63,11 @@ def query(name: str, sql: str | None = None):
 
 
 def txns(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.from_driver(spark, sf, balances=False).transactions
+
+
+def posted(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions with the balance after each."""
     return ledger.from_driver(spark, sf).transactions
 
 
@@ -157,28 +162,28 @@ def table_counts(spark, sf):
 
 @query("opening_balance", f"SELECT account_id, opening::DOUBLE AS opening FROM {_FIRST}")
 def opening_balance(spark, sf):
-    return rounded(ledger.opening_balances(txns(spark, sf)))
+    return rounded(ledger.opening_balances(posted(spark, sf)))
 
 
 @query("running_balance", "SELECT txn_id, account_id, balance::DOUBLE AS replayed, balance::DOUBLE AS balance_after FROM txn")
 def running_balance(spark, sf):
-    return rounded(ledger.running_balances(txns(spark, sf)).select("txn_id", "account_id", "replayed", "balance_after"))
+    return rounded(ledger.running_balances(posted(spark, sf)).select("txn_id", "account_id", "replayed", "balance_after"))
 
 
 @query("true_minimum", f"SELECT account_id, least(opening, low)::DOUBLE AS minimum FROM {_FIRST}")
 def true_minimum(spark, sf):
-    return rounded(ledger.true_minimum(txns(spark, sf)))
+    return rounded(ledger.true_minimum(posted(spark, sf)))
 
 
 @query("safe_debit_ceiling", f"SELECT account_id, round(greatest(least(opening, low)::DOUBLE * 0.6, 0), 6) AS ceiling FROM {_FIRST}")
 def safe_debit_ceiling(spark, sf):
-    return rounded(ledger.safe_debit_ceiling(txns(spark, sf)))
+    return rounded(ledger.safe_debit_ceiling(posted(spark, sf)))
 
 
 @query("statement_rows", """SELECT row_number() OVER (ORDER BY ts, txn_id) AS line, ts, concat_ws('/', channel, direction, txn_id, cp) AS narration,
   CASE WHEN direction = 'DR' THEN amount::DOUBLE END AS debit, CASE WHEN direction = 'CR' THEN amount::DOUBLE END AS credit, balance::DOUBLE AS balance_after FROM txn WHERE account_id = 'A3'""")
 def statement_rows(spark, sf):
-    return rounded(ledger.statement(txns(spark, sf), "A3"))
+    return rounded(ledger.statement(posted(spark, sf), "A3"))
 
 
 @query("account_summary", """SELECT account_id, count(*) AS n, coalesce(sum(amount) FILTER (direction = 'CR'), 0)::DOUBLE AS total_in,
@@ -240,7 +245,7 @@ LEFT JOIN {_RAPID} r USING (account_id)"""
 
 @query("account_features", _FEATURES)
 def account_features(spark, sf):
-    return rounded(features.account_features(txns(spark, sf)))
+    return rounded(features.account_features(posted(spark, sf)))
 
 
 @query("counterparty_entropy", f"SELECT account_id, round(entropy, 6) AS counterparty_entropy, round(top, 6) AS top_counterparty_share FROM {_SHARES}")
@@ -261,7 +266,7 @@ def rapid_credit_ratio(spark, sf):
 @query("sequence_last_32", """SELECT account_id, count(*) AS kept, round(sum(CASE WHEN direction = 'CR' THEN amount ELSE -amount END)::DOUBLE, 6) AS net
 FROM (SELECT * FROM txn QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY ts DESC, txn_id DESC) <= 32) GROUP BY 1""")
 def sequence_last_32(spark, sf):
-    s = features.sequences(txns(spark, sf))
+    s = features.sequences(posted(spark, sf))
     net = F.aggregate("steps", F.lit(0.0), lambda a, x: a + x.amount * x.sign)
     return rounded(s.select("account_id", F.size("steps").alias("kept"), net.alias("net")))
 
@@ -526,7 +531,7 @@ def signals(spark, sf) -> DataFrame:
 
 
 def model_signals(spark, sf) -> DataFrame:
-    return risk.ml_signals(risk.unsupervised_scores(ml.isolation_scores(features.account_features(txns(spark, sf)))))
+    return risk.ml_signals(risk.unsupervised_scores(ml.isolation_scores(features.account_features(posted(spark, sf)))))
 
 
 def scores(spark, sf) -> DataFrame:
@@ -856,7 +861,7 @@ def stratified_split(spark, sf):
 
 @query("gbt_leaderboard")
 def gbt_leaderboard(spark, sf):
-    f = features.account_features(txns(spark, sf))
+    f = features.account_features(posted(spark, sf))
     split = ml.stratified_split(_labelled_accounts(spark, sf))
     boosted = ml.boosted_scores(f, split)
     test = split.filter("test")
@@ -872,7 +877,7 @@ def neighbour_features(spark, sf) -> DataFrame:
     e = ledger.edges(spark, sf)
     people = e.select(F.col("src").alias("account")).union(e.select("dst")).distinct()
     weights = ml.adjacency(e, people.withColumn("test", F.lit(False)))
-    f = features.account_features(txns(spark, sf)).withColumn("account", F.substring("account_id", 2, 20).cast("long"))
+    f = features.account_features(posted(spark, sf)).withColumn("account", F.substring("account_id", 2, 20).cast("long"))
     return ml.with_neighbours(f, weights).drop("account")
 
 
@@ -885,22 +890,22 @@ def near(spark, sf):
 
 @query("pca_reconstruction")
 def pca_reconstruction(spark, sf):
-    return ml.reconstruction_errors(features.account_features(txns(spark, sf)))
+    return ml.reconstruction_errors(features.account_features(posted(spark, sf)))
 
 
 @query("isolation_scores")
 def isolation_scores(spark, sf):
-    return ml.isolation_scores(features.account_features(txns(spark, sf)))
+    return ml.isolation_scores(features.account_features(posted(spark, sf)))
 
 
 @query("unsupervised_scores")
 def unsupervised_scores(spark, sf):
-    return risk.unsupervised_scores(ml.isolation_scores(features.account_features(txns(spark, sf))))
+    return risk.unsupervised_scores(ml.isolation_scores(features.account_features(posted(spark, sf))))
 
 
 @query("one_class_scores")
 def one_class_scores(spark, sf):
-    return ml.one_class_scores(features.account_features(txns(spark, sf)))
+    return ml.one_class_scores(features.account_features(posted(spark, sf)))
 
 
 @query("adjacency", """, b AS (SELECT src AS account, dst AS other FROM edges UNION SELECT dst, src FROM edges), i AS (SELECT * FROM b WHERE account % 3 = 0 AND other % 3 = 0 OR account % 3 <> 0 AND other % 3 <> 0)
@@ -963,7 +968,7 @@ _SPARE = f", spare AS (SELECT account_id, round(greatest(least(opening, low)::DO
 
 def _pool(spark, sf, use: str) -> DataFrame:
     """Two accounts of the ledger for each use, with what they can spare and when they were last used."""
-    t = txns(spark, sf)
+    t = posted(spark, sf)
     pool = world.partition_pool(t.select("account_id").distinct(), {k: 2 for k in _USES}).filter(F.col("use") == use).select("account_id")
     spare = ledger.safe_debit_ceiling(t).withColumn("ceiling", F.round("ceiling", 6))
     return pool.join(spare, "account_id").join(t.groupBy("account_id").agg(F.max("ts").alias("last_ts")), "account_id")
@@ -1142,7 +1147,7 @@ def banks_apart(spark, sf):
 @query("reloaded_ledger", "SELECT account_id, count(*) AS n, sum(amount)::DOUBLE AS total FROM txn GROUP BY 1")
 def reloaded_ledger(spark, sf):
     """The ledger appended to files in two parts, and opened again."""
-    rows, folder = txns(spark, sf), shared_folder(spark)
+    rows, folder = posted(spark, sf), shared_folder(spark)
     for part in (0, 1):
         ledger.append(rows.filter(F.col("txn_id") % 2 == part), folder, "transactions")
     again = spark.read.schema(ledger.SCHEMAS["transactions"]).parquet(f"{folder}/transactions")

@@ -44,6 +44,80 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
     return joined.drop("__cell", *(f"__{k}" for k in keys))
 
 
+def _micros(ts: str) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+
+
+def _cell(at: Column, width: int) -> Column:
+    """The cell of so many units that a long is in, exactly."""
+    return ((at - F.pmod(at, F.lit(width))) / width).cast("long")
+
+
+def window_after(df: DataFrame, keys: list[str], ts: str, width_s: int, probes: Column, counted: Column, back: bool = False, **measures: Column) -> DataFrame:
+    """df's rows that ``probes`` selects, with aggregates over the rows of the same keys that ``counted`` selects and
+    whose ``ts`` lies in (ts, ts + width_s], or with ``back`` in [ts - width_s, ts). measures: names and columns,
+    prefixed max_, min_ or sum_.
+
+    No pair of rows is made. Time is dealt into cells of the window's width, so the window is what is left of a
+    row's cell and the beginning of the next: a running aggregate against time over the cell's own rows, and
+    one along time over the next cell's, which are dealt to this cell too. A busy key's rows are spread over
+    its cells. Nulls in ts are counted nowhere and find nothing.
+    """
+    how = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b))}
+    width = width_s * 1_000_000
+    counted = F.coalesce(counted, F.lit(False)) & F.col(ts).isNotNull()
+    marked = df.withColumns({"__probe": F.coalesce(probes, F.lit(False)), "__counted": counted, "__at": -_micros(ts) if back else _micros(ts)}).filter("__probe or __counted")
+    cell = _cell(F.col("__at"), width)
+    own, ahead = F.struct(cell.alias("cell"), F.lit(False).alias("ahead")), F.struct((cell - 1).alias("cell"), F.lit(True).alias("ahead"))
+    dealt = marked.withColumn("__in", F.explode(F.when(F.col("__counted"), F.array(own, ahead)).otherwise(F.array(own))))
+    place = [*keys, F.col("__in.cell")]
+    against = Window.partitionBy(*place).orderBy(-F.col("__at")).rangeBetween(Window.unboundedPreceding, -1)
+    # The next cell's rows come by their time, a probe by its window's end.
+    end = F.when(F.col("__in.ahead"), F.col("__at")).otherwise(F.col("__at") + width)
+    along = Window.partitionBy(*place).orderBy(end).rangeBetween(Window.unboundedPreceding, 0)
+    found = {}
+    for name, value in measures.items():
+        each, both = how[name.partition("_")[0]]
+        here = each(F.when(F.col("__counted") & ~F.col("__in.ahead"), value)).over(against)
+        there = each(F.when(F.col("__in.ahead"), value)).over(along)
+        found[name] = both(here, there)
+    out = dealt.withColumns(found).filter(F.col("__probe") & ~F.col("__in.ahead"))
+    return out.select(*df.columns, *found)
+
+
+#: Cells of a key's rows, in seconds, between which sums and last rows are carried.
+CELL_S = 86_400
+
+
+def _by_cells(df: DataFrame, key: str, ts: str, carried: dict[str, Column], over: Callable[[str], Column], own: dict[str, Column]) -> DataFrame:
+    """df with ``own`` columns of each cell's rows, and ``carried`` aggregates of a key's cells, windowed by ``over``, joined back."""
+    dealt = df.withColumn("__cell", _cell(seconds(ts), CELL_S))
+    cells = dealt.groupBy(key, "__cell").agg(*(c.alias(n) for n, c in carried.items()))
+    cells = cells.select(F.col(key).alias("__key"), F.col("__cell").alias("__of"), *(over(n).alias(n) for n in carried))
+    same = (F.col(key) == F.col("__key")) & F.col("__cell").eqNullSafe(F.col("__of"))
+    return dealt.withColumns(own).join(cells, same, "left").drop("__key", "__of")
+
+
+def running_total(df: DataFrame, key: str, ts: str, tie: str, value: Column, name: str) -> DataFrame:
+    """df with ``name``, the sum of ``value`` over the key's rows up to this one, by time and ``tie``.
+
+    Rows are summed in cells of CELL_S; a key's cells, not its rows, are in one window."""
+    own = Window.partitionBy(key, "__cell").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    met = _by_cells(df, key, ts, {"__before": F.sum(value)}, lambda n: F.sum(n).over(before), {"__own": F.sum(value).over(own)})
+    return met.withColumn(name, F.col("__own") + F.coalesce("__before", F.lit(0))).select(*df.columns, name)
+
+
+def with_previous(df: DataFrame, key: str, ts: str, tie: str, name: str) -> DataFrame:
+    """df with ``name``, the time of the key's row before this one, by time and ``tie``; null for the first.
+
+    Within a cell of CELL_S that is the row before; for a cell's first it is the latest of the key's last cell."""
+    own = Window.partitionBy(key, "__cell").orderBy(ts, tie)
+    before = Window.partitionBy(key).orderBy("__cell")
+    met = _by_cells(df, key, ts, {"__before": F.max(ts)}, lambda n: F.lag(n).over(before), {"__own": F.lag(ts).over(own), "__place": F.row_number().over(own)})
+    return met.withColumn(name, F.when(F.col("__place") == 1, F.col("__before")).otherwise(F.col("__own"))).select(*df.columns, name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut by a reliable checkpoint in ``spark.checkpoint.dir``
     (a temporary folder where that is unset on one machine, as in tests)."""
@@ -93,7 +167,7 @@ def running_sums(
     several ranges; tasks sum along their sorted rows, and the sums that a range's first key has in the
     ranges before it, at most a row for each range, are added by a broadcast. Sums of a name in
     ``moduli`` are taken by it (values must be below 2^31). ``terms`` makes further columns, of the types
-    in ``added``, from each batch in a task. key is a long without nulls; the result is cut.
+    in ``added``, from each batch in a task. key has no nulls; the result is cut.
     """
     moduli, added = moduli or {}, added or {}
     fields = [*df.schema.fields, *(T.StructField(n, t) for n, t in added.items()), *(T.StructField(n, T.LongType()) for n in (*sums, "__range"))]
@@ -108,7 +182,7 @@ def running_sums(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column(place).to_numpy()
+            own = batch.column(place).to_numpy(zero_copy_only=False)
             starts = _runs(own)
             first = own[0] if first is None else first
             goes_on = last is not None and own[0] == last

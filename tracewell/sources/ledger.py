@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ranges import running_total
+
 # The domains of the ledger's columns.
 CHANNELS = ("UPI", "NEFT", "IMPS", "RTGS", "NACH", "ATM", "POS", "CASH", "CHQ", "INT")
 SEGMENTS = ("salaried", "business", "student", "nri", "merchant")
@@ -73,8 +75,9 @@ def signed(amount: str = "amount") -> Column:
     return F.when(F.col("direction") == "CR", F.col(amount)).otherwise(-F.col(amount))
 
 
-def from_driver(spark: SparkSession, sf_dir: str) -> Ledger:
-    """The test tables as a bank: events are transactions, users accounts and customers."""
+def from_driver(spark: SparkSession, sf_dir: str, balances: bool = True) -> Ledger:
+    """The test tables as a bank: events are transactions, users accounts and customers. Without ``balances`` the
+    transactions lack ``balance_after``, and no running sum is made."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value > 0")
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("int")
     direction = F.when(F.col("event_type").isin("purchase", "error"), "DR").otherwise("CR")
@@ -86,8 +89,10 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Ledger:
         party.alias("counterparty_name"), F.lit(None).cast("string").alias("counterparty_ref"), k.alias("k"),
     )
     narration = F.concat_ws("/", "channel", "direction", "txn_id", "counterparty_name")
-    by = Window.partitionBy("account_id").orderBy("ts", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
-    txns = base.withColumn("narration", narration).withColumn("balance_after", (F.lit(OPENING) + F.sum(signed()).over(by)).cast("decimal(15,2)"))
+    txns = base.withColumn("narration", narration)
+    if balances:
+        posted = running_total(txns, "account_id", "ts", "txn_id", signed(), "posted")
+        txns = posted.withColumn("balance_after", (F.lit(OPENING) + F.col("posted")).cast("decimal(15,2)")).drop("posted")
     people = events.select("user_id").distinct()
     accounts = people.select(
         F.concat(F.lit("A"), "user_id").alias("account_id"), F.concat(F.lit("C"), F.floor(F.col("user_id") / 2).cast("string")).alias("customer_id")
@@ -176,8 +181,8 @@ def opening_balances(txns: DataFrame) -> DataFrame:
 
 def running_balances(txns: DataFrame) -> DataFrame:
     """Rows with ``replayed``, the balance rebuilt from the opening in order of time."""
-    by = Window.partitionBy("account_id").orderBy("ts", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
-    return txns.join(opening_balances(txns), "account_id").withColumn("replayed", F.col("opening") + F.sum(signed()).over(by))
+    posted = running_total(txns, "account_id", "ts", "txn_id", signed(), "posted")
+    return posted.join(opening_balances(txns), "account_id").withColumn("replayed", F.col("opening") + F.col("posted")).drop("posted")
 
 
 def true_minimum(txns: DataFrame) -> DataFrame:
