@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import THRESHOLD, normalise_udf, similarity_udf, token_score_udf
+from ..functions.names import INITIAL_SCORE, PHONETIC_FLOOR, THRESHOLD, metaphone_udf, normalise_udf, signatures_udf, similarity_udf, token_score_udf
 from .rules import HIGH_RISK, first_listed
 
-#: Words that the smaller side of a comparison may have to be sent to all executors.
-BROADCAST_ROWS = 100_000
-
-
 def _words(names: DataFrame, name: str, word: str) -> DataFrame:
     return names.select(name, F.explode(F.array_distinct(F.split(normalise_udf(name), " "))).alias(word)).filter(f"{word} <> ''")
 
 
-def _alike(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
-    """Distinct words ``x`` and ``y`` of two sides whose score is at least ``least``. All are compared, each pair
-    once: distinct words are far fewer than names. The smaller side is broadcast where its counted
-    size allows, else dealt out in blocks."""
+def candidates(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs of words ``x`` and ``y`` of two sides that may score at least ``least``; none that does is missing.
+
+    Words score by being equal, by one being the other's initial, by sounding alike, or by Jaro-Winkler similarity:
+    each is an equality join, the last on keys that such words must share (``names.signatures``)."""
     left, right = one.select("x").distinct(), two.select("y").distinct()
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = left.join(F.broadcast(right), how="cross")
-    else:
-        blocks = -(-right.count() // BROADCAST_ROWS)
-        dealt = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = dealt.join(right.withColumn("b", F.pmod(F.xxhash64("y"), F.lit(blocks)).cast("int")), "b").drop("b")
-    return pairs.filter(token_score_udf("x", "y") >= least)
+    ways = [left.join(right, F.col("x") == F.col("y"))]
+    if least <= INITIAL_SCORE:
+        for short, long in (("x", "y"), ("y", "x")):
+            ways.append(left.join(right, F.substring("x", 1, 1) == F.substring("y", 1, 1)).filter((F.length(short) == 1) & (F.length(long) > 1)))
+    if least <= PHONETIC_FLOOR:
+        a, b = left.withColumn("code", metaphone_udf("x")), right.withColumn("code", metaphone_udf("y"))
+        ways.append(a.filter("code <> ''").join(b, "code").select("x", "y"))
+    a, b = left.filter("length(x) > 1"), right.filter("length(y) > 1")
+    a, b = a.withColumn("key", F.explode(signatures_udf(least, False)("x"))), b.withColumn("key", F.explode(signatures_udf(least, True)("y")))
+    ways.append(a.join(b, "key").select("x", "y"))
+    return reduce(DataFrame.unionByName, ways).distinct()
+
+
+def _alike(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
+    """Distinct words ``x`` and ``y`` of two sides whose score is at least ``least``."""
+    return candidates(one, two, least).filter(token_score_udf("x", "y") >= least)
 
 
 def scored_pairs(names: DataFrame, others: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
