@@ -23,53 +23,57 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("account").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-#: Hops that paths grow by between two cuts of the lineage.
-HOPS_A_CUT = 4
+def _grown(runs: DataFrame, hops: int) -> DataFrame:
+    """Runs of more than ``hops`` hops, twice as many less one at most: those of just as many, whose last transfer
+    is the first of another, without any that come back to an account."""
+    left = runs.filter(F.col("hops") == hops)
+    right = runs.select(F.col("txns")[0].alias("shared"), *(F.col(c).alias(f"r_{c}") for c in ("accounts", "amounts", "txns", "ended", "hops")))
+    rest = lambda c, n: F.slice(f"r_{c}", n, F.size(f"r_{c}"))
+    new = rest("accounts", 3)  # the shared transfer's two accounts are the left run's last
+    met = left.join(right, (F.element_at("txns", -1) == F.col("shared")) & ~F.arrays_overlap("accounts", new))
+    return met.select(
+        F.concat("accounts", new).alias("accounts"), F.concat("amounts", rest("amounts", 2)).alias("amounts"), F.concat("txns", rest("txns", 2)).alias("txns"),
+        "started", F.col("r_ended").alias("ended"), (F.col("hops") + F.col("r_hops") - 1).alias("hops"), "starts",
+    )
 
 
-def all_paths(edges: DataFrame, max_hop_hours: int = 36, retain_min: float = 0.80, retain_max: float = 1.00, min_amount: float = 50_000) -> DataFrame:
-    """Maximal paths over ``src, dst, amount, ts, txn_id``: ``accounts``, ``amounts``, ``txns``,
-    ``started``, ``ended``, ``hops``. A path grows by an edge that starts within the window after
-    its last, carries the given share of the last amount, and leads to a new account. It is
-    maximal if no edge extends it, whatever else leaves its end.
+def all_paths(edges: DataFrame, max_hop_hours: int = 36, retain_min: float = 0.80, retain_max: float = 1.00, min_amount: float = 50_000, min_hops: int = 2) -> DataFrame:
+    """Maximal paths of ``min_hops`` or more over ``src, dst, amount, ts, txn_id``: ``accounts``, ``amounts``, ``txns``,
+    ``started``, ``ended``, ``hops``. A path starts with a transfer of at least ``min_amount``, and grows by
+    one that starts within the window after its last, carries the given share of the last amount, and leads to a new
+    account. It is maximal if no transfer extends it, whatever else leaves its end.
 
-    Which edge may follow which is found once, by a join on account and time cell. Paths then grow
-    by left joins on their last edge: those that find none are done, and meet nothing further.
-    The loop ends by itself, as a path never comes back to an account.
+    Which transfer may follow which is found once, by a join on account and time cell; transfers that
+    nothing follows or precedes go no further. Runs then double: one of n hops and one of up to n that shares its
+    last transfer make one of up to 2n - 1, so rounds grow with the logarithm of the longest path.
     """
-    one = edges.select("txn_id", F.col("dst").alias("via"), "amount", "ts")
+    one = edges.select("txn_id", "src", F.col("dst").alias("via"), "amount", "ts")
     two = edges.select(F.col("src").alias("via"), F.col("dst").alias("to"), F.col("amount").alias("next_amount"), F.col("ts").alias("next_ts"), F.col("txn_id").alias("next_txn"))
     ratio = F.col("next_amount") / F.nullif(F.col("amount"), F.lit(0.0))
-    follows = window_join(one, two, ["via"], "ts", "next_ts", max_hop_hours * 3600, (ratio >= retain_min) & (ratio <= retain_max))
-    follows = cut(follows.select(F.col("txn_id").alias("after"), "to", "next_amount", "next_ts", "next_txn")).withColumn("over", F.lit(False))
-    paths = edges.filter(F.col("amount") >= min_amount).select(
-        F.array("src", "dst").alias("accounts"), F.array("amount").alias("amounts"), F.array("txn_id").alias("txns"),
-        F.col("ts").alias("started"), F.col("ts").alias("ended"), F.lit(False).alias("done"),
+    fits = (ratio >= retain_min) & (ratio <= retain_max) & (F.col("src") != F.col("to")) & (F.col("via") != F.col("to"))
+    follows = cut(window_join(one, two, ["via"], "ts", "next_ts", max_hop_hours * 3600, fits))
+    runs = follows.select(
+        F.array("src", "via", "to").alias("accounts"), F.array("amount", "next_amount").alias("amounts"), F.array("txn_id", "next_txn").alias("txns"),
+        F.col("ts").alias("started"), F.col("next_ts").alias("ended"), F.lit(2).alias("hops"), (F.col("amount") >= min_amount).alias("starts"),
     )
-    found = []
+    hops = 2
     while True:
-        for _ in range(HOPS_A_CUT):
-            fits = (F.col("done") == F.col("over")) & (F.element_at("txns", -1) == F.col("after")) & ~F.array_contains("accounts", F.col("to"))
-            met, more = paths.join(follows, fits, "left"), F.col("next_txn").isNotNull()
-            grown = lambda c, x: F.when(more, F.array_append(c, F.col(x))).otherwise(F.col(c)).alias(c)
-            paths = met.select(
-                grown("accounts", "to"), grown("amounts", "next_amount"), grown("txns", "next_txn"), "started", F.coalesce("next_ts", "ended").alias("ended"), (F.col("done") | ~more).alias("done")
-            )
-        paths = cut(paths)
-        found.append(paths.filter("done"))
-        paths = paths.filter("not done")
-        if paths.isEmpty():
+        more = cut(_grown(runs, hops))
+        if more.isEmpty():
             break
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.select("accounts", "amounts", "txns", "started", "ended", F.size("txns").alias("hops"))
+        runs, hops = runs.unionByName(more), 2 * hops - 1
+    runs = runs.filter(F.col("starts") & (F.col("hops") >= min_hops)).drop("starts")
+    if min_hops < 2:
+        alone = edges.filter(F.col("amount") >= min_amount)
+        runs = runs.unionByName(alone.select(F.array("src", "dst").alias("accounts"), F.array("amount").alias("amounts"), F.array("txn_id").alias("txns"), F.col("ts").alias("started"), F.col("ts").alias("ended"), F.lit(1).alias("hops")))
+    after = follows.select(F.col("txn_id").alias("after"), "to")
+    return runs.join(after, (F.element_at("txns", -1) == F.col("after")) & ~F.array_contains("accounts", F.col("to")), "left_anti")
 
 
 def find_chains(edges: DataFrame, min_hops: int = 2, **limits) -> DataFrame:
     """The chains of all_paths with ``min_hops`` or more, one for each list of accounts (the first
     by start and transactions), without those inside a longer one; with ``retained``."""
-    paths = all_paths(edges, **limits).filter(F.col("hops") >= min_hops)
+    paths = all_paths(edges, min_hops=min_hops, **limits)
     unique = paths.groupBy("accounts").agg(F.min_by(F.struct("amounts", "txns", "started", "ended", "hops"), F.struct("started", "txns")).alias("own")).select("accounts", "own.*")
     unique = cut(unique)
     # Every shorter run of a longer chain is listed, so that containment is an equality join.
