@@ -31,7 +31,7 @@ from . import common, frequencies, tokens
 SCALE = 1_000_000_000
 MIN_DOCS, TOP = 10, 10
 #: Sources of a block, and postings, about, of a slice.
-BLOCK, SLICE_ROWS = 256, 500_000
+BLOCK, SLICE_ROWS = 256, 100_000
 #: Buckets of counts in an octave.
 IN_OCTAVE = 4
 #: Bytes of texts to bytes of terms: A-Z to a-z, all others below 128 but letters to a space.
@@ -46,7 +46,7 @@ def _grouped(table: pa.Table) -> pa.Table:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of terms and of documents with them, by language and source, of each task's documents."""
     held: list[pa.Table] = []
-    for batch in common.steps(batches, chars=frequencies.STEP_BYTES):
+    for batch in common.steps(batches):
         found, number = tokens.words([x.translate(_TERMS) for x in common.texts_of(batch)])
         coded = found.dictionary_encode()
         words, place = coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64)
@@ -135,7 +135,7 @@ def top_terms(postings: DataFrame, k: int = TOP) -> DataFrame:
     return ranked(first.drop("rank").unionByName(evaluated(open_.select(*key, "held"))))
 
 
-def _pair_sums(table: pa.Table) -> pa.Table:
+def _pair_sums(table: pa.Table, block: int) -> pa.Table:
     """Sums over a slice's terms that either source of a pair has, and how many terms both have.
 
     Rows of term -1 give each source's share of an absent term."""
@@ -148,7 +148,7 @@ def _pair_sums(table: pa.Table) -> pa.Table:
     terms, at = np.unique(term[~absent], return_inverse=True)
     own = np.searchsorted(sources, idx[~absent])
     p = p[~absent]
-    left, right = np.flatnonzero(sources // BLOCK == lo), np.flatnonzero(sources // BLOCK == hi)
+    left, right = np.flatnonzero(sources // block == lo), np.flatnonzero(sources // block == hi)
     mine = np.isin(own, left)
     g, g_term, g_p = own[mine], at[mine], p[mine]
     g_p0 = p0[g]
@@ -184,7 +184,8 @@ def source_pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
     met = met.withColumn("slice", F.explode(slices)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     block = F.floor(F.col("idx") / BLOCK)
     met = met.select("lang", "idx", "term_id", "p", "slice", F.least(block, "other").alias("lo"), F.greatest(block, "other").alias("hi"))
-    sums = met.groupBy("lang", "lo", "hi", "slice").applyInArrow(_pair_sums, "lang string, a long, b long, value long, both long")
+    of = BLOCK
+    sums = met.groupBy("lang", "lo", "hi", "slice").applyInArrow(lambda table: _pair_sums(table, of), "lang string, a long, b long, value long, both long")
     # Two blocks are met once: each pair of theirs stands for both directions.
     crossed = sums.filter(F.floor(F.col("a") / BLOCK) != F.floor(F.col("b") / BLOCK)).select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value", "both")
     sums = sums.unionByName(crossed).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("both").alias("both"))
