@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranges import sums_down
+from . import risk
 
 
 def _rate(part, whole):
@@ -129,6 +130,44 @@ def marginal_trade(before: DataFrame, after: DataFrame, truth: DataFrame) -> Dat
     return gained.crossJoin(lost)  # one row each
 
 
+#: Weights of media that the experiment tries.
+MEDIA_WEIGHTS = (0.05, 0.10, 0.15, 0.20)
+
+
+def media_experiment(separate: DataFrame, folded: DataFrame, truth: DataFrame, budget: int = 50) -> DataFrame:
+    """What media evidence does to the queue of ``budget`` accounts: ``label``, ``weight``, ``threshold``, ``queue``,
+    ``true_positives``, ``false_positives``, ``false_negatives``, ``precision``, ``recall``, ``media_cases`` (with any
+    media) and ``media_only_cases`` (with nothing else), for no media, each weight of MEDIA_WEIGHTS, and media
+    folded into screening. All arms are scored in one pass over the same evidence (account_id, source, detail, contribution)."""
+    none, fold = "no media", "folded into screening"
+    tables = [(none, 0.0, risk.WEIGHTS, risk.MIN_CASE_SCORE)]
+    for w in MEDIA_WEIGHTS:
+        table = risk.weights_with_media(w)
+        tables.append((f"media weight {w:.2f}", w, table, risk.min_case_score(table)[0]))
+    tables.append((fold, 0.0, risk.WEIGHTS, risk.MIN_CASE_SCORE))
+    weighed = F.create_map(*(x for label, _, table, _ in tables for x in (F.lit(label), F.create_map(*(y for k, v in table.items() for y in (F.lit(k), F.lit(v)))))))
+    arm = F.explode(F.array(*(F.lit(label) for label, *_ in tables[:-1])))
+    used = separate.withColumn("label", arm).filter((F.col("label") != none) | (F.col("source") != "media")).unionByName(folded.withColumn("label", F.lit(fold)))
+    is_media = F.col("detail").startswith("adverse media")
+    best = used.groupBy("label", "account_id", "source").agg(F.max("contribution").alias("c"), F.max(is_media.cast("int")).alias("some"), F.min(is_media.cast("int")).alias("whole"))
+    weight = F.coalesce(F.element_at(F.element_at(weighed, F.col("label")), F.col("source")), F.lit(0.0))
+    total = best.groupBy("label", "account_id").agg(F.round(F.sum(weight * F.col("c")) * 100, 2).alias("score"), F.max("some").alias("some"), F.min("whole").alias("whole"))
+    bar = F.create_map(*(x for label, _, _, t in tables for x in (F.lit(label), F.lit(float(t)))))
+    by = Window.partitionBy("label").orderBy(F.desc("score"), "account_id")
+    queue = total.filter(F.col("score") >= F.element_at(bar, F.col("label"))).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= budget)
+    bad = truth.select(F.col("id").alias("account_id")).distinct().withColumn("bad", F.lit(1))
+    counts = queue.join(bad, "account_id", "left").groupBy("label").agg(
+        F.count("*").alias("queue"), F.count("bad").alias("true_positives"), F.sum("some").alias("media_cases"), F.sum("whole").alias("media_only_cases")
+    )
+    arms = separate.sparkSession.createDataFrame([(label, w, float(t)) for label, w, _, t in tables], "label string, weight double, threshold double")
+    out = arms.join(counts, "label", "left").fillna(0).crossJoin(bad.agg(F.count("*").alias("all")))  # one row
+    return out.select(
+        "label", "weight", "threshold", "queue", "true_positives", (F.col("queue") - F.col("true_positives")).alias("false_positives"), (F.col("all") - F.col("true_positives")).alias("false_negatives"),
+        F.coalesce(F.col("true_positives") / F.nullif(F.col("queue"), F.lit(0)), F.lit(0.0)).alias("precision"), F.coalesce(F.col("true_positives") / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0)).alias("recall"),
+        "media_cases", "media_only_cases",
+    )
+
+
 #: Assumed hours that one review takes.
 HOURS = 0.5
 

@@ -65,11 +65,15 @@ def screen_media(articles: DataFrame, customers: DataFrame, threshold: float = T
     return hit.join(customers, hit["other"] == customers["full_name"]).select("article_id", "customer_id", "category", "headline", "score")
 
 
-def screen_name(spark, name: str, watchlist: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Matches of one name, best first, with the decision of ``REVIEW`` or ``NO_HIT``."""
-    one = spark.createDataFrame([(name,)], "name string")
+def screen_names(names: DataFrame, watchlist: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``name``, ``matches``, ``best``, ``geography`` and the decision, ``REVIEW`` or ``NO_HIT``, for each of distinct names."""
     geo = first_listed(F.col("name"), HIGH_RISK)
-    hits = scored_pairs(one, watchlist, threshold).groupBy("name").agg(F.count("*").alias("matches"), F.max("score").alias("best"))
-    out = one.join(hits, "name", "left").withColumn("geography", geo)
+    hits = scored_pairs(names, watchlist, threshold).groupBy("name").agg(F.count("*").alias("matches"), F.max("score").alias("best"))
+    out = names.select("name").join(hits, "name", "left").withColumn("geography", geo)
     review = F.col("matches").isNotNull() | F.col("geography").isNotNull()
     return out.withColumn("decision", F.when(review, "REVIEW").otherwise("NO_HIT"))
+
+
+def screen_name(spark, name: str, watchlist: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The decision on one name."""
+    return screen_names(spark.createDataFrame([(name,)], "name string"), watchlist, threshold)

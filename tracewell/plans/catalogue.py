@@ -7,7 +7,6 @@ rounded, and cast to double or bigint, alike on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from ..functions import names
 from ..operators import cases, features, graph, ml, multibank, redteam, replay, risk, rules, scoring, screening
 from ..session import ship
 from .ranges import path_exists, shared_folder
-from ..sources import ledger, world
+from ..sources import ledger, published, world
 
 D1 = {"ceiling": 200, "min_count": 4, "min_total": 100}
 D2 = {"min_amount": 100, "hop_hours": 48, "min_ratio": 0.85}
@@ -215,6 +214,16 @@ def bulk_update(spark, sf):
     return ledger.bulk_update(table, "c_custkey", "c_mktsegment", new)
 
 
+@query("bucket_update", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'UPDATED' WHEN c_custkey % 10 = 1 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def bucket_update(spark, sf):
+    """The same kind of update on files: only the buckets of changed keys are rewritten, and published at once."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_mktsegment")
+    table = published.Buckets(spark, shared_folder(spark), "c_custkey", rows.schema)
+    table.load(rows)
+    table.update("c_mktsegment", rows.filter("c_custkey % 10 < 2").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "UPDATED").alias("c_mktsegment")))
+    return table.read()
+
+
 @query("constraint_violations", "SELECT 'transactions' AS table_name, 'balance not negative' AS violated, count(*) AS n FROM txn WHERE balance < 0 HAVING count(*) > 0")
 def constraint_violations(spark, sf):
     return rounded(ledger.violations(ledger.from_driver(spark, sf)))
@@ -371,8 +380,8 @@ def _folk(ids: str) -> str:
 _FOLK = ", folk AS " + _folk("(SELECT c_custkey::BIGINT AS id FROM customer)")
 #: Listed persons, invented, with words of the customers' names among them.
 LISTED = (
-    ("Farhaan Ali", "sanctions"), ("Suresh Gupta", "pep"), ("Meera Nayar", "pep"), ("Imraan Khan", "sanctions"), ("Kabeer Sharma", "sanctions"), ("Priya Josh", "pep"), ("Ananya Kulkarnee", "pep"),
-    ("Neha Boss", "sanctions"), ("Rohan Mehta", "pep"), ("Sana Reddi", "sanctions"), ("Diya Dass", "pep"), ("Viktor Orlov", "sanctions"), ("Kavya Patel", "sanctions"), ("Aarav Verma", "pep"), ("Ishan Iyer", "pep"),
+    ("Aditi Allie", "sanctions"), ("Vihaan Gupte", "pep"), ("Meera Nayar", "pep"), ("Arjun Khaan", "sanctions"), ("Kabeer Sharma", "sanctions"), ("Priya Josh", "pep"), ("Ananya Kulkarnee", "pep"),
+    ("Neha Boss", "sanctions"), ("Rohan Mehta", "pep"), ("Sana Reddi", "sanctions"), ("Diya Dass", "pep"), ("Tomasz Zielny", "sanctions"), ("Kavya Patel", "sanctions"), ("Aarav Verma", "pep"), ("Ishan Iyer", "pep"),
 )
 _LISTED = ", listed(position, name, type) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{n}', '{t}')" for i, (n, t) in enumerate(LISTED)) + ")"
 
@@ -391,18 +400,18 @@ _CODES = ", codes(word, code) AS (VALUES " + ", ".join(
 ) + ")"
 
 
-def _similar(subjects: str, entries: str, least: float = names.THRESHOLD) -> str:
-    """SQL of screening.scored_pairs over rows of ``name``, as ``pairs``: both of the names' words, of a-z, take
-    their best partners in turn. Sound codes of the words that can occur are listed."""
-    return f""", cells AS (
+def _similar(subjects: str, entries: str, least: float = names.THRESHOLD, tag: str = "") -> str:
+    """SQL of screening.scored_pairs over rows of ``name``, as ``pairs`` with a tag: both of the names' words, of a-z,
+    take their best partners in turn. Sound codes of the words that can occur are listed."""
+    return f""", {tag}cells AS (
   SELECT name, other, i, j, CASE WHEN t = o THEN 1.0::DOUBLE WHEN len(t) = 1 OR len(o) = 1 THEN CASE WHEN t[1] = o[1] THEN 0.85::DOUBLE ELSE 0 END
          ELSE greatest(jaro_winkler_similarity(t, o), CASE WHEN x.code = y.code AND x.code <> '' THEN 0.92::DOUBLE ELSE 0 END) END AS s
   FROM (SELECT name, unnest(string_split(lower(name), ' ')) AS t, generate_subscripts(string_split(name, ' '), 1) AS i FROM (SELECT DISTINCT name FROM {subjects}))
   CROSS JOIN (SELECT other, unnest(string_split(lower(other), ' ')) AS o, generate_subscripts(string_split(other, ' '), 1) AS j FROM (SELECT DISTINCT name AS other FROM {entries}))
   LEFT JOIN codes x ON x.word = t LEFT JOIN codes y ON y.word = o),
-first AS (SELECT name, other, max(s) AS m1, arg_max(j, (s, -j)) AS j1 FROM cells WHERE i = 1 GROUP BY 1, 2),
-pairs AS (SELECT name, other, CASE WHEN lower(name) = lower(other) THEN 1.0::DOUBLE ELSE round((m1 + max(s)) / 2, 4) END AS score
-  FROM cells JOIN first USING (name, other) WHERE i = 2 AND j <> j1 GROUP BY name, other, m1 HAVING CASE WHEN lower(name) = lower(other) THEN 1.0::DOUBLE ELSE round((m1 + max(s)) / 2, 4) END >= {least})"""
+{tag}first AS (SELECT name, other, max(s) AS m1, arg_max(j, (s, -j)) AS j1 FROM {tag}cells WHERE i = 1 GROUP BY 1, 2),
+{tag}pairs AS (SELECT name, other, CASE WHEN lower(name) = lower(other) THEN 1.0::DOUBLE ELSE round((m1 + max(s)) / 2, 4) END AS score
+  FROM {tag}cells JOIN {tag}first USING (name, other) WHERE i = 2 AND j <> j1 GROUP BY name, other, m1 HAVING CASE WHEN lower(name) = lower(other) THEN 1.0::DOUBLE ELSE round((m1 + max(s)) / 2, 4) END >= {least})"""
 
 
 def _people(spark, sf) -> DataFrame:
@@ -457,9 +466,10 @@ def screen_watchlist(spark, sf):
     return screening.screen_customers(_people(spark, sf), watchlist(spark))
 
 
-@query("screen_name", _LISTED + _CODES + _similar("(SELECT 'Farhan Ali' AS name)", "listed") + " SELECT 'Farhan Ali' AS name, count(*) AS matches, max(score) AS best, NULL::VARCHAR AS geography, 'REVIEW' AS decision FROM pairs")
+@query("screen_name", _FOLK + _LISTED + _CODES + _similar("(SELECT full_name AS name FROM folk)", "listed") + """ SELECT f.name, n AS matches, best, NULL::VARCHAR AS geography, CASE WHEN n IS NULL THEN 'NO_HIT' ELSE 'REVIEW' END AS decision
+FROM (SELECT DISTINCT full_name AS name FROM folk) f LEFT JOIN (SELECT name, count(*) AS n, max(score) AS best FROM pairs GROUP BY 1) USING (name)""")
 def screen_name(spark, sf):
-    return rounded(screening.screen_name(spark, "Farhan Ali", watchlist(spark)))
+    return rounded(screening.screen_names(_people(spark, sf).select(F.col("full_name").alias("name")).distinct(), watchlist(spark)))
 
 
 @query("plant_entities", _PLANTED + " SELECT * FROM planted")
@@ -530,6 +540,76 @@ def signals(spark, sf) -> DataFrame:
     return risk.rule_signals(alerts(spark, sf)).unionByName(screened).unionByName(risk.graph_signals(found))
 
 
+_ARTICLE_FOLK = ", about AS " + _folk("(SELECT DISTINCT doc_id AS id FROM documents)")
+_EVIDENCE = _SIGNALS.rstrip().rstrip(",") + _ARTICLE_FOLK + """, told AS (
+  SELECT DISTINCT d.doc_id AS article_id, full_name AS mentioned_name, concat(full_name, ' in ', coalesce(source, '')) AS headline, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN coalesce(lang, '') ELSE 'none' END AS category
+  FROM documents d JOIN about ON id = doc_id)""" + _similar("(SELECT mentioned_name AS name FROM told WHERE category <> 'none')", "(SELECT full_name AS name FROM folk)", tag="m_") + """,
+named AS (SELECT f.id, concat('adverse media (', category, ') at ', format('{:.2f}', score), ': ', headline) AS detail, score FROM told a JOIN m_pairs p ON p.name = a.mentioned_name JOIN folk f ON f.full_name = p.other WHERE category <> 'none'),
+media AS (SELECT account_id, arg_max(detail, (score, detail)) AS detail, max(score) AS contribution
+  FROM named JOIN (SELECT user_id // 2 AS id, min(account_id) AS account_id FROM people GROUP BY 1) USING (id) GROUP BY 1),
+evidence AS (SELECT * FROM signals UNION ALL SELECT account_id, 'media', detail, contribution FROM media),
+folded AS (SELECT * FROM signals UNION ALL SELECT account_id, 'screening', detail, contribution FROM media)
+"""
+
+
+def articles(spark, sf) -> DataFrame:
+    """Each document as an article about the person of its number; those labelled toxic are adverse."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    adverse = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").select("doc_id").distinct().withColumn("adverse", F.lit(True))
+    about = world.people(docs.select(F.col("doc_id").alias("id")).distinct()).select(F.col("id").alias("doc_id"), F.col("full_name").alias("mentioned_name"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    told = docs.join(about, "doc_id").join(adverse, "doc_id", "left")
+    return told.select(
+        F.col("doc_id").alias("article_id"), "mentioned_name", F.concat("mentioned_name", F.lit(" in "), empty("source")).alias("headline"),
+        F.when(F.col("adverse"), empty("lang")).otherwise("none").alias("category"),
+    ).distinct()
+
+
+def evidence(spark, sf, mode: str) -> DataFrame:
+    """Evidence of all layers with that of adverse media, in a source of its own or folded into screening."""
+    accounts, people = holders(spark, sf)
+    hits = screening.screen_media(articles(spark, sf), people)
+    detail = F.concat(F.lit("adverse media ("), "category", F.lit(") at "), F.format_number("score", 2), F.lit(": "), "headline")
+    return signals(spark, sf).unionByName(risk.media_signals(hits.select("customer_id", detail.alias("detail"), "score"), accounts, mode))
+
+
+@query("media_evidence", _EVIDENCE + "SELECT account_id, source, detail, round(contribution, 6) AS contribution FROM evidence WHERE source = 'media'")
+def media_evidence(spark, sf):
+    return rounded(evidence(spark, sf, "separate").filter("source = 'media'"))
+
+
+@query("risk_scores_with_media", _EVIDENCE + """, best AS (SELECT account_id, source, max(contribution) AS c FROM evidence GROUP BY 1, 2)
+SELECT account_id, round(sum(CASE source WHEN 'rules' THEN 0.35 WHEN 'screening' THEN 0.30 WHEN 'graph' THEN 0.20 WHEN 'media' THEN 0.20 END::DOUBLE / 1.2 * c) * 100, 2) AS score FROM best GROUP BY 1""")
+def risk_scores_with_media(spark, sf):
+    return risk.aggregate(evidence(spark, sf, "separate"), risk.weights_with_media()).select("account_id", "score")
+
+
+@query("risk_scores_media_folded", _EVIDENCE + f""", best AS (SELECT account_id, source, max(contribution) AS contribution FROM folded GROUP BY 1, 2)
+SELECT account_id, round(sum({_WEIGHT} * contribution) * 100, 2) AS score FROM best GROUP BY 1""")
+def risk_scores_media_folded(spark, sf):
+    return risk.aggregate(evidence(spark, sf, "folded")).select("account_id", "score")
+
+
+_ARMS = ", ".join(f"('media weight {w:.2f}', {w}::DOUBLE, false)" for w in scoring.MEDIA_WEIGHTS)
+
+
+@query("media_experiment", _EVIDENCE + f""", arms(label, weight, folds) AS (VALUES ('no media', 0.0::DOUBLE, false), {_ARMS}, ('folded into screening', 0.0::DOUBLE, true)),
+bars AS (SELECT *, CASE WHEN weight = 0 THEN 17.5::DOUBLE ELSE round(least(100 * 0.6::DOUBLE * (0.35::DOUBLE / (1 + weight)), 100 * 0.88::DOUBLE * (0.3::DOUBLE / (1 + weight)), 100 * (1 - 0.4::DOUBLE * 0.4) * (0.2::DOUBLE / (1 + weight))) - 0.1, 2) END AS threshold FROM arms),
+used AS (SELECT label, weight, threshold, account_id, source, contribution, detail LIKE 'adverse media%' AS is_media FROM bars, evidence WHERE NOT folds AND (weight > 0 OR source <> 'media')
+  UNION ALL SELECT label, weight, threshold, account_id, source, contribution, detail LIKE 'adverse media%' FROM bars, folded WHERE folds),
+tops AS (SELECT label, weight, threshold, account_id, source, max(contribution) AS c, bool_or(is_media) AS any_media, bool_and(is_media) AS all_media FROM used GROUP BY ALL),
+totals AS (SELECT label, weight, threshold, account_id, bool_or(any_media) AS any_media, bool_and(all_media) AS all_media,
+  round(sum(CASE source WHEN 'rules' THEN 0.35 WHEN 'screening' THEN 0.30 WHEN 'graph' THEN 0.20 WHEN 'media' THEN weight END::DOUBLE / (1 + weight) * c) * 100, 2) AS score FROM tops GROUP BY 1, 2, 3, 4),
+queue AS (SELECT *, account_id IN (SELECT id FROM truth) AS good FROM totals WHERE score >= threshold QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, account_id) <= 50),
+t AS (SELECT count(DISTINCT id) AS n FROM truth)
+SELECT b.label, b.weight, b.threshold, count(q.account_id) AS queue, count(*) FILTER (good) AS true_positives, count(*) FILTER (NOT good) AS false_positives, any_value(n) - count(*) FILTER (good) AS false_negatives,
+  round(coalesce(count(*) FILTER (good) / nullif(count(q.account_id), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (good) / nullif(any_value(n), 0), 0), 6) AS recall,
+  count(*) FILTER (any_media) AS media_cases, count(*) FILTER (all_media) AS media_only_cases
+FROM bars b CROSS JOIN t LEFT JOIN queue q ON q.label = b.label GROUP BY 1, 2, 3""")
+def media_experiment(spark, sf):
+    return rounded(scoring.media_experiment(evidence(spark, sf, "separate"), evidence(spark, sf, "folded"), truth(spark, sf)))
+
+
 def model_signals(spark, sf) -> DataFrame:
     return risk.ml_signals(risk.unsupervised_scores(ml.isolation_scores(features.account_features(posted(spark, sf)))))
 
@@ -569,39 +649,66 @@ def evidence_tier(spark, sf):
     return risk.evidence_tier(signals(spark, sf))
 
 
-@query("min_case_score", """SELECT round(least(100 * 0.6 * 0.35, 100 * 0.88 * 0.30, 100 * (1 - 0.4 * 0.4) * 0.20) - 0.1, 2)::DOUBLE AS threshold,
-  round(least(100 * 0.6 * 0.35, 100 * 0.88 * 0.30, 100 * (1 - 0.4 * 0.4) * 0.20), 2)::DOUBLE AS quietest, round(100 * 0.15, 2)::DOUBLE AS ml_ceiling""")
+@query("min_case_score", _SCORES + """SELECT round(least(100 * 0.6 * 0.35, 100 * 0.88 * 0.30, 100 * (1 - 0.4 * 0.4) * 0.20) - 0.1, 2)::DOUBLE AS threshold,
+  round(least(100 * 0.6 * 0.35, 100 * 0.88 * 0.30, 100 * (1 - 0.4 * 0.4) * 0.20), 2)::DOUBLE AS quietest, round(100 * 0.15, 2)::DOUBLE AS ml_ceiling,
+  count(*) FILTER (score >= round(least(100 * 0.6 * 0.35, 100 * 0.88 * 0.30, 100 * (1 - 0.4 * 0.4) * 0.20) - 0.1, 2)) AS open FROM scores""")
 def min_case_score(spark, sf):
-    return spark.createDataFrame([risk.min_case_score()], "threshold double, quietest double, ml_ceiling double")
+    threshold, quietest, ceiling = risk.min_case_score()
+    at = F.lit(threshold)
+    return rounded(scores(spark, sf).agg(F.count_if(F.col("score") >= at).alias("open")).select(at.alias("threshold"), F.lit(quietest).alias("quietest"), F.lit(ceiling).alias("ml_ceiling"), "open"))
 
 
-@query("reweighted_queue", _SIGNALS + f"s AS (SELECT account_id, round(sum({_WEIGHT.replace('0.35', '0.35/1.2').replace('0.30', '0.30/1.2').replace('0.15', '0.15/1.2').replace('0.20', '0.20/1.2')} * contribution) * 100, 2) AS score FROM strongest GROUP BY 1) SELECT * FROM s WHERE score >= 17.5 ORDER BY score DESC, account_id LIMIT 20")
+@query("reweighted_queue", _EVIDENCE + """, best AS (SELECT account_id, source, max(contribution) AS c FROM evidence GROUP BY 1, 2),
+s AS (SELECT account_id, round(sum(CASE source WHEN 'rules' THEN 0.35 WHEN 'screening' THEN 0.30 WHEN 'graph' THEN 0.20 WHEN 'media' THEN 0.20 END::DOUBLE / 1.2 * c) * 100, 2) AS score FROM best GROUP BY 1)
+SELECT * FROM s WHERE score >= 13.9 ORDER BY score DESC, account_id LIMIT 20""")
 def reweighted_queue(spark, sf):
-    out = risk.aggregate(signals(spark, sf), risk.weights_with_media()).select("account_id", "score")
-    return out.filter("score >= 17.5").orderBy(F.desc("score"), "account_id").limit(20)
-
-
-@query("open_from_queue", _SCORES + "SELECT account_id, score FROM scores WHERE score >= 17.5 AND account_id NOT IN (SELECT account_id FROM people WHERE user_id % 4 = 0) ORDER BY score DESC, account_id LIMIT 15")
-def open_from_queue(spark, sf):
-    live = txns(spark, sf).select("account_id").distinct().filter(F.substring("account_id", 2, 20).cast("long") % 4 == 0).withColumn("status", F.lit("open"))
-    return cases.to_open(scores(spark, sf), live, limit=15).select("account_id", "score")
+    weights = risk.weights_with_media()
+    out = risk.aggregate(evidence(spark, sf, "separate"), weights).select("account_id", "score")
+    return out.filter(F.col("score") >= risk.min_case_score(weights)[0]).orderBy(F.desc("score"), "account_id").limit(20)
 
 
 def _case_events(spark, sf) -> DataFrame:
+    """A case for each account, up to a step that its number gives; a closed one is confirmed where the account is true."""
     kinds = F.element_at(F.array(*map(F.lit, ("opened", "assigned", "note", "closed", "reopened"))), (F.col("step") + 1).cast("int"))
-    detail = F.when(kinds == "closed", "false_positive: checked").when(kinds == "assigned", "analyst").otherwise("-")
+    found = F.when(F.col("bad"), "true_positive_sar: checked").otherwise("false_positive: checked")
+    detail = F.when(kinds == "closed", found).when(kinds == "assigned", "analyst").otherwise("-")
+    bad = truth(spark, sf).select(F.col("id").alias("account_id")).distinct().withColumn("bad", F.lit(True))
     people = txns(spark, sf).groupBy("account_id").agg(F.min("ts").alias("t0")).withColumn("case_id", F.substring("account_id", 2, 20).cast("long"))
-    rows = people.withColumn("step", F.explode(F.sequence(F.lit(0), (F.col("case_id") % 5).cast("int"))))
+    rows = people.join(bad, "account_id", "left").withColumn("step", F.explode(F.sequence(F.lit(0), (F.col("case_id") % 5).cast("int"))))
     return rows.select((F.col("case_id") * 10 + F.col("step")).alias("event_id"), "case_id", (F.col("t0") + F.make_dt_interval(F.lit(0), F.col("step"))).alias("ts"), F.lit("x").alias("actor"), kinds.alias("event_type"), detail.alias("detail"))
 
 
-@query("case_state_fold", """SELECT user_id AS case_id, CASE user_id % 5 WHEN 0 THEN 'open' WHEN 3 THEN 'closed' ELSE 'in_review' END AS status, CASE WHEN user_id % 5 = 3 THEN 'false_positive' END AS disposition,
-  CASE WHEN user_id % 5 >= 1 THEN 'analyst' END AS assigned_to, min(ts) AS opened_at, CASE WHEN user_id % 5 = 3 THEN min(ts) + INTERVAL 3 HOUR END AS closed_at FROM txn GROUP BY user_id""")
+def _case_states(spark, sf) -> DataFrame:
+    return cases.state(_case_events(spark, sf)).withColumn("account_id", F.concat(F.lit("A"), "case_id"))
+
+
+@query("open_from_queue", _SCORES + "SELECT account_id, score FROM scores WHERE score >= 17.5 AND account_id NOT IN (SELECT account_id FROM people WHERE user_id % 5 <> 3) ORDER BY score DESC, account_id LIMIT 15")
+def open_from_queue(spark, sf):
+    return cases.to_open(scores(spark, sf), _case_states(spark, sf), limit=15).select("account_id", "score")
+
+
+_STATES = """SELECT user_id AS case_id, CASE user_id % 5 WHEN 0 THEN 'open' WHEN 3 THEN 'closed' ELSE 'in_review' END AS status,
+  CASE WHEN user_id % 5 = 3 THEN CASE WHEN account_id IN (SELECT id FROM truth) THEN 'true_positive_sar' ELSE 'false_positive' END END AS disposition,
+  CASE WHEN user_id % 5 >= 1 THEN 'analyst' END AS assigned_to, min(ts) AS opened_at, CASE WHEN user_id % 5 = 3 THEN min(ts) + INTERVAL 3 HOUR END AS closed_at FROM txn GROUP BY user_id, account_id"""
+
+
+@query("case_state_fold", _STATES)
 def case_state_fold(spark, sf):
     return cases.state(_case_events(spark, sf))
 
 
-@query("case_timeline", "SELECT 30 + s AS event_id, (['opened', 'assigned', 'note', 'closed'])[s + 1] AS event_type FROM range(4) r(s)")
+@query("case_log_state", _STATES)
+def case_log_state(spark, sf):
+    """The same states from a log on files: two appends, a snapshot of them, and one more append."""
+    log, events = published.Log(spark, shared_folder(spark), cases.EVENTS), _case_events(spark, sf)
+    for step, of in enumerate(("opened", "assigned", None)):
+        log.append(events.filter(F.col("event_type") == of) if of else events.filter("event_type not in ('opened', 'assigned')"))
+        if step == 1:
+            log.compact()
+    return cases.state(log.read())
+
+
+@query("case_timeline", "SELECT user_id * 10 + s AS event_id, (['opened', 'assigned', 'note', 'closed', 'reopened'])[s + 1] AS event_type FROM (SELECT user_id, unnest(range(user_id % 5 + 1)) AS s FROM people WHERE user_id = 3)")
 def case_timeline(spark, sf):
     return rounded(cases.timeline(_case_events(spark, sf), 3).select("event_id", "event_type"))
 
@@ -869,7 +976,7 @@ def gbt_leaderboard(spark, sf):
     near = neighbour_features(spark, sf).join(split, "account_id")
     return ml.leaderboard({
         "boosted trees": boosted, "boosted trees with neighbours": ml.boosted_scores(near.drop("label", "test"), split, names=ml.NAMES + tuple(f"near_{n}" for n in ml.NAMES)),
-        "isolation forest": raw(ml.isolation_scores(f)), "one-class boundary": raw(ml.one_class_scores(f)), "principal components": raw(ml.reconstruction_errors(f)),
+        "isolation forest": raw(ml.isolation_scores(f)), "one-class boundary": raw(ml.one_class_scores(f)), "principal components": raw(ml.reconstruction_errors(f)), "autoencoder": raw(ml.autoencoder_errors(f)),
     })
 
 
@@ -893,6 +1000,11 @@ def pca_reconstruction(spark, sf):
     return ml.reconstruction_errors(features.account_features(posted(spark, sf)))
 
 
+@query("autoencoder_errors")
+def autoencoder_errors(spark, sf):
+    return ml.autoencoder_errors(features.account_features(posted(spark, sf)))
+
+
 @query("isolation_scores")
 def isolation_scores(spark, sf):
     return ml.isolation_scores(features.account_features(posted(spark, sf)))
@@ -1042,11 +1154,6 @@ def inject_layering(spark, sf):
     return rounded(world.layering(own.select(F.concat(F.lit("L"), "c").alias("chain_id"), "account_ids")))
 
 
-@query("cast_week")
-def cast_week(spark, sf):
-    return world.post(world.life_events(world.cast(spark), 7))
-
-
 @query("assign_banks", _FOLK + f" SELECT account_id, {_num('account_id', '5')} % 4 AS bank FROM folk")
 def assign_banks(spark, sf):
     return rounded(world.assign_banks(_people(spark, sf)))
@@ -1086,16 +1193,31 @@ def entity_chains(spark, sf):
     return rounded(found.select(_listed("accounts").alias("accounts"), "hops"))
 
 
-@query("audit_log", """ SELECT TIMESTAMP '2024-01-01' AS ts, 'chains' AS tool, '{"min_amount":100.0}' AS params, 'ok' AS outcome, count(*) AS hits FROM edges WHERE amount >= 100
-UNION ALL SELECT TIMESTAMP '2024-01-02', 'screen', '{"name":"Farhan Ali","threshold":0.88}', 'ok', 1""")
+@query("audit_log", _PATHS + """ SELECT 'chains' AS tool, '{"min_amount":100.0}' AS params, 'ok' AS outcome, (SELECT count(*) FROM chains) AS hits
+UNION ALL SELECT 'account_rows', '{"account_id":"A3"}', 'ok', (SELECT count(*) FROM txn WHERE account_id = 'A3')
+UNION ALL SELECT 'account_rows', '{"account_id":"A3","since":"2024-01-15"}', 'ok', (SELECT count(*) FROM txn WHERE account_id = 'A3' AND ts >= TIMESTAMP '2024-01-15')
+UNION ALL SELECT 'account_rows', '{"account":"A3"}', 'error: TypeError', NULL""")
 def audit_log(spark, sf):
-    none = spark.createDataFrame([], "ts timestamp_ntz, tool string, params string, outcome string, hits int")
-    n = ledger.edges(spark, sf).filter("amount >= 100").count()
-    one = cases.audited(none, spark, datetime(2024, 1, 1), "chains", {"min_amount": 100.0}, "ok", n)
-    return rounded(cases.audited(one, spark, datetime(2024, 1, 2), "screen", {"threshold": 0.88, "name": "Farhan Ali"}, "ok", 1))
-
-
-@query("observed_conversion", """, s AS (SELECT user_id FROM people) SELECT count(*) FILTER (user_id % 5 = 3) AS closed, 0::BIGINT AS confirmed, CASE WHEN count(*) FILTER (user_id % 5 = 3) > 0 THEN 0.0::DOUBLE END AS conversion FROM s""")
+    """Calls of tools that read the tables, one of them wrong, as the log on files has them."""
+    log = published.Log(spark, shared_folder(spark), published.CALLS)
+    rows = txns(spark, sf)
+
+    def account_rows(account_id: str, since: str = "1970-01-01") -> DataFrame:
+        return rows.filter((F.col("account_id") == account_id) & (F.col("ts") >= F.lit(since).cast("timestamp_ntz")))
+
+    published.recorded(log, "chains", lambda min_amount: graph.find_chains(ledger.edges(spark, sf), min_amount=min_amount))(min_amount=100.0)
+    tool = published.recorded(log, "account_rows", account_rows)
+    tool(account_id="A3")
+    tool(account_id="A3", since="2024-01-15")
+    try:
+        tool(account="A3")
+    except TypeError:
+        log.compact()
+    return log.read().drop("ts")
+
+
+@query("observed_conversion", """, s AS (SELECT account_id IN (SELECT id FROM truth) AS good FROM people WHERE user_id % 5 = 3)
+SELECT count(*) AS closed, count(*) FILTER (good) AS confirmed, round(count(*) FILTER (good) / nullif(count(*), 0), 6) AS conversion FROM s""")
 def observed_conversion(spark, sf):
     return rounded(scoring.conversion(cases.state(_case_events(spark, sf))))
 
@@ -1107,13 +1229,14 @@ def review_hours(spark, sf):
     return rounded(scoring.review_hours(scoring.at_budgets(labelled(spark, sf))))
 
 
-@query("combined_comparison", _SIGNALS + f"""universe AS (SELECT account_id FROM people WHERE {_num("account_id", "7")} % 10 < 3), t AS (SELECT DISTINCT id FROM truth WHERE id IN (FROM universe)),
+@query("combined_comparison", _SIGNALS + f"""l AS (SELECT account_id, CAST(account_id IN (SELECT id FROM truth) AS BIGINT) AS label FROM people),
+universe AS (SELECT account_id FROM (SELECT account_id, row_number() OVER (PARTITION BY label ORDER BY {_num("account_id", "42")}) <= floor(count(*) OVER (PARTITION BY label) * 0.3::DOUBLE) AS test FROM l) WHERE test), t AS (SELECT DISTINCT id FROM truth WHERE id IN (FROM universe)),
 ranked AS (SELECT source, account_id, contribution AS score FROM strongest UNION ALL SELECT 'combined', account_id, round(sum({_WEIGHT} * contribution) * 100, 2) FROM strongest GROUP BY 2),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, account_id) AS place FROM ranked WHERE account_id IN (FROM universe))
 SELECT source, b AS budget, count(*) AS reviewed, count(*) FILTER (account_id IN (FROM t)) AS hits, round(count(*) FILTER (account_id IN (FROM t)) / count(*), 6) AS precision,
   round(count(*) FILTER (account_id IN (FROM t)) / (SELECT count(*) FROM t), 6) AS recall FROM placed, (SELECT unnest([10, 25, 50])::BIGINT AS b) WHERE place <= b GROUP BY 1, 2""")
 def combined_comparison(spark, sf):
-    universe = txns(spark, sf).select("account_id").distinct().filter(world.number(F.col("account_id"), 7) % 10 < 3)
+    universe = ml.stratified_split(_labelled_accounts(spark, sf)).filter("test").select("account_id")
     return rounded(scoring.combined_comparison(signals(spark, sf), scores(spark, sf), truth(spark, sf), universe))
 
 
