@@ -117,3 +117,17 @@ def test_calls_are_recorded_with_their_outcome(spark, tmp_path):
         (at, "evens", '{"below":10}', "ok", 5), (at, "evens", '{"below":10,"step":3}', "ok", 4), (at, "evens", '{"unknown":1}', "error: TypeError", None),
         (at, "bad", "{}", "error: query failed", None),
     ], key=str)
+
+
+def test_a_ledger_is_opened_by_path_or_environment(spark, tmp_path, sf_dir, monkeypatch):
+    from tracewell.sources import ledger
+
+    bank = ledger.from_driver(spark, sf_dir)
+    ledger.append(bank.transactions, str(tmp_path), "transactions")
+    opened = ledger.open_ledger(spark, str(tmp_path))
+    assert opened.transactions.count() == bank.transactions.count() and opened.accounts.count() == 0
+    monkeypatch.delenv(ledger.FOLDER, raising=False)
+    with pytest.raises(ValueError):
+        ledger.open_ledger(spark)
+    monkeypatch.setenv(ledger.FOLDER, str(tmp_path))
+    assert ledger.open_ledger(spark).transactions.schema == opened.transactions.schema

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .risk import MIN_CASE_SCORE
@@ -76,15 +76,38 @@ def snapshot(signals: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def entity_360(txns: DataFrame, chains: DataFrame, cases: DataFrame, account_id: str, last: int = 20) -> dict[str, DataFrame]:
-    """Totals, last rows, chains and live cases of one account."""
+def entity_360(
+    txns: DataFrame, chains: DataFrame, cases: DataFrame, account_id: str, last: int = 20,
+    accounts: DataFrame | None = None, customers: DataFrame | None = None, media: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """One account's totals, last rows, chains and live cases; with ``accounts`` and ``customers`` also its holder's profile, and
+    with ``media`` (article_id, customer_id, category, headline, score) the articles that name the holder."""
     own = txns.filter(F.col("account_id") == account_id)
-    return {
+    out = {
         "totals": account_summary(own),
         "transactions": own.orderBy(F.desc("ts"), F.desc("txn_id")).limit(last),
         "chains": chains.filter(F.array_contains(F.col("accounts").cast("array<string>"), account_id)),
-        "cases": cases.filter((F.col("account_id") == account_id) & (F.col("status") != "closed")),
+        "cases": cases.filter((F.col("account_id") == account_id) & F.col("status").isin("open", "in_review")).orderBy("case_id"),
     }
+    if accounts is not None:
+        holder = accounts.filter(F.col("account_id") == account_id)
+        if customers is not None:
+            out["profile"] = holder.join(customers.drop("account_id"), "customer_id")
+        if media is not None:
+            out["media"] = media.join(holder.select("customer_id"), "customer_id").orderBy(F.desc("score"), "article_id")
+    return out
+
+
+def told_at(ts: str) -> Column:
+    """A moment as narratives write it: day, month's short name, year, hours and minutes."""
+    return F.date_format(ts, "dd MMM yyyy HH:mm")
+
+
+def narrative_rows(txns: DataFrame, account_id: str, n: int = 10) -> DataFrame:
+    """``place``, ``at``, ``line`` of an account's largest rows, as a report lists them."""
+    top = top_values(txns.filter(F.col("account_id") == account_id), n)
+    line = F.concat(F.col("direction"), F.lit(" "), F.format_number(F.col("amount").cast("double"), 2), F.lit(" by "), F.col("channel"), F.coalesce(F.concat(F.lit(", "), F.col("counterparty_name")), F.lit("")))
+    return top.select("place", told_at("ts").alias("at"), line.alias("line"))
 
 
 def account_summary(txns: DataFrame) -> DataFrame:

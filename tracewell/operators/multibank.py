@@ -80,3 +80,21 @@ def outcomes(chains: DataFrame, solo: DataFrame, recovered: DataFrame, bank: Cal
     counted = met.groupBy("plant").agg(F.count("*").alias("hops"), F.count_if(bank(F.col("a")) == bank(F.col("b"))).alias("same_bank"), F.count("met").alias("coop"))
     planted = chains.select("plant", F.posexplode("accounts").alias("position", "account"))
     return counted.join(hops_seen(planted, solo), "plant", "left").select("plant", "hops", "same_bank", F.coalesce("best", F.lit(0)).alias("solo_best"), "coop")
+
+
+def chain_report(chains: DataFrame, flagged: DataFrame, bank: Callable[[Column], Column]) -> DataFrame:
+    """For each chain (plant, accounts): how many ``accounts`` and ``banks`` it has, how many of its accounts their own bank
+    flagged (``flagged``: account), and the ``longest_run`` of accounts that follow each other in one bank."""
+    own = chains.select("plant", F.posexplode("accounts").alias("position", "account")).withColumn("bank", bank(F.col("account")))
+    met = own.join(flagged.select("account").distinct().withColumn("met", F.lit(1)), "account", "left")
+    counts = met.groupBy("plant").agg(F.count("*").alias("accounts"), F.count_distinct("bank").alias("banks"), F.count("met").alias("locally_flagged"))
+    runs = same_bank_runs(own.withColumnRenamed("plant", "chain"), 1).groupBy("chain").agg(F.max("hops").alias("longest_run"))
+    return counts.join(runs.withColumnRenamed("chain", "plant"), "plant")
+
+
+def privacy_notes(prints: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row: fingerprints ``published``, ``banks`` that did, links that need both sides (``crossing``) and those
+    ``lost`` as one side alone flagged its account."""
+    shared = prints.agg(F.count("*").alias("published"), F.count_distinct("bank").alias("banks"))
+    crossing = F.sum(F.col("hops") - F.col("same_bank"))
+    return shared.crossJoin(outcomes.agg(crossing.alias("crossing"), (crossing - F.sum("coop")).alias("lost")))  # one row each

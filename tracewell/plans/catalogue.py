@@ -953,6 +953,22 @@ def bank_measure(spark, sf):
     return rounded(o.agg(F.count("*").alias("chains"), F.sum("hops").alias("pooled"), F.sum("same_bank").alias("same_bank"), F.sum("solo_best").alias("solo"), F.sum("coop").alias("coop")))
 
 
+@query("chain_report", _OUTCOMES + """, placed AS (SELECT array_to_string(txns, '-') AS plant, i AS position, accounts[i] AS account, accounts[i] % 4 AS bank FROM chains, range(1, 60) r(i) WHERE i <= len(accounts)),
+islands AS (SELECT *, position - row_number() OVER (PARTITION BY plant, bank ORDER BY position) AS island FROM placed),
+longest AS (SELECT plant, max(n) AS longest_run FROM (SELECT plant, bank, island, count(*) AS n FROM islands GROUP BY ALL) GROUP BY 1)
+SELECT plant, count(*) AS accounts, count(DISTINCT bank) AS banks, count(*) FILTER (account IN (FROM suspects)) AS locally_flagged, any_value(longest_run) AS longest_run FROM placed JOIN longest USING (plant) GROUP BY plant""")
+def chain_report(spark, sf):
+    own = chains(spark, sf).withColumn("plant", F.array_join(F.col("txns").cast("array<string>"), "-"))
+    return rounded(multibank.chain_report(own, suspects(spark, sf), lambda account: account % 4))
+
+
+@query("privacy_notes", _BANKS + _OUTCOMES + """SELECT (SELECT count(*) FROM legs WHERE account IN (FROM suspects)) AS published, (SELECT count(DISTINCT bank) FROM legs WHERE account IN (FROM suspects)) AS banks,
+  sum(hops - same_bank)::BIGINT AS crossing, (sum(hops - same_bank) - sum(coop))::BIGINT AS lost FROM outcomes""")
+def privacy_notes(spark, sf):
+    prints = multibank.fingerprints(banked(spark, sf), suspects(spark, sf), multibank.keyed_token(SECRET))
+    return rounded(multibank.privacy_notes(prints, bank_outcomes(spark, sf)))
+
+
 # --- models ----------------------------------------------------------------------------------
 
 def _labelled_accounts(spark, sf) -> DataFrame:
@@ -1193,6 +1209,34 @@ def entity_chains(spark, sf):
     return rounded(found.select(_listed("accounts").alias("accounts"), "hops"))
 
 
+def _entity(spark, sf, account_id: str) -> dict[str, DataFrame]:
+    accounts, people = holders(spark, sf)
+    none = spark.createDataFrame([], "accounts array<string>")
+    return cases.entity_360(txns(spark, sf), none, _case_states(spark, sf), account_id, accounts=accounts, customers=people, media=screening.screen_media(articles(spark, sf), people))
+
+
+@query("entity_profile", _HOLDERS + " SELECT 'A6' AS account_id, concat('C', id) AS customer_id, full_name, segment, city FROM folk WHERE id = 3")
+def entity_profile(spark, sf):
+    return _entity(spark, sf, "A6")["profile"].select("account_id", "customer_id", "full_name", "segment", "city")
+
+
+@query("entity_cases", " SELECT user_id AS case_id, CASE WHEN user_id % 5 = 0 THEN 'open' ELSE 'in_review' END AS status FROM people WHERE account_id = 'A6' AND user_id % 5 <> 3")
+def entity_cases(spark, sf):
+    return rounded(_entity(spark, sf, "A6")["cases"].select("case_id", "status"))
+
+
+@query("entity_media", _EVIDENCE + ", held AS (SELECT user_id // 2 AS id FROM people WHERE account_id = 'A6') SELECT count(*) AS articles, count(DISTINCT headline) AS headlines, max(score) AS best FROM told a JOIN m_pairs p ON p.name = a.mentioned_name JOIN folk f ON f.full_name = p.other JOIN held USING (id) WHERE category <> 'none'")
+def entity_media(spark, sf):
+    named = _entity(spark, sf, "A6")["media"]
+    return rounded(named.agg(F.count("*").alias("articles"), F.count_distinct("headline").alias("headlines"), F.max("score").alias("best")))
+
+
+@query("narrative_rows", """ SELECT row_number() OVER (ORDER BY amount DESC, ts, txn_id) AS place, strftime(ts, '%d %b %Y %H:%M') AS at, concat(direction, ' ', format('{:,.2f}', amount::DOUBLE), ' by ', channel, ', ', cp) AS line
+FROM txn WHERE account_id = 'A3' QUALIFY place <= 10""")
+def narrative_rows(spark, sf):
+    return rounded(cases.narrative_rows(txns(spark, sf), "A3"))
+
+
 @query("audit_log", _PATHS + """ SELECT 'chains' AS tool, '{"min_amount":100.0}' AS params, 'ok' AS outcome, (SELECT count(*) FROM chains) AS hits
 UNION ALL SELECT 'account_rows', '{"account_id":"A3"}', 'ok', (SELECT count(*) FROM txn WHERE account_id = 'A3')
 UNION ALL SELECT 'account_rows', '{"account_id":"A3","since":"2024-01-15"}', 'ok', (SELECT count(*) FROM txn WHERE account_id = 'A3' AND ts >= TIMESTAMP '2024-01-15')
@@ -1273,5 +1317,5 @@ def reloaded_ledger(spark, sf):
     rows, folder = posted(spark, sf), shared_folder(spark)
     for part in (0, 1):
         ledger.append(rows.filter(F.col("txn_id") % 2 == part), folder, "transactions")
-    again = spark.read.schema(ledger.SCHEMAS["transactions"]).parquet(f"{folder}/transactions")
+    again = ledger.open_ledger(spark, folder).transactions
     return rounded(again.groupBy("account_id").agg(F.count("*").alias("n"), F.sum("amount").alias("total")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, replace
 from datetime import datetime
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ranges import running_total
+from ..plans.ranges import path_exists, running_total
 
 # The domains of the ledger's columns.
 CHANNELS = ("UPI", "NEFT", "IMPS", "RTGS", "NACH", "ATM", "POS", "CASH", "CHQ", "INT")
@@ -61,9 +62,19 @@ class Ledger:
         return replace(self, transactions=self.transactions.filter(F.col("ts") < moment))
 
 
-def open_ledger(spark: SparkSession, path: str) -> Ledger:
-    """A ledger kept as one Parquet table each, read with its declared schema."""
-    return Ledger(*(spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in ("transactions", "accounts", "customers")))
+#: The environment's variable that names a ledger's folder.
+FOLDER = "TRACEWELL_LEDGER"
+
+
+def open_ledger(spark: SparkSession, path: str | None = None) -> Ledger:
+    """A ledger kept as one Parquet table each, read with its declared schema, from a folder or else from the
+    one that the environment names. Tables that nothing was appended to are empty."""
+    folder = path or os.environ.get(FOLDER)
+    if not folder:
+        raise ValueError(f"no folder given, and {FOLDER} is not set")
+    held = lambda t: f"{folder.rstrip('/')}/{t}"
+    tables = ("transactions", "accounts", "customers")
+    return Ledger(*(spark.read.schema(SCHEMAS[t]).parquet(held(t)) if path_exists(spark, held(t)) else spark.createDataFrame([], SCHEMAS[t]) for t in tables))
 
 
 def append(rows: DataFrame, path: str, table: str) -> None:
