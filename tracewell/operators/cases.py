@@ -87,7 +87,7 @@ def entity_360(
         "totals": account_summary(own),
         "transactions": own.orderBy(F.desc("ts"), F.desc("txn_id")).limit(last),
         "chains": chains.filter(F.array_contains(F.col("accounts").cast("array<string>"), account_id)),
-        "cases": cases.filter((F.col("account_id") == account_id) & F.col("status").isin("open", "in_review")).orderBy("case_id"),
+        "cases": cases.filter((F.col("account_id") == account_id) & F.col("status").isin("open", "in_review")),
     }
     if accounts is not None:
         holder = accounts.filter(F.col("account_id") == account_id)
