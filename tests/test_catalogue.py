@@ -13,7 +13,7 @@ ROOT = Path(__file__).resolve().parents[1]
 SAMPLE = (
     "run_all_rules", "running_balance", "account_features", "paired_transfers", "chains_maximal", "jaro_winkler_pairs", "normalise_names", "risk_scores", "case_state_fold",
     "precision_recall", "roc_auc", "moved_before_alert", "first_fired_chain", "cross_bank_edges", "same_bank_runs", "sequence_last_32", "screen_watchlist", "media_matches", "chain_outcomes",
-    "stratified_split", "posted_world", "inject_layering", "inject_dormant", "combined_comparison", "audit_log", "reloaded_ledger", "media_experiment", "case_log_state", "bucket_update", "observed_conversion", "screen_name", "true_minimum", "dormancy_burst", "gap_hours", "rapid_credit_ratio",
+    "stratified_split", "posted_world", "inject_layering", "inject_dormant", "combined_comparison", "audit_log", "reloaded_ledger", "media_experiment", "case_log_state", "bucket_update", "observed_conversion", "screen_name", "true_minimum", "dormancy_burst", "gap_hours", "rapid_credit_ratio", "chain_report", "privacy_notes", "entity_profile", "narrative_rows", "statement_rows",
 )
 
 

@@ -18,6 +18,7 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)

@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,8 +209,8 @@ def safe_debit_ceiling(txns: DataFrame, share: float = 0.6) -> DataFrame:
 
 def statement(txns: DataFrame, account_id: str) -> DataFrame:
     """One account's rows in order, with debit and credit columns."""
-    own = txns.filter(F.col("account_id") == account_id)
+    own = running_total(txns.filter(F.col("account_id") == account_id), "account_id", "ts", "txn_id", F.lit(1), "line")
     return own.select(
-        F.row_number().over(Window.orderBy("ts", "txn_id")).alias("line"), "ts", "narration",
+        F.col("line").cast("int").alias("line"), "ts", "narration",
         F.when(F.col("direction") == "DR", F.col("amount")).alias("debit"), F.when(F.col("direction") == "CR", F.col("amount")).alias("credit"), "balance_after",
     )
