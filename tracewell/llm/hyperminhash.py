@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from . import common, set_links
 from .set_links import OF, SHARED
 
@@ -112,7 +113,7 @@ def sketches(numbered: DataFrame) -> DataFrame:
     return numbered.select("row", "doc_id", "text").mapInArrow(partial(_sketched, names=schema.names), schema)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, bool]]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, np.ndarray, bool]]:
     """Columns of rows sorted by key, where their runs begin (and end), and whether the first run is a long one's
     next rows, after its first."""
     rest, goes_on = None, False
@@ -128,29 +129,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray,
             yield columns, at, goes_on
             goes_on = False
         rest = [c[at[-1] :] for c in columns]
-        if goes_on or len(rest[0]) > MOST_OF_A_KEY:
+        if goes_on or len(rest[0]) > most:
             yield rest, np.array([0, len(rest[0])]), True
             rest, goes_on = [c[:1] for c in rest], True
     if rest is not None:
         yield rest, np.array([0, len(rest[0])]), goes_on
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows of the keys that two or more have, under a hash of these rows, as many keys have the same."""
-    for columns, at, goes_on in _runs(batches):
+    for columns, at, goes_on in _runs(batches, most):
         row, keys, rows, long_ = columns[1], [], [], []
         for k, (start, n) in enumerate(zip(at[:-1].tolist(), np.diff(at).tolist())):
             if n > 1:
-                tied = n > MOST_OF_A_KEY or goes_on and k == 0
+                tied = n > most or goes_on and k == 0
                 keys += [xxhash.xxh64_intdigest(row[start : start + n].tobytes()) >> 1 if not tied else int(row[start])] * n
                 rows += row[start : start + n].tolist()
                 long_ += [tied] * n
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(long_, pa.bool_())], names=["key", "row", "tied"])
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _estimated(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Links of rows sorted by key whose estimates are high enough: a spanning tree for each class of a key."""
-    for columns, at, _ in _runs(batches):
+    for columns, at, _ in _runs(batches, most):
         row, size, sketch = columns[1:]
         a, b = [], []
         for start, n in zip(at[:-1].tolist(), np.diff(at).tolist()):
@@ -172,26 +173,61 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _heads(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The least row of each heavy key among a task's sets."""
+    least = np.full(len(heavy), np.iinfo(np.int64).max)
+    for batch in batches:
+        keys, row = _flat(batch)
+        at, met = _found(heavy, keys)
+        np.minimum.at(least, at[met], row[met])
+    seen = least < np.iinfo(np.int64).max
+    yield pa.RecordBatch.from_arrays([pa.array(heavy[seen]), pa.array(least[seen])], names=["key", "row"])
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    keys = batch.column("keys")
+    return keys.flatten().to_numpy(), np.repeat(batch.column("row").to_numpy(), keys.value_lengths().to_numpy())
+
+
+def _found(heavy: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys among the sorted heavy ones, and whether they are there."""
+    if not len(heavy):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
+    return at, heavy[at] == keys
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each set's light keys, and its ties to the heads of its heavy keys, each head once."""
+    for batch in batches:
+        keys, row = _flat(batch)
+        at, met = _found(heavy, keys)
+        ties = np.unique(np.stack([heads[at[met]], row[met]]), axis=1) if met.any() else np.zeros((2, 0), np.int64)
+        key, own = np.concatenate([keys[~met], ties[0]]), np.concatenate([row[~met], ties[1]])
+        tied = np.repeat([False, True], [int((~met).sum()), ties.shape[1]])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(tied)], names=["key", "row", "tied"])
+
+
 def candidates(kinds: DataFrame) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` of rows of ``row``, ``size``, ``sketch``, ``keys`` whose classes hold all that are similar
     enough, and ``check``, whether the pair itself is to be verified first."""
-    index = kinds.select(F.explode("keys").alias("key"), "row")
     every = max(1, kinds.count() // COUNTED)
     sample = kinds.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
     of_sample = sample.count()
     # Each set has 48 keys, so at most 48 times HEAVY_ONE_IN are heavy.
     heavy = sample.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    heavy = common.cut(heavy.filter((F.col("n") > 2) & (F.col("n") * HEAVY_ONE_IN > F.lit(of_sample))).select("key"))
-    light = index.join(F.broadcast(heavy), "key", "left_anti")
-    met = common.cut(light.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_gather, "key long, row long, tied boolean").distinct())
+    heavy = heavy.filter((F.col("n") > 2) & (F.col("n") * HEAVY_ONE_IN > F.lit(of_sample))).select("key").orderBy("key").toArrow()
+    heavy = heavy.column("key").to_numpy()
+    heads = kinds.select("row", "keys").mapInArrow(partial(_heads, heavy=heavy), "key long, row long").groupBy("key").agg(F.min("row").alias("row"))
+    heads = heads.orderBy("key").toArrow().column("row").to_numpy()  # one for each heavy key
+    index = kinds.select("row", "keys").mapInArrow(partial(_indexed, heavy=heavy, heads=heads), "key long, row long, tied boolean")
+    light = index.filter("not tied").select("key", "row")
+    met = common.cut(light.repartition("key").sortWithinPartitions("key", "row").mapInArrow(partial(_gather, most=MOST_OF_A_KEY), "key long, row long, tied boolean").distinct())
     near = met.filter("not tied").join(kinds.select("row", "size", "sketch"), "row").select("key", "row", "size", "sketch")
-    near = near.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_estimated, "a long, b long")
+    near = near.repartition("key").sortWithinPartitions("key", "row").mapInArrow(partial(_estimated, most=MOST_OF_A_KEY), "a long, b long")
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).withColumn("check", F.lit(True))
-    of_heavy = index.join(F.broadcast(heavy), "key")
-    heads = of_heavy.groupBy("key").agg(F.min("row").alias("a"))
-    stars = of_heavy.join(F.broadcast(heads), "key").select("a", F.col("row").alias("b")).unionByName(met.filter("tied").select(F.col("key").alias("a"), F.col("row").alias("b")))
+    stars = index.filter("tied").unionByName(met.filter("tied")).select(F.col("key").alias("a"), F.col("row").alias("b")).filter("a < b").distinct()
     # Of a row's ties to heads only the first is verified at once.
-    stars = stars.filter("a < b").distinct()
     first = stars.groupBy("b").agg(F.min("a").alias("first"))
     stars = stars.join(first, "b").select("a", "b", (F.col("a") == F.col("first")).alias("check"))
     return near.unionByName(stars).groupBy("a", "b").agg(F.max("check").alias("check"))
@@ -201,11 +237,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links) and ``kept`` for each row.
 
     docs must be read from files or a checkpoint, so that its rows are numbered alike when read again."""
+    ship(docs.sparkSession)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     rows = common.cut(sketches(numbered))
     some = rows.filter("size > 0")
-    kinds = common.cut(some.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    held = common.cut(rows.select("row", "size", "sketch", "keys").join(kinds.select("row"), "row", "left_semi"))
+    # Equal words have equal sketches, so any of them will do.
+    same = some.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "sketch", "keys")))
+    same = common.cut(same)
+    kinds, held = same.select("same", "row", "least", "n"), same.select("row", "size", "sketch", "keys")
     groups = common.cut(set_links.settled(candidates(held), numbered.select("row", "text"), WIDTH))
     linked = kinds.join(groups.withColumnRenamed("node", "row"), "row").select("row", "root", "least")
     reached = linked.groupBy("root").agg(F.min("least").alias("reached"), F.count("*").alias("members"))

@@ -1,14 +1,14 @@
 """Exact links between texts whose sets of word shingles have a Jaccard index of at least SHARED / OF.
 
 ``settled`` takes pairs of rows from any candidate search whose connected classes hold all links, a spanning
-tree for each class being enough. The pairs are verified on the whole sets. A class that its verified pairs tie
-together needs nothing more, however large. In any other class each pair of rows of different parts may still be a
-link; ``possible`` finds those by prefix filtering in the class: shingles are ordered by their exact count in the
-class, rarest first, and for sets y and x, y no larger, the first shingle that they share is among the first
-|y| / 9 + 1 of y and |x| / 5 + 1 of x. A shingle that no y has so early gives no pairs, so rows of one
-template, which are alike in common shingles only, do not meet. The rows of a shingle are compared in blocks of
-BLOCK, by sizes, positions and parities, without their texts. One pair for each two parts, that of the nearest
-parities, is verified first; then those that are still of different parts.
+tree for each class being enough. The sets of rows that are in a class are written once, as sorted hashes, and the pairs
+verified on them. A class that its verified pairs tie together needs nothing more, however large. In any other class
+each pair of rows of different parts may still be a link; ``possible`` finds those by prefix filtering: shingles are
+ordered by their count in about COUNTED of these sets, rarest first, and for sets y and x, y no larger, the first
+shingle that they share is among the first |y| / 9 + 1 of y and |x| / 5 + 1 of x, in any common order. A shingle that no
+y has so early gives no pairs, so rows of one template, which are alike in common shingles only, do not meet. The rows
+of a shingle are compared in blocks of BLOCK, by sizes, positions and parities. One pair for each two parts, that
+of the nearest parities, is verified first; then those that are still of different parts.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .components import connected_components
 SHARED, OF = 4, 5
 #: Rows of a block.
 BLOCK = 2000
+#: Sets, about, whose shingles are counted for their order, and most shingles with counts.
+COUNTED, COMMON = 10_000, 100_000
 #: Parts in which the pairs of one document are dealt out for verification.
 PARTS_OF_A_HUB = 4096
 
@@ -60,51 +62,78 @@ def halves(bits: np.ndarray) -> tuple[int, int]:
     return low, high
 
 
-def _check(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with both texts, and whether they are similar enough. Pairs come sorted by their first."""
-    last, one = None, set()
-    for batch in common.steps(batches, "text_b"):
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        good = []
-        for x, s, t in zip(a, common.texts_of(batch, "text_a"), common.texts_of(batch, "text_b"), strict=True):
-            if x != last:
-                last, one = x, shingles(s.lower().split(), width)
-            good.append(similar(one, shingles(t.lower().split(), width)))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Each row's shingles as sorted hashes."""
+    for batch in common.steps(batches):
+        found = (shingles(t.lower().split(), width) for t in common.texts_of(batch))
+        own = [np.sort(np.fromiter(s, np.uint64, len(s))).tobytes() for s in found]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(own, pa.binary())], names=["row", "own"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``a``, ``b``, ``good`` of distinct pairs of rows of texts. Each pair is verified where it is sorted to;
-    a text is split once for a task's pairs of it, and a row of very many pairs has several tasks."""
-    whole = pairs.select("a", "b").join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-    dealt = F.pmod(F.xxhash64("b"), F.lit(PARTS_OF_A_HUB))
-    whole = whole.withColumn("deal", dealt).repartition("a", "deal")
-    heads = pairs.select("a", dealt.alias("deal")).distinct().join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-    met = whole.join(heads, ["a", "deal"]).select("a", "b", "text_a", "text_b").sortWithinPartitions("a", "b")
-    return met.mapInArrow(partial(_check, width=width), "a long, b long, good boolean")
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both sets, and whether they are similar enough."""
+    for batch in common.steps(batches, "own_b"):
+        good = []
+        for s, t in zip(batch.column("own_a").to_pylist(), batch.column("own_b").to_pylist(), strict=True):
+            one, two = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            few, many = (one, two) if len(one) < len(two) else (two, one)
+            at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+            both = int((many[at] == few).sum())
+            good.append(OF * both >= SHARED * (len(one) + len(two) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
 
-def _exploded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each text, with the columns root and row."""
-    for batch in common.steps(batches):
-        found = [shingles(t.lower().split(), width) for t in common.texts_of(batch)]
-        size = [len(s) for s in found]
-        at = pa.array(np.repeat(np.arange(len(size)), size))
-        flat = np.fromiter((x for s in found for x in s), np.uint64, sum(size)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("root").take(at), batch.column("row").take(at), pa.array(flat)], names=["root", "row", "shingle"])
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``good`` of distinct pairs of rows of sets (``row``, ``own``). A row of very many pairs
+    sends its set once to each of the parts that they are dealt out in."""
+    dealt = F.pmod(F.xxhash64("b"), F.lit(PARTS_OF_A_HUB)).alias("deal")
+    ends = pairs.select("a", "b", dealt)
+    whole = ends.join(sets.select(F.col("row").alias("b"), F.col("own").alias("own_b")), "b")
+    heads = ends.select("a", "deal").distinct().join(sets.select(F.col("row").alias("a"), F.col("own").alias("own_a")), "a")
+    return whole.join(heads, ["a", "deal"]).select("a", "b", "own_a", "own_b").mapInArrow(_check, "a long, b long, good boolean")
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows of sets, their shingles listed rarest first. Shingles of one set only are left out."""
-    names = ["root", "key", "row", "part", "size", "pos", "low", "high"]
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        for root, row, part, own in zip(*(batch.column(c).to_pylist() for c in ("root", "row", "part", "own")), strict=True):
-            keys = np.array([x["shingle"] for x in own], np.int64)
-            low, high = halves(parities(keys.view(np.uint64)))
-            out += [(root, x["shingle"], row, part, len(own), pos, low, high) for pos, x in enumerate(own[: len(own) // OF + 1]) if x["n"] > 1]
-        columns = zip(*out) if out else ((),) * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        flat = np.frombuffer(b"".join(batch.column("own").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["shingle"])
+
+
+def ordered(own: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's shingles, rarest first, and their counts; those that are not known come first, by hash."""
+    n = np.zeros(len(own), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        n = np.where(known[at] == own, counts[at], 0)
+    order = np.lexsort((own, n))
+    return own[order], n[order]
+
+
+def common_shingles(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of ``shingle``: those that repeat, sorted, and their counts."""
+    counts = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingle, n = (top.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(shingle.view(np.uint64))
+    return shingle.view(np.uint64)[order], n[order]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], known: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Index rows of sets: their rarest shingles, as many as the larger of a pair needs."""
+    names = ["key", "row", "part", "size", "pos", "low", "high"]
+    for batch in common.steps(batches, "own"):
+        at, rows = [], []
+        for k, data in enumerate(batch.column("own").to_pylist()):
+            own = np.frombuffer(data, np.uint64)
+            low, high = halves(parities(own))
+            n = len(own) // OF + 1
+            keys = ordered(own, known, counts)[0][:n].view(np.int64)
+            at += [k] * len(keys)
+            rows.append(np.stack([keys, np.full(len(keys), len(own)), np.arange(len(keys)), np.full(len(keys), low), np.full(len(keys), high)]))
+        key, size, pos, low, high = np.concatenate(rows, axis=1) if rows else np.zeros((5, 0), np.int64)
+        of = {c: batch.column(c).take(pa.array(at, pa.int64())) for c in ("row", "part")}
+        of |= {c: pa.array(np.ascontiguousarray(x)) for c, x in zip(("key", "size", "pos", "low", "high"), (key, size, pos, low, high), strict=True)}
+        yield pa.RecordBatch.from_arrays([of[c] for c in names], names=names)
 
 
 def _block(own: list[np.ndarray]) -> list[np.ndarray]:
@@ -127,11 +156,11 @@ def _block(own: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of rows sorted by root, key and blocks."""
+    """Possible pairs of rows sorted by key and blocks."""
     names = ["a", "b", "part_a", "part_b", "differ"]
 
     def pairs(columns: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-        own = columns[4:8] + [c.view(np.uint64) for c in columns[8:10]] + columns[10:11]
+        own = columns[3:7] + [c.view(np.uint64) for c in columns[7:9]] + columns[9:10]
         found = [p for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()) if e > s + 1 for p in _block([c[s:e] for c in own])]
         whole = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in whole], names=names)
@@ -144,7 +173,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(columns[0]):
             continue
         new = np.zeros(len(columns[0]), bool)
-        for c in columns[:4]:
+        for c in columns[:3]:
             new[1:] |= c[1:] != c[:-1]
         starts = np.append(0, np.flatnonzero(new))
         if len(starts) > 1:
@@ -154,23 +183,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rest, np.array([0, len(rest[0])]))
 
 
-def possible(parts: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of rows of one ``root`` and different ``part`` that can be links, with ``part_a``, ``part_b``, and ``differ``."""
-    long_rows = parts.join(texts, "row").select("root", "row", "text").mapInArrow(partial(_exploded, width=width), "root long, row long, shingle long")
-    counts = common.cut(long_rows.groupBy("root", "shingle").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    known = common.lookup(long_rows, counts, ["root", "shingle"], ["n"], "n", total, ["row"])
-    sets = known.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
-    index = sets.join(parts, "row").select("root", "row", "part", "own")
-    index = common.cut(index.mapInArrow(_prefixes, "root long, key long, row long, part long, size long, pos long, low long, high long"))
+def possible(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of rows of different ``part`` that can be links, with ``part_a``, ``part_b``, and ``differ``."""
+    every = max(1, parts.count() // COUNTED)
+    held = parts.join(sets, "row")
+    known, counts = common_shingles(held.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("own").mapInArrow(_listed, "shingle long"))
+    schema = "key long, row long, part long, size long, pos long, low long, high long"
+    index = common.cut(held.select("row", "part", "own").mapInArrow(partial(_prefixes, known=known, counts=counts), schema))
     early = F.max((9 * F.col("pos") <= F.col("size")).cast("int"))
-    keys = index.groupBy("root", "key").agg(F.count("*").alias("n"), early.alias("early"), F.min("part").alias("least"), F.max("part").alias("most"))
+    keys = index.groupBy("key").agg(F.count("*").alias("n"), early.alias("early"), F.min("part").alias("least"), F.max("part").alias("most"))
     keys = keys.filter("early = 1 and least < most").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    met = common.lookup(index, keys.select("root", "key", "n", "blocks"), ["root", "key"], ["blocks"], "n", index.count(), ["row"]).filter("blocks is not null")
+    met = common.lookup(index, keys.select("key", "n", "blocks"), ["key"], ["blocks"], "n", index.count(), ["row"]).filter("blocks is not null")
     met = met.withColumn("block", F.pmod(F.xxhash64("row"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = ["row", "part", "size", "pos", "low", "high", "block"]
-    met = met.select("root", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *columns)
-    place = ["root", "key", "lo", "hi"]
+    met = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *columns)
+    place = ["key", "lo", "hi"]
     found = met.repartition(*place).sortWithinPartitions(*place).mapInArrow(_meet, "a long, b long, part_a long, part_b long, differ long")
     least, most = (F.least, F.greatest)
     found = found.select(least("a", "b").alias("a"), most("a", "b").alias("b"), least("part_a", "part_b").alias("part_a"), most("part_a", "part_b").alias("part_b"), "differ")
@@ -183,22 +210,32 @@ def settled(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     pairs: distinct ``a`` and ``b`` whose connected classes hold all links, and ``check``, whether to verify the pair
     at once; others hold a class together only. texts: ``row`` and ``text``, read alike each time."""
     pairs = common.cut(pairs)
-    label = common.cut(connected_components(pairs))
-    checked = common.cut(verified(pairs.filter("check"), texts, width))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row"))
+    sets = texts.join(ends, "row", "left_semi").select("row", "text")
+    sets = common.cut(sets.mapInArrow(partial(_sets, width=width), "row long, own binary"))
+    checked = common.cut(verified(pairs.filter("check"), sets))
     tied = checked.filter("good").select("a", "b")
     part = common.cut(connected_components(tied))
-    placed = label.join(part.withColumnRenamed("root", "part"), "node", "left")
-    placed = common.cut(placed.select("root", F.col("node").alias("row"), F.coalesce("part", "node").alias("part")))
-    # Two rows whose only pair was verified are settled.
-    both = checked.join(label.withColumnRenamed("node", "a"), "a").select("root").distinct().withColumn("seen", F.lit(True))
-    torn = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"))
-    torn = common.cut(torn.filter("least < most").join(both, "root", "left").filter("n > 2 or seen is null").select("root"))
+    # Pairs that are not links hold classes together: a class has several parts where one of them joins two.
+    held = pairs.join(checked.filter("good"), ["a", "b"], "left_anti").select("a", "b", "check")
+    for end in ("a", "b"):
+        held = held.join(part.select(F.col("node").alias(end), F.col("root").alias(f"part_{end}")), end, "left")
+    held = held.select(F.coalesce("part_a", "a").alias("one"), F.coalesce("part_b", "b").alias("two"), "check", (F.col("part_a").isNull() & F.col("part_b").isNull()).alias("alone"))
+    held = common.cut(held.filter("one <> two"))
+    other = held.select(F.col("two").alias("one"), F.col("one").alias("two"), "check", "alone")
+    parts = held.unionByName(other).groupBy("one").agg(F.min("two").alias("least"), F.max("two").alias("most"), F.min("alone").alias("alone"), F.min("check").alias("check"))
+    # Two rows that only their own verified pair joins are settled.
+    mutual = parts.select(F.col("one").alias("least"), (F.col("least") == F.col("most")).alias("only"))
+    torn = parts.join(mutual, "least").filter("not (alone and check and least = most and only)").select(F.col("one").alias("part"))
+    torn = common.cut(torn)
     if torn.isEmpty():
         return part
-    rows = common.cut(placed.join(torn, "root", "left_semi"))
-    found = common.cut(possible(rows, texts, width).join(checked, ["a", "b"], "left_anti"))
+    members = part.select(F.col("node").alias("row"), F.col("root").alias("part"))
+    alone = torn.select(F.col("part").alias("row"), "part").join(members.select("row"), "row", "left_anti")
+    rows = common.cut(members.join(torn, "part", "left_semi").unionByName(alone, allowMissingColumns=True).select("row", "part"))
+    found = common.cut(possible(rows, sets).join(checked, ["a", "b"], "left_anti"))
     nearest = found.groupBy("part_a", "part_b").agg(F.min(F.struct("differ", "a", "b")).alias("pair")).select("pair.a", "pair.b")
-    first = common.cut(verified(nearest, texts, width))
+    first = common.cut(verified(nearest, sets))
     tied = common.cut(tied.unionByName(first.filter("good").select("a", "b")))
     part = common.cut(connected_components(tied))
     left = found.select("a", "b").join(first, ["a", "b"], "left_anti")
@@ -207,4 +244,4 @@ def settled(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     left = common.cut(left.filter("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b"))
     if left.isEmpty():
         return part
-    return connected_components(tied.unionByName(verified(left, texts, width).filter("good").select("a", "b")))
+    return connected_components(tied.unionByName(verified(left, sets).filter("good").select("a", "b")))
