@@ -131,3 +131,32 @@ def test_a_ledger_is_opened_by_path_or_environment(spark, tmp_path, sf_dir, monk
         ledger.open_ledger(spark)
     monkeypatch.setenv(ledger.FOLDER, str(tmp_path))
     assert ledger.open_ledger(spark).transactions.schema == opened.transactions.schema
+
+
+def test_a_casebook_allows_a_step_once(spark, tmp_path):
+    at = datetime(2024, 5, 1)
+    book = cases.Casebook(Log(spark, str(tmp_path / "book"), cases.EVENTS))
+    one, two = book.open_case("A1", "x", at), book.open_case("A2", "x", at)
+    assert (one, two) == (1, 2)
+    book.assign(one, "ann", "x", at)
+    book.log.compact()
+    for bad in (lambda: book.reopen(one, "why", "x", at), lambda: book.close(one, "unknown", "r", "x", at), lambda: book.close(one, "escalated", " ", "x", at),
+                lambda: book.note(9, "no case", "x", at), lambda: book.note(one, " ", "x", at)):
+        with pytest.raises(cases.LifecycleError):
+            bad()
+
+    def shut(k):
+        try:
+            cases.Casebook(Log(spark, str(tmp_path / "book"), cases.EVENTS)).close(one, "escalated", f"by {k}", str(k), at)
+            return True
+        except cases.LifecycleError:
+            return False
+
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(shut, range(3))).count(True) == 1
+    got = {r.case_id: (r.status, r.disposition, r.assigned_to) for r in book.states().collect()}
+    assert got == {1: ("closed", "escalated", "ann"), 2: ("open", None, None)}
+    book.reopen(one, "more came in", "x", at)
+    assert {r.case_id: r.status for r in book.states().collect()} == {1: "in_review", 2: "open"}
+    ids = [r.event_id for r in book.log.read().collect()]
+    assert sorted(ids) == list(range(1, 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +52,59 @@ def state(events: DataFrame) -> DataFrame:
     )
 
 
+class Casebook:
+    """Cases on a log of events (``published.Log`` of EVENTS) that any number of analysts write to.
+
+    A step is checked against the case's state in the log's last version, and appended only if that version
+    still is the last; else it is checked again on what came between. So two analysts cannot both close a case."""
+
+    #: The states that a step may be taken in.
+    ALLOWED = {"assigned": ("open", "in_review"), "note": ("open", "in_review", "closed"), "closed": ("open", "in_review"), "reopened": ("closed",)}
+
+    def __init__(self, log, tries: int = 50):
+        self.log, self.tries = log, tries
+
+    def states(self) -> DataFrame:
+        return state(self.log.read())
+
+    def _step(self, case_id: int | None, actor: str, ts, kind: str, detail: str) -> int:
+        for attempt in range(self.tries):
+            number, version = self.log.versions.latest()
+            events = self.log.read_version(version)
+            last = events.agg(F.max("event_id").alias("event"), F.max("case_id").alias("case")).first()
+            case = (last["case"] or 0) + 1 if case_id is None else case_id
+            if case_id is not None:
+                now = state(events.filter(F.col("case_id") == case_id)).select("status").first()
+                if now is None:
+                    raise LifecycleError(f"no case {case_id}")
+                if now.status not in self.ALLOWED[kind]:
+                    raise LifecycleError(f"case {case_id} is {now.status}: it cannot be {kind}")
+            if self.log.append_after(number, event(self.log.spark, (last["event"] or 0) + 1, case, ts, actor, kind, detail)):
+                return case
+            time.sleep(0.01 * (attempt + 1))
+        raise LifecycleError("the log changed each time")
+
+    def open_case(self, account_id: str, actor: str, ts) -> int:
+        """The new case's number."""
+        return self._step(None, actor, ts, "opened", account_id)
+
+    def assign(self, case_id: int, to: str, actor: str, ts) -> None:
+        self._step(case_id, actor, ts, "assigned", to)
+
+    def note(self, case_id: int, text: str, actor: str, ts) -> None:
+        if not text.strip():
+            raise LifecycleError("an empty note")
+        self._step(case_id, actor, ts, "note", text)
+
+    def close(self, case_id: int, disposition: str, rationale: str, actor: str, ts) -> None:
+        self._step(case_id, actor, ts, "closed", close_detail(disposition, rationale))
+
+    def reopen(self, case_id: int, reason: str, actor: str, ts) -> None:
+        if not reason.strip():
+            raise LifecycleError("reopening needs a reason")
+        self._step(case_id, actor, ts, "reopened", reason)
+
+
 def timeline(events: DataFrame, case_id: int) -> DataFrame:
     return events.filter(F.col("case_id") == case_id).orderBy("event_id")
 
@@ -129,10 +182,3 @@ def top_values(txns: DataFrame, n: int = 10) -> DataFrame:
 
     by = Window.partitionBy("account_id").orderBy(F.desc("amount"), "ts", "txn_id")
     return txns.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n)
-
-
-def audited(calls: DataFrame, spark: SparkSession, ts, tool: str, params: dict, outcome: str, hits: int | None) -> DataFrame:
-    """calls with one more row: what was asked, as JSON with its keys in order, and what came of it."""
-    asked = json.dumps(params, sort_keys=True, separators=(",", ":"))
-    row = spark.createDataFrame([(ts, tool, asked, outcome, hits)], "ts timestamp_ntz, tool string, params string, outcome string, hits int")
-    return calls.unionByName(row)

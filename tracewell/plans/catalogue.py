@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import cases, features, graph, ml, multibank, redteam, replay, risk, rules, scoring, screening
 from ..session import ship
-from .ranges import path_exists, shared_folder
+from .ranges import cut, path_exists, shared_folder
 from ..sources import ledger, published, world
 
 D1 = {"ceiling": 200, "min_count": 4, "min_total": 100}
@@ -528,15 +528,16 @@ def holders(spark, sf) -> tuple[DataFrame, DataFrame]:
     return accounts, world.people(ids).withColumn("customer_id", F.concat(F.lit("C"), "id"))
 
 
-def list_hits(spark, sf) -> DataFrame:
-    hits = screening.screen_customers(holders(spark, sf)[1], watchlist(spark))
+def list_hits(spark, people: DataFrame) -> DataFrame:
+    hits = screening.screen_customers(people, watchlist(spark))
     return hits.select("customer_id", F.concat(F.lit("listed as "), "matched_name", F.lit(" ("), "list_type", F.lit(")")).alias("detail"), "score")
 
 
 def signals(spark, sf) -> DataFrame:
     """Evidence of rules, names and chains."""
     found = chains(spark, sf).withColumn("accounts", F.transform("accounts", lambda x: F.concat(F.lit("A"), x.cast("string"))))
-    screened = risk.screening_signals(list_hits(spark, sf), holders(spark, sf)[0])
+    accounts, people = holders(spark, sf)
+    screened = risk.screening_signals(list_hits(spark, people), accounts)
     return risk.rule_signals(alerts(spark, sf)).unionByName(screened).unionByName(risk.graph_signals(found))
 
 
@@ -984,23 +985,23 @@ def stratified_split(spark, sf):
 
 @query("gbt_leaderboard")
 def gbt_leaderboard(spark, sf):
-    f = features.account_features(posted(spark, sf))
+    f = cut(features.account_features(posted(spark, sf)))  # each model reads it
     split = ml.stratified_split(_labelled_accounts(spark, sf))
     boosted = ml.boosted_scores(f, split)
     test = split.filter("test")
     raw = lambda df: df.join(test, "account_id").select("account_id", F.col("raw").alias("score"), "label")
-    near = neighbour_features(spark, sf).join(split, "account_id")
+    near = neighbour_features(spark, sf, f).join(split, "account_id")
     return ml.leaderboard({
         "boosted trees": boosted, "boosted trees with neighbours": ml.boosted_scores(near.drop("label", "test"), split, names=ml.NAMES + tuple(f"near_{n}" for n in ml.NAMES)),
         "isolation forest": raw(ml.isolation_scores(f)), "one-class boundary": raw(ml.one_class_scores(f)), "principal components": raw(ml.reconstruction_errors(f)), "autoencoder": raw(ml.autoencoder_errors(f)),
     })
 
 
-def neighbour_features(spark, sf) -> DataFrame:
+def neighbour_features(spark, sf, f: DataFrame | None = None) -> DataFrame:
     e = ledger.edges(spark, sf)
     people = e.select(F.col("src").alias("account")).union(e.select("dst")).distinct()
     weights = ml.adjacency(e, people.withColumn("test", F.lit(False)))
-    f = features.account_features(posted(spark, sf)).withColumn("account", F.substring("account_id", 2, 20).cast("long"))
+    f = (features.account_features(posted(spark, sf)) if f is None else f).withColumn("account", F.substring("account_id", 2, 20).cast("long"))
     return ml.with_neighbours(f, weights).drop("account")
 
 

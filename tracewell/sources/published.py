@@ -105,9 +105,18 @@ class Log:
         part = self._write(rows)
         self.versions.change(lambda now: now | {"parts": [*now.get("parts", []), part]})
 
+    def append_after(self, number: int, rows: DataFrame) -> bool:
+        """Append where the last version still is ``number``: what was decided on its rows still holds then."""
+        latest, now = self.versions.latest()
+        if latest != number:
+            return False
+        return self.versions.publish(number + 1, now | {"parts": [*now.get("parts", []), self._write(rows)]})
+
     def read(self) -> DataFrame:
         """All rows of the last version: the snapshot's and those appended since."""
-        _, now = self.versions.latest()
+        return self.read_version(self.versions.latest()[1])
+
+    def read_version(self, now: dict) -> DataFrame:
         folders = [f"{self.versions.path}/{p}" for p in (*now.get("snapshot", []), *now.get("parts", []))]
         return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
