@@ -83,11 +83,19 @@ class Discriminant:
         z = (transform(x) - self.centre) / self.scale
         logs = []
         for k in (0, 1):
-            white = np.linalg.solve(self.chol[k], (z - self.mean[k]).T)
-            logs.append(self.offset[k] - 0.5 * (white**2).sum(0))
+            white = whitened(self.chol[k], z - self.mean[k])
+            logs.append(self.offset[k] - 0.5 * (white**2).sum(1))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
+def whitened(factor: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows of x by the inverse of a lower triangular factor, by forward substitution, all rows at once."""
+    out = np.empty_like(x)
+    for i in range(x.shape[1]):
+        out[:, i] = (x[:, i] - out[:, :i] @ factor[i, :i]) / factor[i, i]
+    return out
+
+
 def statistics_of(texts: list[bytes]) -> np.ndarray:
     return np.array([statistics.document_features(x) for x in texts]).reshape(-1, len(statistics.NAMES))
 
