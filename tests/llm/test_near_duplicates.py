@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,23 @@ def test_query_is_the_operator(spark):
     sets = {i: {" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set() for i, w in words.items()}
     want = roots(sets, lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b))
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, tmp_path, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 20)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    spark.createDataFrame([(i, "x" * 10_000) for i in range(500)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.unset(key)
+    try:
+        d = common.read(spark, str(tmp_path), "documents")
+        assert sum(found := [r.n for r in d.mapInArrow(sizes, "n long").collect()]) == 500 and max(found) <= 110
+        spark.conf.set(key, "2m")
+        common.bounded_batches(spark)
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.unset(key)

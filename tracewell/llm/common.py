@@ -15,6 +15,8 @@ from ..session import ship
 
 #: Characters of text that one step of a Python operator holds at a time (one text at least).
 STEP_CHARS = 4_000_000
+#: Bytes of an Arrow batch on its way to Python. An executor holds several copies of one for each task, outside its heap, and Spark's own limit is 64 MB.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,9 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what goes to Python at a time, unless the session says how much may."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut by a reliable checkpoint in the shared folder."""
     ship(df.sparkSession)
+    bounded_batches(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -104,6 +114,7 @@ def learnable(doc_id, modulus: int):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
