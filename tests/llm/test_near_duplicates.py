@@ -161,3 +161,23 @@ def test_texts_go_to_python_in_bounded_batches(spark, tmp_path, monkeypatch):
         assert spark.conf.get(key) == "2m"
     finally:
         spark.conf.unset(key)
+
+
+def test_pairs_of_a_large_group_are_not_listed():
+    """Of possible pairs that are no links, only a forest leaves; links come as a forest too."""
+    n = 300
+    one, many = np.arange(n), np.full(n, 100)
+    zero = np.zeros(n, np.uint64)
+    found = np.concatenate(set_links._block([one, one, many, np.zeros(n, int), zero, zero, np.zeros(n, int)]), axis=1)
+    assert found.shape == (2, n - 1)
+    sets = [np.sort(np.arange(k, k + 100).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in range(n)]
+    rng = np.random.default_rng(3)
+    for two in (False, True):
+        block = np.sort(rng.integers(0, 2, n)) if two else np.zeros(n, int)
+        order = rng.permutation(n)
+        links = np.concatenate(set_links._links_of(order, order, block, [sets[k] for k in order]), axis=1)
+        of = dict(zip(order.tolist(), block.tolist(), strict=True))
+        assert links.shape[1] <= n - 1 and all(set_links.similar(set(sets[a].tolist()), set(sets[b].tolist())) for a, b in links.T.tolist())
+        want = roots({k: k for k in range(n)}, lambda a, b: abs(a - b) <= 11 and (not two or of[a] != of[b]))
+        pairs = {frozenset(p) for p in links.T.tolist()}
+        assert roots({k: k for k in range(n)}, lambda a, b: frozenset((a, b)) in pairs) == want

@@ -3,12 +3,14 @@
 ``settled`` takes pairs of rows from any candidate search whose connected classes hold all links, a spanning
 tree for each class being enough. The sets of rows that are in a class are written once, as sorted hashes, and the pairs
 verified on them. A class that its verified pairs tie together needs nothing more, however large. In any other class
-each pair of rows of different parts may still be a link; ``possible`` finds those by prefix filtering: shingles are
+each pair of rows of different parts may still be a link; ``possible`` finds where by prefix filtering: shingles are
 ordered by their count in about COUNTED of these sets, rarest first, and for sets y and x, y no larger, the first
 shingle that they share is among the first |y| / 9 + 1 of y and |x| / 5 + 1 of x, in any common order. A shingle that no
 y has so early gives no pairs, so rows of one template, which are alike in common shingles only, do not meet. The rows
-of a shingle are compared in blocks of BLOCK, by sizes, positions and parities. One pair for each two parts, that
-of the nearest parities, is verified first; then those that are still of different parts.
+of a shingle are compared in blocks of BLOCK, by sizes, positions and parities, and leave as a forest of the parts that
+possible pairs tie. So pairs are never listed: the sets of each tree's rows go to one task, where pairs of
+different parts are verified and what they tie becomes one part at once. Of a tree of more than a block, rows of its
+largest part meet the others, by blocks, but not each other.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from .components import connected_components
 
 #: A Jaccard index of at least SHARED / OF.
 SHARED, OF = 4, 5
-#: Rows of a block.
-BLOCK = 2000
+#: Rows of a block, and shingles of all its sets, about.
+BLOCK, BLOCK_SHINGLES = 2000, 1_000_000
+#: Parities by which sets of a block are told apart, and pairs that are verified at once, at first.
+FINE, FIRST_PAIRS = 1024, 16
 #: Sets, about, whose shingles are counted for their order, and most shingles with counts.
 COUNTED, COMMON = 10_000, 100_000
 #: Parts in which the pairs of one document are dealt out for verification.
@@ -137,37 +141,31 @@ def _prefixes(batches: Iterator[pa.RecordBatch], known: np.ndarray, counts: np.n
 
 
 def _block(own: list[np.ndarray]) -> list[np.ndarray]:
-    """Possible pairs among a key's rows of one block or two: rows, parts and the parities that differ."""
+    """A forest of the parts that possible pairs among a key's rows of one block or two tie."""
     row, part, size, pos, low, high, block = own
-    out = []
+    out, label = [], np.unique(part, return_inverse=True)[1]
     two = block.min() != block.max()
     for y in np.flatnonzero(9 * pos <= size).tolist():
         both = size[y] + size
         larger = (size > size[y]) | (size == size[y]) & (row > row[y])
         room = np.minimum(size[y] - pos[y], size - pos)
         differ = np.bitwise_count(low[y] ^ low).astype(np.int64) + np.bitwise_count(high[y] ^ high)
-        met = larger & (part != part[y]) & ((OF + SHARED) * room >= SHARED * both) & ((OF + SHARED) * differ <= (OF - SHARED) * both)
+        met = larger & (label != label[y]) & ((OF + SHARED) * room >= SHARED * both) & ((OF + SHARED) * differ <= (OF - SHARED) * both)
         if two:
             met &= block != block[y]
         x = np.flatnonzero(met)
         if len(x):
-            out.append(np.stack([np.full(len(x), row[y]), row[x], np.full(len(x), part[y]), part[x], differ[x]]))
+            labels, first = np.unique(label[x], return_index=True)
+            out.append(np.stack([np.full(len(first), part[y]), part[x[first]]]))
+            label[np.isin(label, labels)] = label[y]
     return out
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of rows sorted by key and blocks."""
-    names = ["a", "b", "part_a", "part_b", "differ"]
-
-    def pairs(columns: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-        own = columns[3:7] + [c.view(np.uint64) for c in columns[7:9]] + columns[9:10]
-        found = [p for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()) if e > s + 1 for p in _block([c[s:e] for c in own])]
-        whole = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in whole], names=names)
-
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of rows sorted by their first three, with where each run of these begins, and the end."""
     rest = None
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if rest is not None:
             columns = [np.concatenate(c) for c in zip(rest, columns, strict=True)]
         if not len(columns[0]):
@@ -177,16 +175,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] |= c[1:] != c[:-1]
         starts = np.append(0, np.flatnonzero(new))
         if len(starts) > 1:
-            yield pairs([c[: starts[-1]] for c in columns], starts)
+            yield columns, starts
         rest = [c[starts[-1] :] for c in columns]
     if rest is not None:
-        yield pairs(rest, np.array([0, len(rest[0])]))
+        yield rest, np.array([0, len(rest[0])])
 
 
-def possible(parts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of rows of different ``part`` that can be links, with ``part_a``, ``part_b``, and ``differ``."""
-    every = max(1, parts.count() // COUNTED)
-    held = parts.join(sets, "row")
+def _ends(found: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(f(ends, axis=0))) for f in (np.min, np.max)], names=["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties of parts by possible pairs of rows sorted by key and blocks."""
+    for columns, starts in _places(batches):
+        own = columns[3:7] + [c.view(np.uint64) for c in columns[7:9]] + columns[9:10]
+        yield _ends([p for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()) if e > s + 1 for p in _block([c[s:e] for c in own])])
+
+
+def possible(held: DataFrame) -> DataFrame:
+    """Ties ``a`` < ``b`` of parts, whose connected classes hold all links between rows (``row``, ``own``) of different ``part``."""
+    every = max(1, held.count() // COUNTED)
     known, counts = common_shingles(held.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("own").mapInArrow(_listed, "shingle long"))
     schema = "key long, row long, part long, size long, pos long, low long, high long"
     index = common.cut(held.select("row", "part", "own").mapInArrow(partial(_prefixes, known=known, counts=counts), schema))
@@ -198,10 +207,68 @@ def possible(parts: DataFrame, sets: DataFrame) -> DataFrame:
     columns = ["row", "part", "size", "pos", "low", "high", "block"]
     met = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *columns)
     place = ["key", "lo", "hi"]
-    found = met.repartition(*place).sortWithinPartitions(*place).mapInArrow(_meet, "a long, b long, part_a long, part_b long, differ long")
-    least, most = (F.least, F.greatest)
-    found = found.select(least("a", "b").alias("a"), most("a", "b").alias("b"), least("part_a", "part_b").alias("part_a"), most("part_a", "part_b").alias("part_b"), "differ")
-    return found.groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("part_a", "part_b", "differ")))
+    return met.repartition(*place).sortWithinPartitions(*place).mapInArrow(_meet, "a long, b long").distinct()
+
+
+def _links_of(row: np.ndarray, part: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A forest of the links between rows of different parts, of one block (sorted by it) or across two."""
+    out, n, label = [], len(row), np.unique(part, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    bits = np.stack([np.packbits(np.bincount((s & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE) & 1) for s in sets]).view(np.uint64)
+    second = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+    for y in range(second or n - 1):
+        x = np.arange(second or y + 1, n)
+        x = x[(label[x] != label[y]) & ((OF + SHARED) * np.minimum(size[y], size[x]) >= SHARED * (size[y] + size[x]))]
+        differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
+        near = (OF + SHARED) * differ <= (OF - SHARED) * (size[y] + size[x])
+        x, some = x[near][np.argsort(differ[near], kind="stable")], FIRST_PAIRS
+        while len(x):
+            # The nearest first: what they tie to y need not be looked at again.
+            some, few, x = 2 * some, x[:some], x[some:]
+            flat = np.concatenate([sets[k] for k in few.tolist()])
+            at = np.minimum(np.searchsorted(sets[y], flat), size[y] - 1)
+            both = np.add.reduceat((sets[y][at] == flat).astype(np.int64), np.cumsum(size[few]) - size[few])
+            good = few[OF * both >= SHARED * (size[y] + size[few] - both)]
+            if len(good):
+                labels, first = np.unique(label[good], return_index=True)
+                out.append(np.stack([np.full(len(first), row[y]), row[good[first]]]))
+                label[np.isin(label, labels)] = label[y]
+                x = x[label[x] != label[y]]
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the links in each class's blocks, from rows sorted by class and blocks."""
+    for columns, starts in _places(batches):
+        found = []
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            row, part, block, own = (c[s:e] for c in columns[3:])
+            if part.min() < part.max():
+                found += _links_of(row, part, block, [np.frombuffer(x, np.uint64) for x in own])
+        yield _ends(found)
+
+
+def _blocks(n: str, shingles: str):
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("long")
+
+
+def links_within(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a`` < ``b`` between rows (``row``, ``own``) of different ``part``, enough to tie all that links do.
+    classes: ``node``, a part, and ``root``, its class, of the parts that others may link with."""
+    parts = held.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("own") / 8).alias("shingles"))
+    parts = common.cut(parts.join(classes.select(F.col("node").alias("part"), F.col("root").alias("class")), "part"))
+    tops = parts.groupBy("class").agg(F.max(F.struct("n", "part", "shingles")).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    tops = tops.select("class", F.col("top.part").alias("top"), F.col("top.n").alias("n"), F.col("top.shingles").alias("shingles"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("shingles") - F.col("top.shingles")).alias("shingles_rest"))
+    tops = tops.select("class", "top", _blocks("n", "shingles").alias("of_top"), _blocks("n_rest", "shingles_rest").alias("of_rest"))
+    table = parts.select("part", "class", "n").join(tops, "class").withColumn("at", F.struct("class", (F.col("part") == F.col("top")).alias("top"), "of_top", "of_rest"))
+    met = common.lookup(held.select("row", "part", "own"), table.select("part", "n", "at"), ["part"], ["at"], "n", held.count(), ["row"]).filter("at is not null")
+    met = met.select("row", "part", "own", "at.*")
+    deal = F.xxhash64("row")
+    block = F.when(F.col("top"), F.col("of_rest") + F.pmod(deal, "of_top")).otherwise(F.pmod(deal, "of_rest"))
+    last = F.when(F.col("top"), F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_top")) - 1
+    met = met.select("class", "row", "part", "own", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    met = met.select("class", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "row", "part", "block", "own")
+    return met.repartition("class", "lo", "hi").sortWithinPartitions("class", "lo", "hi", "block").mapInArrow(_verify, "a long, b long")
 
 
 def settled(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -233,15 +300,9 @@ def settled(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     members = part.select(F.col("node").alias("row"), F.col("root").alias("part"))
     alone = torn.select(F.col("part").alias("row"), "part").join(members.select("row"), "row", "left_anti")
     rows = common.cut(members.join(torn, "part", "left_semi").unionByName(alone, allowMissingColumns=True).select("row", "part"))
-    found = common.cut(possible(rows, sets).join(checked, ["a", "b"], "left_anti"))
-    nearest = found.groupBy("part_a", "part_b").agg(F.min(F.struct("differ", "a", "b")).alias("pair")).select("pair.a", "pair.b")
-    first = common.cut(verified(nearest, sets))
-    tied = common.cut(tied.unionByName(first.filter("good").select("a", "b")))
-    part = common.cut(connected_components(tied))
-    left = found.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        left = left.join(part.select(F.col("node").alias(end), F.col("root").alias(f"part_{end}")), end, "left")
-    left = common.cut(left.filter("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b"))
-    if left.isEmpty():
+    held = common.cut(rows.join(sets, "row"))
+    classes = common.cut(connected_components(possible(held)))
+    if classes.isEmpty():
         return part
-    return connected_components(tied.unionByName(verified(left, sets).filter("good").select("a", "b")))
+    links = links_within(held, classes)
+    return connected_components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
