@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, hyperminhash, queries, set_links, simhash_groups
+from tracewell.llm import common, hyperminhash, queries, set_links, simhash, simhash_groups
 
 
 def roots(sets, linked):
@@ -181,3 +181,27 @@ def test_pairs_of_a_large_group_are_not_listed():
         want = roots({k: k for k in range(n)}, lambda a, b: abs(a - b) <= 11 and (not two or of[a] != of[b]))
         pairs = {frozenset(p) for p in links.T.tolist()}
         assert roots({k: k for k in range(n)}, lambda a, b: frozenset((a, b)) in pairs) == want
+
+
+def test_pipeline_stage_takes_candidates_from_simhash(spark, tmp_path, monkeypatch):
+    """Close copies meet by their fingerprints' bytes; what differs in more bits is found all the same."""
+    rng = random.Random(4)
+    texts = []
+    for k in range(12):
+        words = [f"w{k}_{i}" for i in range(400)]
+        near = words[:-1] + ["other"]
+        far = words[:-40] + [f"v{k}_{rng.random()}" for _ in range(40)]
+        texts += [" ".join(x) for x in (words, near, far)]
+    d = stored(spark, tmp_path, list(enumerate(texts)))
+    seen, search = [], simhash.links
+
+    def links(prints):
+        seen.append(search(prints).count())
+        return search(prints)
+
+    monkeypatch.setattr(simhash, "links", links)
+    numbered = {r.row: r.text for r in d.select(F.monotonically_increasing_id().alias("row"), "text").collect()}
+    sets = {k: simhash_groups.shingles(t.encode().split()) for k, t in numbered.items()}
+    assert {r.row: r.root for r in simhash_groups.groups(d).collect()} == roots(sets, set_links.similar)
+    prints = common.cut(simhash.fingerprints(d, 5).withColumnRenamed("doc_id", "row"))
+    assert len(seen) == 1 and simhash_groups.near_prints(prints).count() >= 10

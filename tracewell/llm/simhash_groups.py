@@ -1,9 +1,12 @@
 """Near-duplicate groups: documents whose sets of 5-word shingles have a Jaccard index of 0.8.
 
-Candidates come from an inverted index of each document's rarest shingles (prefix filtering), not
-from fingerprints: sets of index 0.8 always share one of the first len - ceil(len * 0.8) + 1
-shingles of each in any common order, and the first they share leaves room for the overlap they
-need. So no pair is lost, whatever the edit. Shingles are ordered by their count in a sample of
+Candidates come first from SimHash: fingerprints of each text's shingles meet in an inverted index of byte positions,
+pairs are thinned out by counting the bytes that they share and verified by their differing bits
+(``simhash.links``), and those that remain are verified on whole sets. That finds close copies, but sets of index 0.8 may
+differ in many more bits than any such index allows for. So an exact search follows for all other pairs: an inverted
+index of each document's rarest shingles (prefix filtering): sets of index 0.8 always share one of the first
+len - ceil(len * 0.8) + 1 shingles of each in any common order, and the first they share leaves room for the overlap
+they need. So no pair is lost, whatever the edit. Shingles are ordered by their count in a sample of
 documents, then by hash; the counts bear on speed only, as every order gives the same pairs.
 A pair under a key is dropped only where no overlap of 0.8 is possible: by its sizes and
 positions, or because parities of hashed shingles differ in more places than the sets may. The
@@ -16,7 +19,7 @@ larger one; a key that none has so early gives no pair. Where documents of a tem
 more than the links allow, their own shingles come first, so the template's are such keys. A key of
 more than HOT_KEY documents that the sample did not show is tied likewise.
 
-Candidates leave as trees of pairs that were found possible, and ``set_links`` settles them exactly.
+These candidates leave as trees of pairs that were found possible, and ``set_links`` settles them, and those of SimHash, exactly.
 Groups are the components of all links found.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased. Documents with equal
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import common, set_links
+from . import common, set_links, simhash
 from .set_links import OF, SHARED
 
 WIDTH = 5
@@ -84,6 +87,18 @@ def _prints(batches: Iterator[pa.RecordBatch], known: np.ndarray, counts: np.nda
         yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], names=names)
 
 
+def near_prints(prints: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of rows of ``row``, ``fp`` that SimHash's index links, all to be verified on their sets. The least row of
+    a fingerprint stands for it; the others are tied to that."""
+    heads = common.cut(prints.groupBy("fp").agg(F.min("row").alias("head"), F.count("*").alias("n")))
+    ends = simhash.links(heads.select("fp"))
+    for end in ("a", "b"):
+        ends = ends.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"row_{end}")), end)
+    ends = ends.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+    same = common.lookup(prints.select("row", "fp"), heads.filter("n > 1"), ["fp"], ["head"], "n", prints.count(), ["row"])
+    return same.filter("head <> row").select(F.col("head").alias("a"), F.col("row").alias("b")).unionByName(ends).withColumn("check", F.lit(True))
+
+
 def candidates(prints: DataFrame) -> DataFrame:
     """Pairs ``a`` < ``b`` of rows of ``row``, ``size``, ``low``, ``high``, ``bits``, ``keys``, ``n_light``, whose classes hold all links,
     and ``check``, whether the pair itself is to be verified first."""
@@ -236,7 +251,10 @@ def groups(docs: DataFrame) -> DataFrame:
     columns = "row long, same binary, size long, low long, high long, bits binary, keys array<long>, n_light long"
     prints = common.cut(numbered.mapInArrow(partial(_prints, known=known, counts=counts, heavy=heavy), columns))
     kinds = common.cut(prints.groupBy("same").agg(F.min("row").alias("row"), F.count("*").alias("n")))
-    linked = common.cut(set_links.settled(candidates(prints.join(kinds, "row", "left_semi")), numbered, WIDTH))
+    fps = simhash.fingerprints(numbered.withColumnRenamed("row", "doc_id"), WIDTH).withColumnRenamed("doc_id", "row")
+    close = near_prints(common.cut(fps.join(kinds, "row", "left_semi")))
+    pairs = close.unionByName(candidates(prints.join(kinds, "row", "left_semi"))).groupBy("a", "b").agg(F.max("check").alias("check"))
+    linked = common.cut(set_links.settled(pairs, numbered, WIDTH))
     roots = kinds.join(linked, kinds["row"] == linked["node"], "left").select("same", "n", F.coalesce("root", "row").alias("root"))
     return common.lookup(prints.select("row", "same"), roots, ["same"], ["root"], "n", prints.count(), ["row"]).select("row", "root")
 
